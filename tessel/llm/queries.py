@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .media import op1_media_columns
+from .secrets import op3_secret_scans
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op3_secret_scans": op3_secret_scans,
 }
 
 ORACLE_SQL: dict[str, str] = {}
