@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .media import op1_media_columns
 from .secrets import op3_secret_scans
+from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
