@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .langid import op9_language_id
 from .media import op1_media_columns
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
