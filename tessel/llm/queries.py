@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .langid import op9_language_id
 from .media import op1_media_columns
+from .pieces import op5_sentencepiece
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_secret_scans": op3_secret_scans,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
