@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op9_language_id
+from .lines import OP2_SQL, op2_line_dedup
 from .media import op1_media_columns
 from .pieces import op5_sentencepiece
 from .secrets import op3_secret_scans
@@ -10,10 +11,13 @@ from .simhash import op8_simhash_near_dedup
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
