@@ -142,15 +142,15 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), keyed AS (
-  SELECT doc_id, at, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+  SELECT doc_id, pos, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
   FROM lines
 ), frequent AS (
   SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 )
 SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL AND k.doc_id <> f.owner) AS n_dropped,
-  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.at) FILTER (WHERE f.key IS NULL OR k.doc_id = f.owner), '')) AS kept_sha256
+  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (WHERE f.key IS NULL OR k.doc_id = f.owner), '')) AS kept_sha256
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY k.doc_id
 """

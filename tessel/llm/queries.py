@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op9_language_id
 from .lines import OP2_SQL, op2_line_dedup
 from .media import op1_media_columns
+from .mixing import OP7_SQL, op7_mixing
 from .pieces import op5_sentencepiece
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
@@ -14,10 +15,12 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_mixing": op7_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op7_mixing": OP7_SQL,
 }
