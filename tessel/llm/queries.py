@@ -6,6 +6,7 @@ from .langid import op9_language_id
 from .lines import OP2_SQL, op2_line_dedup
 from .media import op1_media_columns
 from .mixing import OP7_SQL, op7_mixing
+from .outliers import op4_quality_rules
 from .pieces import op5_sentencepiece
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_line_dedup": op2_line_dedup,
     "op3_secret_scans": op3_secret_scans,
+    "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_mixing": op7_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
