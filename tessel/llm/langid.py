@@ -8,7 +8,7 @@ and the score below which a prediction is rejected, so that no more than ``REJEC
 Only text and lang of the sample are learned from; a prediction sees the text alone.
 
 After training, a bucket's embedding times the softmax weights is one row of logits, so predicting sums rows; each
-task keeps the rows of words it has seen, up to ``CACHE`` words.
+task keeps the sums of tokens it has seen, up to ``CACHE`` tokens.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without any labelled
 row all texts are; a null doc_id is never held out and never learned from; repeated rows get equal results; an
@@ -18,45 +18,66 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
+import sys
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh32_intdigest
 
 from ._common import documents
 
-BUCKETS, DIM, GRAMS = 2**14, 16, (2, 3, 4)
+BITS, DIM, GRAMS, MIX = 14, 16, (2, 3, 4), np.uint64(0x9E3779B97F4A7C15)
+BUCKETS = 2**BITS
 PER_LANG, EPOCHS, RATE, REJECT = 600, 6, 2.0, 0.001
-CACHE = 300_000
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of a word's subwords."""
-    w = f"<{word}>"
-    parts = [w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return [xxh32_intdigest(p.encode("utf-8", "replace"), 7) % BUCKETS for p in parts]
+#: Tokens kept, and tokens of a text looked up at once.
+CACHE, BLOCK = 500_000, 20_000
+
+
+@cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of all words in a text, and where in the text each one's word starts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    is_letter = np.concatenate([[False], letters()[codes], [False]])
+    edges = np.flatnonzero(is_letter[1:] != is_letter[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    heads = np.cumsum(sizes + 2) - sizes - 2  # each word stands between two marks
+    run = np.repeat(np.arange(len(starts)), sizes + 2)
+    seq = np.full(len(run), ord(">"), np.uint64)
+    seq[heads] = ord("<")
+    inside = np.repeat(heads + 1 - starts, sizes)
+    at = np.flatnonzero(is_letter[1:-1])
+    seq[at + inside] = codes[at]
+    place = np.arange(len(run)) - heads[run]
+    powers = np.cumprod(np.full(int(sizes.max()) + 2, MIX, np.uint64))
+    found, owner = [np.add.reduceat(seq * powers[place], heads)], [np.arange(len(starts))]
+    h = seq
+    for n in range(2, max(GRAMS) + 1):
+        h = h[:-1] * MIX + seq[n - 1 :]
+        if n in GRAMS:
+            whole = run[n - 1 :] == run[: 1 - n]
+            found.append(h[whole] + np.uint64(n))
+            owner.append(run[: 1 - n][whole])
+    h = np.concatenate(found)
+    return (((h ^ h >> np.uint64(29)) * MIX) >> np.uint64(64 - BITS)).astype(np.int64), starts[np.concatenate(owner)]
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their shares of the text's subwords."""
-    counts: dict[str, int] = {}
-    for w in WORD.findall(text.lower()):
-        counts[w] = counts.get(w, 0) + 1
-    at, n = [], []
-    for w, k in counts.items():
-        s = subwords(w)
-        at += s
-        n += [k] * len(s)
-    if not at:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    sums = np.bincount(at, weights=n)
+    at, _ = grams(text.lower())
+    sums = np.bincount(at, minlength=1)
     hit = np.flatnonzero(sums)
-    return hit.astype(np.int32), (sums[hit] / sums.sum()).astype(np.float32)
+    return hit.astype(np.int32), (sums[hit] / max(1, len(at))).astype(np.float32)
 
 
 @dataclass
@@ -110,37 +131,56 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, bool]]) -> Model | None:
 
 
 class Predictor:
-    """Sums logits over words, keeping those of words it has seen."""
+    """Sums logits over a text's tokens between white space, keeping those of tokens and grams it has seen."""
 
     def __init__(self, model: Model):
         self.m, self.seen = model, {}
-        self.sums = np.zeros((CACHE + 1, len(model.langs) + 1), np.float32)
-
-    def word(self, w: str) -> int:
-        if len(self.seen) >= CACHE:
+        self.sums = np.zeros((CACHE, len(model.langs) + 1), np.float32)
+
+    def learn(self, tokens: list[str]) -> None:
+        """Keeps the sums of tokens, all at once."""
+        at, where = grams(" ".join(tokens))
+        ends = np.cumsum([len(t) + 1 for t in tokens])
+        token = np.searchsorted(ends, where, "right")
+        first = len(self.seen)
+        sums, rows = self.sums[first : first + len(tokens)], self.m.rows[at]
+        for k in range(rows.shape[1]):
+            sums[:, k] = np.bincount(token, rows[:, k], len(tokens))
+        sums[:, -1] = np.bincount(token, minlength=len(tokens))
+        self.seen.update(zip(tokens, range(first, first + len(tokens)), strict=True))
+
+    def totals(self, blocks: list[list[str]]) -> np.ndarray:
+        """The sums of each block's tokens; together the blocks have fewer tokens than are kept."""
+        flat = list(chain.from_iterable(blocks))
+        if len(self.seen) + len(flat) > CACHE:
             self.seen.clear()
-        k = len(self.seen)
-        at = subwords(w)
-        self.sums[k, :-1], self.sums[k, -1] = self.m.rows[at].sum(0), len(at)
-        self.seen[w] = k
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not any(map(str.isalpha, text)):
-            return "und", 0.0, True
-        words = WORD.findall(text.lower())
-        total = np.zeros(len(self.m.langs) + 1)
-        for i in range(0, len(words), 20_000):  # a block's words all fit in the cache
-            block = words[i : i + 20_000]
-            if len(self.seen) + len(block) > CACHE:
-                self.seen.clear()
-            get, new = self.seen.get, self.word
-            total += self.sums[[k if (k := get(w)) is not None else new(w) for w in block]].sum(0, dtype=np.float64)
-        if not total[-1]:
-            return "und", 0.0, True
-        p = softmax((total[:-1] / total[-1] + self.m.bias) / self.m.temperature)
-        k = int(p.argmax())
-        return self.m.langs[k], float(p[k]), bool(p[k] < self.m.least)
+        get = self.seen.get
+        at = [get(t, -1) for t in flat]
+        if -1 in at:
+            self.learn(list(dict.fromkeys([t for t, k in zip(flat, at, strict=True) if k < 0])))
+            at = [get(t) for t in flat]
+        n = np.array([len(b) for b in blocks])
+        return np.add.reduceat(self.sums[at].astype(np.float64), np.cumsum(n) - n, axis=0)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        total = np.zeros((len(texts), len(self.m.langs) + 1))
+        blocks, owners, held = [], [], 0
+        for k, text in enumerate(texts):
+            if text is None or not any(map(str.isalpha, text)):
+                continue
+            tokens = text.lower().split()
+            for i in range(0, len(tokens), BLOCK):
+                blocks.append(tokens[i : i + BLOCK])
+                owners.append(k)
+                held += len(blocks[-1])
+                if held >= BLOCK:
+                    np.add.at(total, owners, self.totals(blocks))
+                    blocks, owners, held = [], [], 0
+        if blocks:
+            np.add.at(total, owners, self.totals(blocks))
+        p = softmax((total[:, :-1] / np.maximum(total[:, -1:], 1) + self.m.bias) / self.m.temperature)
+        best = p.argmax(1)
+        return [(self.m.langs[k], float(q[k]), bool(q[k] < self.m.least)) if n else ("und", 0.0, True) for k, q, n in zip(best, p, total[:, -1], strict=True)]
 
 
 def text_of(raw: bytes | None) -> str | None:
@@ -182,7 +222,7 @@ def predict(df: DataFrame, text: str, model: Model | None, prefix: str = "") ->
             global _PREDICTOR
             if globals().get("_PREDICTOR") is None or _PREDICTOR.m is not m:
                 _PREDICTOR = Predictor(m)
-        out = [_PREDICTOR(text_of(x)) if m is not None else ("und", 0.0, True) for x in texts]
+        out = _PREDICTOR([text_of(x) for x in texts]) if m is not None else [("und", 0.0, True)] * len(texts)
         return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     c = "__lang"
