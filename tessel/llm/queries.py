@@ -10,6 +10,7 @@ from .outliers import op4_quality_rules
 from .pieces import op5_sentencepiece
 from .secrets import op3_secret_scans
 from .simhash import op8_simhash_near_dedup
+from .token_files import op10_token_files
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
