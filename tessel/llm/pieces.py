@@ -5,9 +5,9 @@ double-array trie is replaced, and every byte written remembers the source byte
 symbols then merge by score, highest and then leftmost first; what no piece covers falls back to bytes. The
 alignment projects every piece to the original bytes it stands for.
 
-No piece of the model has a space mark after another character, so merges never cross into the next word and a
-word's pieces can be kept and used again (up to ``CACHE`` words a task); with such a piece in a model whole texts
-are merged at once. Line breaks cut in the same way if no longer piece has one.
+Merges never cross a place whose two neighbours stand side by side in no piece. If no piece has a space mark after
+another character, texts are cut into words; words are cut at all such places, and what a cut piece of text gives is
+kept and used again in its task (two generations of ``CACHE`` words).
 
 Defined results: a null or empty text gives the end id alone and decodes to nothing; invalid UTF-8 reads as
 replacement characters, and spans then count the replaced text; ids, repeated rows and extra columns need nothing
@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ._common import documents, id_and_text, utf8
 
-MARK, CACHE, SHORT = "▁", 400_000, 48
+#: Words kept in each of two generations, the longest of them, and the longest that merge by a plain search.
+MARK, CACHE, KEPT_CHARS, SHORT = "▁", 400_000, 64, 48
 
 
 class CharMap:
@@ -80,9 +82,11 @@ class Codec:
         self.widths = np.array([1 if k == 6 else len(p.encode()) if k == 1 else 0 for p, k in zip(self.pieces, kinds, strict=True)])
         longer = [p for p in self.ids if len(p) > 1]
         self.by_word = not any(MARK in p.lstrip(MARK) for p in longer)
-        self.by_line = self.by_word and not any("\n" in p for p in longer)
-        self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.by_line else f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else "(?s).+")
+        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else "(?s).+")
+        self.pairs = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
+        self.decimals = [str(i) for i in range(len(self.pieces))]
         self.kept: dict[str, tuple[bytes, str, str]] = {}
+        self.older = self.kept
 
     # normalisation
 
@@ -180,50 +184,54 @@ class Codec:
 
     def _word(self, word: str) -> tuple[bytes, str, str]:
         """Ids of a stretch of normalised text: packed, as decimals, and decoded."""
-        ids: list[int] = []
-        for p in self.merge(word):
-            k = self.ids.get(p)
+        parts = self.merge(word)
+        ids = [*map(self.ids.get, parts)]
+        if None not in ids:
+            return array("i", ids).tobytes(), " ".join([self.decimals[k] for k in ids]), word.replace(MARK, " ")
+        out: list[int] = []
+        for p, k in zip(parts, ids, strict=True):
             if k is not None:
-                ids.append(k)
+                out.append(k)
             elif self.byte_ids:
-                ids += [self.byte_ids[b] for b in p.encode()]
-            elif not ids or ids[-1] != self.unk:
-                ids.append(self.unk)
-        return np.array(ids, "<i4").tobytes(), " ".join(map(str, ids)), self._surface(ids)
-
-    def _keep(self, word: str) -> tuple[bytes, str, str]:
-        got = self._word(word)
-        if len(word) <= 64:
+                out += [self.byte_ids[b] for b in p.encode()]
+            elif not out or out[-1] != self.unk:
+                out.append(self.unk)
+        return array("i", out).tobytes(), " ".join([self.decimals[k] for k in out]), self._surface(out)
+
+    def _find(self, word: str) -> tuple[bytes, str, str]:
+        """The same through what is kept; a word is cut where no piece has the two characters side by side."""
+        got = self.older.get(word)
+        if got is None:
+            pairs = self.pairs
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+            if cuts:
+                found = [self.kept.get(x) or self._find(x) for x in map(word.__getitem__, map(slice, [0, *cuts], [*cuts, len(word)]))]
+                got = b"".join([x[0] for x in found]), " ".join([x[1] for x in found]), "".join([x[2] for x in found])
+            else:
+                got = self._word(word)
+        if len(word) <= KEPT_CHARS:
             if len(self.kept) >= CACHE:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[word] = got
         return got
 
-    def _lines(self, word: str) -> list[tuple[bytes, str, str]]:
-        """A stretch without spaces but its first, cut at line breaks."""
-        get, keep = self.kept.get, self._keep
-        if self.by_line and "\n" in word:
-            return [get(x) or keep(x) for x in self.words.findall(word)]
-        return [keep(word)]
-
     def encode(self, raw: bytes) -> tuple[np.ndarray, str, str]:
         """Ids without an end id, the same as decimals, and what they decode to."""
         if not raw:
             return np.zeros(0, "<i4"), "", ""
-        get = self.kept.get
-        text = raw.decode()
-        if self.by_word and self.dummy and not self.squeeze and self.map is None and not ("  " in text or MARK in text or text[0] == " " or text[-1] == " "):
-            found = []
-            for part in text.split(" "):
-                part = MARK + part
-                got = get(part)
-                if got is not None:
-                    found.append(got)
-                else:
-                    found += self._lines(part)
+        norm = self.normalize(raw)[0].decode()
+        if self.by_word and MARK + MARK not in norm and norm[0] == MARK and norm[-1] != MARK:
+            words = [MARK + w for w in norm[1:].split(MARK)]
         else:
-            norm = self.normalize(raw)[0].decode()
-            found = [get(x) or self._keep(x) for x in self.words.findall(norm)]
+            words = self.words.findall(norm)
+        get, find = self.kept.get, self._find
+        found = []
+        for w in words:
+            got = get(w)
+            if got is None:
+                got = find(w)
+                get = self.kept.get
+            found.append(got)
         decoded = "".join([x[2] for x in found])
         if (self.dummy or self.squeeze) and decoded.startswith(" ") and found:
             decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
