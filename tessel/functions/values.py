@@ -42,7 +42,7 @@ def skip_empty_array(values: Column) -> Column:
 
 def split_values(text: Column, separator: str) -> Column:
     """The trimmed, non-empty parts of a text."""
-    parts = F.transform(F.split(text, "\\Q" + separator + "\\E", -1), F.trim)
+    parts = F.transform(F.split(text, "\\Q" + separator + "\\E", -1), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

@@ -133,7 +133,8 @@ def find(graph: Graph, edges: DataFrame, source: dict | None = None, target: dic
     """sourceId, sourceLabel, targetId, targetLabel, type, direction and properties of relationships that match."""
     e = edges.where(edge_where(edges, where)) if where else edges
     if direction == "in":
-        e = e.withColumnsRenamed({"src": "dst", "dst": "src", "src_label": "dst_label", "dst_label": "src_label"})
+        turned = {"src": "dst", "dst": "src", "src_label": "dst_label", "dst_label": "src_label"}
+        e = e.select(*[F.col(c).alias(turned.get(c, c)) for c in e.columns])
     for side, column in ((source, "src"), (target, "dst")):
         if side:
             if side.get("labels"):
