@@ -287,6 +287,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
     def by_bucket(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(h):
+            return
         b = bucket_of(h)
         order = np.argsort(b, kind="stable")
         found, first = np.unique(b[order], return_index=True)
