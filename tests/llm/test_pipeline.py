@@ -33,7 +33,7 @@ def test_stages_against_plain_code(spark):
     got = sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in outs[1]), key=str)
     assert got == sorted(((i, h) for i, _, _, h in want), key=str)
 
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode(), 5) for r in outs[1]}
+    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in outs[1]}
     ids, arr = list(fps), np.array(list(fps.values()), np.int64)
     close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= 3)
     roots = union_find(ids, [(ids[a], ids[b]) for a, b in close if a != b])
