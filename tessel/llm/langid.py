@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
@@ -34,7 +35,7 @@ BITS, DIM, GRAMS, MIX = 14, 16, (2, 3, 4), np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 2**BITS
 PER_LANG, EPOCHS, RATE, REJECT = 600, 6, 2.0, 0.001
 #: Tokens kept, and tokens of a text looked up at once.
-CACHE, BLOCK = 500_000, 20_000
+CACHE, BLOCK = 200_000, 20_000
 
 
 @cache
@@ -162,10 +163,10 @@ class Predictor:
         n = np.array([len(b) for b in blocks])
         return np.add.reduceat(self.sums[at].astype(np.float64), np.cumsum(n) - n, axis=0)
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
-        total = np.zeros((len(texts), len(self.m.langs) + 1))
+    def __call__(self, raws: Sequence[bytes | None]) -> list[tuple[str, float, bool]]:
+        total = np.zeros((len(raws), len(self.m.langs) + 1))
         blocks, owners, held = [], [], 0
-        for k, text in enumerate(texts):
+        for k, text in enumerate(map(text_of, raws)):
             if text is None or not any(map(str.isalpha, text)):
                 continue
             tokens = text.lower().split()
@@ -216,14 +217,12 @@ def predict(df: DataFrame, text: str, model: Model | None, prefix: str = "") ->
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS times the number of languages
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def each(texts: pd.Series) -> pd.DataFrame:
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        if m is not None:
-            global _PREDICTOR
-            if globals().get("_PREDICTOR") is None or _PREDICTOR.m is not m:
-                _PREDICTOR = Predictor(m)
-        out = _PREDICTOR([text_of(x) for x in texts]) if m is not None else [("und", 0.0, True)] * len(texts)
-        return pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
+        predictor = Predictor(m) if m is not None else None  # what it keeps goes when the task ends
+        for raws in batches:
+            out = predictor(raws) if predictor else [("und", 0.0, True)] * len(raws)
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
     c = "__lang"
     got = df.withColumn(c, each(F.col(text).cast("binary")))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import documents, id_and_text, utf8
 
 #: Words kept in each of two generations, the longest of them, and the longest that merge by a plain search.
-MARK, CACHE, KEPT_CHARS, SHORT = "▁", 400_000, 64, 48
+MARK, CACHE, KEPT_CHARS, SHORT = "▁", 150_000, 64, 48
 
 
 class CharMap:

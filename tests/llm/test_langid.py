@@ -28,9 +28,9 @@ def test_predictor_sums_as_features_do():
     for text in ["abc uvw Äb abd", "uvx uvx " * 9000, "q"]:
         at, share = L.features(text)
         want = L.softmax((share @ m.rows[at] + m.bias) / m.temperature)
-        ((lang, score, _),) = p([text])
+        ((lang, score, _),) = p([text.encode()])
         assert lang == m.langs[int(want.argmax())] and abs(score - want.max()) < 1e-4
-    assert p([None, "12 3.4 ²"]) == [("und", 0.0, True)] * 2 and p([]) == [] and rng is not None
+    assert p([None, "12 3.4 ²".encode()]) == [("und", 0.0, True)] * 2 and p([]) == [] and rng is not None
 
 
 def test_edges(spark):
