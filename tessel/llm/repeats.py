@@ -41,7 +41,7 @@ GRAMS = MIN - GRAM + 1
 #: An anchor's surroundings: bytes before it and from it on that a string with it can have.
 LEFT, RIGHT = MIN - GRAM, MIN
 #: Bytes of documents in a block, anchors looked at together, classes settled together, and bytes of text to a bucket.
-BLOCK, ANCHORS, SLICE, BUCKET_BYTES = 16_000_000, 400_000, 50_000, 48_000_000
+BLOCK, ANCHORS, SLICE, BUCKET_BYTES = 16_000_000, 400_000, 50_000, 16_000_000
 M1, M2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
 
 
