@@ -30,7 +30,21 @@ from pyspark.sql import functions as F
 from ._common import documents, id_and_text, utf8
 
 #: Words kept in each of two generations, the longest of them, and the longest that merge by a plain search.
-MARK, CACHE, KEPT_CHARS, SHORT = "▁", 150_000, 64, 48
+MARK, CACHE, KEPT_CHARS, SHORT = "▁", 350_000, 64, 48
+
+
+class Kept:
+    """Packed ids of words in two generations: when one is full, it becomes the older one."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(word) <= KEPT_CHARS:
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[word] = ids
 
 
 class CharMap:
@@ -85,8 +99,10 @@ class Codec:
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.by_word else "(?s).+")
         self.pairs = {p[i : i + 2] for p in longer for i in range(len(p) - 1)}
         self.decimals = [str(i) for i in range(len(self.pieces))]
-        self.kept: dict[str, tuple[bytes, str, str]] = {}
-        self.older = self.kept
+        # a byte below 128 is a character wherever it stands; others need their neighbours
+        self.surfaces = [chr(self.bytes_of[i]) if self.bytes_of.get(i, 128) < 128 else "" if k == 3 else self.unk_surface if i == self.unk else p.replace(MARK, " ") for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True))]
+        self.part_of_char = {i for i, b in self.bytes_of.items() if b >= 128}
+        self.spaced, self.bare = Kept(), Kept()  # words after a space mark, without it, and other text
 
     # normalisation
 
@@ -182,12 +198,12 @@ class Codec:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
-    def _word(self, word: str) -> tuple[bytes, str, str]:
-        """Ids of a stretch of normalised text: packed, as decimals, and decoded."""
+    def _word(self, word: str) -> bytes:
+        """Packed ids of a stretch of normalised text."""
         parts = self.merge(word)
         ids = [*map(self.ids.get, parts)]
         if None not in ids:
-            return array("i", ids).tobytes(), " ".join([self.decimals[k] for k in ids]), word.replace(MARK, " ")
+            return array("i", ids).tobytes()
         out: list[int] = []
         for p, k in zip(parts, ids, strict=True):
             if k is not None:
@@ -196,23 +212,19 @@ class Codec:
                 out += [self.byte_ids[b] for b in p.encode()]
             elif not out or out[-1] != self.unk:
                 out.append(self.unk)
-        return array("i", out).tobytes(), " ".join([self.decimals[k] for k in out]), self._surface(out)
+        return array("i", out).tobytes()
 
-    def _find(self, word: str) -> tuple[bytes, str, str]:
+    def _find(self, word: str) -> bytes:
         """The same through what is kept; a word is cut where no piece has the two characters side by side."""
-        got = self.older.get(word)
+        kept, key = (self.spaced, word[1:]) if word[0] == MARK else (self.bare, word)
+        got = kept.new.get(key)
         if got is None:
-            pairs = self.pairs
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
-            if cuts:
-                found = [self.kept.get(x) or self._find(x) for x in map(word.__getitem__, map(slice, [0, *cuts], [*cuts, len(word)]))]
-                got = b"".join([x[0] for x in found]), " ".join([x[1] for x in found]), "".join([x[2] for x in found])
-            else:
-                got = self._word(word)
-        if len(word) <= KEPT_CHARS:
-            if len(self.kept) >= CACHE:
-                self.older, self.kept = self.kept, {}
-            self.kept[word] = got
+            got = kept.old.get(key)
+            if got is None:
+                pairs = self.pairs
+                cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs]
+                got = b"".join([self._find(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]) if cuts else self._word(word)
+            kept.put(key, got)
         return got
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, str, str]:
@@ -221,25 +233,21 @@ class Codec:
             return np.zeros(0, "<i4"), "", ""
         norm = self.normalize(raw)[0].decode()
         if self.by_word and MARK + MARK not in norm and norm[0] == MARK and norm[-1] != MARK:
-            words = [MARK + w for w in norm[1:].split(MARK)]
+            words = norm[1:].split(MARK)
+            found = [*map(self.spaced.new.get, words)]
+            for i in [i for i, x in enumerate(found) if x is None]:
+                found[i] = self._find(MARK + words[i])
         else:
-            words = self.words.findall(norm)
-        get, find = self.kept.get, self._find
-        found = []
-        for w in words:
-            got = get(w)
-            if got is None:
-                got = find(w)
-                get = self.kept.get
-            found.append(got)
-        decoded = "".join([x[2] for x in found])
-        if (self.dummy or self.squeeze) and decoded.startswith(" ") and found:
-            decoded = decoded.lstrip(" ") if self.squeeze else decoded[1:]
-        return np.frombuffer(b"".join([x[0] for x in found]), "<i4"), " ".join([x[1] for x in found]), decoded
+            found = [self._find(w) for w in self.words.findall(norm)]
+        ids = np.frombuffer(b"".join(found), "<i4")
+        listed = ids.tolist()
+        return ids, " ".join([self.decimals[k] for k in listed]), self.decode(listed)
 
     # decoding and offsets
 
     def _surface(self, ids: list[int]) -> str:
+        if self.part_of_char.isdisjoint(ids):
+            return "".join([self.surfaces[k] for k in ids])
         out, run = [], bytearray()
         for k in [*ids, -1]:
             if k in self.bytes_of:
