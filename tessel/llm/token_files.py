@@ -12,7 +12,8 @@ the same file again and no reader meets half of one. What a task returns says fo
 where its ids are. File offsets come from sums by file, and every file is read by one task through a memory map.
 
 The encoder is the tokenizers library with special tokens read as ordinary text. A space before a letter always
-starts a new pre-token, so texts are cut there, and the ids of a cut piece are kept and used again in its task.
+starts a new pre-token, so texts are cut into words there, and words where letters meet signs; the ids of what was
+cut are kept and used again in their task.
 
 Defined results: a null or empty text is the end id alone; invalid UTF-8 reads as replacement characters; null
 doc_ids come first, and rows of equal doc_id are ordered by their text; an empty table gives no rows and no files.
@@ -20,9 +21,12 @@ doc_ids come first, and rows of equal doc_id are ordered by their text; an empty
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,47 +41,127 @@ from ._common import documents, id_and_text, materialize, utf8, work_dir
 SEQUENCE, BATCH, END = 2048, 64, 2
 #: Ids of a file, about, and bytes of text of a task, about.
 FILE_IDS, TASK_BYTES = 16_000_000, 64_000_000
-#: Cut pieces kept in each of two generations, and the longest of them.
-CACHE, KEPT_CHARS = 300_000, 64
+#: Words kept in each of two generations, and the longest of them.
+CACHE, KEPT_CHARS = 400_000, 64
+
+
+class Kept:
+    """A dictionary in two generations: when one is full, it becomes the older one, and what is met again moves up."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def again(self, key: str) -> bytes | None:
+        """Looks in the older generation."""
+        found = self.old.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= KEPT_CHARS:
+            if len(self.new) >= CACHE:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
 
 
 class Encoder:
-    """Ids of texts by a tokenizers model; pieces of texts that were met before are looked up."""
+    """Ids of texts by a tokenizers model; words and parts of words that were met before are looked up."""
 
     def __init__(self, blob: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_buffer(blob)
         self.model.encode_special_tokens = True
-        self.by_space = "ByteLevel" in str(self.model.pre_tokenizer) and "add_prefix_space=False" in str(self.model.pre_tokenizer) and self.model.normalizer is None
+        pre = str(self.model.pre_tokenizer)
+        self.by_space = "ByteLevel" in pre and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.model.normalizer is None
         self.kind = "<u2" if self.model.get_vocab_size() <= 2**16 else "<u4"
-        self.kept: dict[str, bytes] = {}
-        self.older = self.kept
+        self.code = "H" if self.kind == "<u2" else "I"
+        self.words, self.parts = Kept(), Kept()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, part: str) -> bytes | None:
+        """Ids of a part of a text; one that starts with a space is kept as a word."""
+        kept, key = (self.words, part[1:]) if part[0] == " " else (self.parts, part)
+        got = kept.new.get(key)
+        return kept.again(key) if got is None else got
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, without the space before them, that aren't kept."""
+        out, cut_up, unknown = {}, [], {}
+        for w in words:
+            got = self.words.again(w)
+            if got is not None:
+                out[w] = got
+                continue
+            parts = CUTS.split(" " + w)
+            found = [self._find(p) for p in parts] if len(parts) > 1 else [None]
+            cut_up.append((w, parts, found))
+            for p, x in zip(parts, found, strict=True):
+                if x is None:
+                    unknown[p] = b""
+        if unknown:
+            unknown = dict(zip(unknown, self._ids(list(unknown)), strict=True))
+        for p, ids in unknown.items():
+            kept, key = (self.words, p[1:]) if p[0] == " " else (self.parts, p)
+            kept.put(key, ids)
+        for w, parts, found in cut_up:
+            out[w] = got = b"".join([unknown[p] if x is None else x for p, x in zip(parts, found, strict=True)])
+            if len(parts) > 1:
+                self.words.put(w, got)
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_space:
-            return [np.frombuffer(x, self.kind) for x in self._ids(texts)]
-        out = []
-        for text in texts:
-            pieces = cut(text)
-            get = self.kept.get
-            found = [get(p) for p in pieces]
-            if None in found:
-                missing = list(dict.fromkeys([p for p, x in zip(pieces, found, strict=True) if x is None]))
-                older = self.older.get
-                fresh = {p: x for p in missing if (x := older(p)) is not None}
-                unknown = [p for p in missing if p not in fresh]
-                fresh |= zip(unknown, self._ids(unknown), strict=True)
-                found = [fresh[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-                if len(self.kept) + len(fresh) > CACHE:
-                    self.older, self.kept = self.kept, {}
-                self.kept.update((p, x) for p, x in fresh.items() if len(p) <= KEPT_CHARS)
-            out.append(np.frombuffer(b"".join(found), self.kind))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        whole = [k for k, t in enumerate(texts) if not self.by_space or odd_space(t)]
+        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                out[k] = np.frombuffer(self._words(*text.split(" ")), self.kind)
         return out
 
+    def _words(self, first: str, *words: str) -> bytes:
+        """Ids of a text cut at its spaces, none of which has white space beside it."""
+        found = [*map(self.words.new.get, words)]
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            fresh = self._learn([*dict.fromkeys([words[i] for i in missing])])
+            for i in missing:
+                found[i] = fresh[words[i]]
+        head = b""
+        if first:
+            head = self._find(first)
+            if head is None:
+                (head,) = self._ids([first])
+                self.parts.put(first, head)
+        return b"".join([head, *found])
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with other spaces, cut where a pre-token surely starts."""
+        cuts = [cut(t) if self.by_space else [t] for t in texts]
+        ids = iter(self._ids([p for c in cuts for p in c]))
+        return [np.frombuffer(b"".join([next(ids) for _ in c]), self.kind) for c in cuts]
+
+
+#: A space that white space or the end follows.
+ODD_SPACE = re.compile(r" (?!\S)")
+
+
+def odd_space(text: str) -> bool:
+    if text.isascii():
+        return text.endswith(" ") or any(f" {c}" in text for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return ODD_SPACE.search(text) is not None
+
+
+#: Where a pre-token surely ends within a word: between Latin letters or digits and signs, and around line breaks.
+_WORD, _SIGN = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"!-&(-/:-@\[-`{-~"
+CUTS = re.compile(rf"(?<=[{_WORD}])(?=[{_SIGN}\n])|(?<=[{_SIGN}])(?=[{_WORD}\n])|(?<=\n)(?=\S)")
+
 
 def cut(text: str) -> list[str]:
     """Cuts before every space that something other than white space follows: there a pre-token always starts."""

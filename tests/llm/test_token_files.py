@@ -12,7 +12,7 @@ from tessel.llm._common import work_dir
 LIB = Tokenizer.from_file(T.tokenizer_path())
 LIB.encode_special_tokens = True
 ENC = T.Encoder(open(T.tokenizer_path(), "rb").read())
-TEXT = st.text(st.one_of(st.sampled_from(" \n\t 　abc1!é's<|>"), st.characters(exclude_categories=["Cs"])), max_size=50)
+TEXT = st.text(st.one_of(st.sampled_from(" \n\t 　abc1!é's<|>"), st.characters(exclude_categories=["Cs"])), max_size=50) | st.lists(st.sampled_from(['the', 'word,', 'it\'s', '\'.', 'a.b', 'é.', '3.5', '(x)', '\n\nz', 'q\n', '—.', '!\'ll', '_a', 'ŉ!']), max_size=12).map(' '.join)
 
 
 @settings(max_examples=500, deadline=None)
