@@ -30,11 +30,11 @@ from ._common import WS, WS_CLASS, documents, materialize
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_PERCENT, STEPS, MIN_GROUP = 75, 3, 60
-#: The squared distance beyond which a document is rejected; the median of chi-squared with as many degrees as DIMS.
-CUTOFF, CHI2_MEDIAN = 80.0, 4.351
+#: The 99.9 % quantile of chi-squared with as many degrees as DIMS, beyond which a squared distance is rejected, and its median.
+CUTOFF, CHI2_MEDIAN = 20.515, 4.351
 DIMS = ("log_words", "word_length", "symbols", "dup_lines", "repeats")
-#: The least spread of each statistic: differences below it are never far.
-FLOOR = {"log_words": 0.5, "word_length": 0.4, "symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15}
+#: The least spread of each statistic: differences below it are never far. Its full range is far beyond CUTOFF of them.
+FLOOR = {"log_words": 0.25, "word_length": 0.2, "symbols": 0.02, "dup_lines": 0.1, "repeats": 0.1}
 #: Classes of distances to a doubling, from this least distance on.
 CLASSES, LEAST = 16, 1e-6
 

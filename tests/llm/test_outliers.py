@@ -105,3 +105,23 @@ def test_empty_and_constant(spark):
     assert O.quality(docs).count() == 0
     same = spark.createDataFrame([(i, "word%d " % i + " ".join(f"w{k}" for k in range(80)), "en", "s") for i in range(100)], docs.schema)
     assert O.quality(same).where(F.col("kept")).count() == 100
+
+
+def test_an_outlier_in_each_statistic(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    lines = lambda n, size=10, chars=5: [" ".join(word(chars) for _ in range(size)) for _ in range(n)]
+    clean = ["\n".join(lines(rng.randrange(15, 40))) for _ in range(300)]
+    again = " ".join(lines(6)).split()  # 60 words that come twice, in lines that never do
+    planted = {
+        "log_words": "\n".join(lines(1500)),
+        "word_length": "\n".join(lines(25, chars=9)),
+        "symbols": "\n".join(x + " #$%" for x in lines(25)),
+        "dup_lines": "\n".join(x + "\nsame" for x in lines(25)),
+        "repeats": "\n".join([" ".join(again[i : i + 10]) for i in range(0, 60, 10)] + lines(15) + [" ".join(again[i : i + 7]) for i in range(0, 60, 7)]),
+    }
+    rows = [(i, t, "en", "s") for i, t in enumerate([*clean, *planted.values()])]
+    out = {r.doc_id: r for r in O.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {d for i, d in enumerate(planted) if out[len(clean) + i].kept} == set()
+    assert sum(out[i].kept for i in range(len(clean))) >= 290
