@@ -42,7 +42,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 IDENT = re.compile(r"(?<![A-Za-z0-9])(?:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}", re.I | re.A)
 IDENT_HINTS = ("user", "login", "client", "account", "access")
-KEY = re.compile(r"[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]+")
 GAP = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -74,7 +74,7 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     if "://" in text:
         out += [("endpoint", m.start(), m.end()) for m in ENDPOINT.finditer(text)]
     if out or any(k == "access" for k, _, _ in base):
-        out += [("key", m.start(), m.end()) for m in KEY.finditer(text) if not (m.start() and re.match(r"[A-Za-z0-9+/_=-]", text[m.start() - 1])) and _key_like(m.group())]
+        out += [("key", m.start(), m.end()) for m in KEY.finditer(text) if _key_like(m.group())]
     taken = sorted((a, b) for _, a, b in base)
     ends, most = [], 0  # the furthest end of all base spans up to each
     for _, b in taken:
@@ -95,11 +95,15 @@ class Near:
     def __init__(self, spans: list[Span], kinds: tuple[str, ...], gaps: list[int]):
         self.spans = sorted((a, b, k) for k, a, b in spans if k in kinds)
         self.starts, self.gaps = [a for a, _, _ in self.spans], gaps
+        self.furthest, most = [], 0  # which of the spans up to each has the furthest end
+        for j, (_, b, _) in enumerate(self.spans):
+            most = j if b >= self.spans[most][1] else most
+            self.furthest.append(most)
 
     def to(self, start: int, end: int) -> tuple[int, int, str] | None:
         i, scope = bisect_left(self.starts, start), bisect_left(self.gaps, start)
         best = None
-        for j in (i - 1, i, i + 1):
+        for j in (i - 1, self.furthest[i - 1] if i else -1, i, i + 1):
             if 0 <= j < len(self.spans):
                 a, b, _ = self.spans[j]
                 apart = max(a - end, start - b, 0)
