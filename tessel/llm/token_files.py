@@ -11,9 +11,9 @@ under the shared folder, each under another name first and then renamed, so a re
 the same file again and no reader meets half of one. What a task returns says for each document in which file and
 where its ids are. File offsets come from sums by file, and every file is read by one task through a memory map.
 
-The encoder is the tokenizers library with special tokens read as ordinary text. A space before a letter always
-starts a new pre-token, so texts are cut into words there, and words where letters meet signs; the ids of what was
-cut are kept and used again in their task.
+The encoder is the tokenizers library as loaded, without special tokens added. A space before a letter always starts
+a new pre-token, so texts are cut into words there, and words where letters meet signs; the ids of what was cut are
+kept and used again in their task. Texts that hold the string of an added token go to the library whole.
 
 Defined results: a null or empty text is the end id alone; invalid UTF-8 reads as replacement characters; null
 doc_ids come first, and rows of equal doc_id are ordered by their text; an empty table gives no rows and no files.
@@ -67,14 +67,18 @@ class Kept:
 
 
 class Encoder:
-    """Ids of texts by a tokenizers model; words and parts of words that were met before are looked up."""
+    """Ids of texts by a tokenizers model; words and parts of words that were met before are looked up.
 
-    def __init__(self, blob: bytes):
+    ``special_as_text`` reads the strings of special tokens as ordinary text, which the library doesn't by default.
+    """
+
+    def __init__(self, blob: bytes, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_buffer(blob)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         pre = str(self.model.pre_tokenizer)
         self.by_space = "ByteLevel" in pre and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.model.normalizer is None
         self.kind = "<u2" if self.model.get_vocab_size() <= 2**16 else "<u4"
@@ -84,6 +88,9 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def _find(self, part: str) -> bytes | None:
         """Ids of a part of a text; one that starts with a space is kept as a word."""
         kept, key = (self.words, part[1:]) if part[0] == " " else (self.parts, part)
@@ -117,7 +124,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if not self.by_space or odd_space(t)]
+        whole = [k for k, t in enumerate(texts) if not self.by_space or odd_space(t) or self._holds_added(t)]
         for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = ids
         for k, text in enumerate(texts):
@@ -143,7 +150,7 @@ class Encoder:
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts with other spaces, cut where a pre-token surely starts."""
-        cuts = [cut(t) if self.by_space else [t] for t in texts]
+        cuts = [cut(t) if self.by_space and not self._holds_added(t) else [t] for t in texts]
         ids = iter(self._ids([p for c in cuts for p in c]))
         return [np.frombuffer(b"".join([next(ids) for _ in c]), self.kind) for c in cuts]
 
@@ -274,7 +281,7 @@ def encoder_of(blob: bytes) -> Encoder:
     key = zlib.crc32(blob)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(blob)
+        _ENCODERS[key] = Encoder(blob, special_as_text=False)
     return _ENCODERS[key]
 
 

@@ -65,3 +65,19 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     folder = work_dir(spark, "none")
     assert T.read_files(T.write_files(docs, folder), folder).count() == 0
+
+
+def test_added_tokens_as_the_library_loads_them(spark):
+    plain = Tokenizer.from_file(T.tokenizer_path())
+    encoder = T.encoder_of(open(T.tokenizer_path(), "rb").read())
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f" {end} ", f"one {end}two  {end}{end}\n three", f"{end[:-1]} {end[1:]}", "a b c", f"it's{end}.\n\n{end} x ", "word, it's (x) <|end|> of text"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 50256, 65]
+    for _ in range(2):  # the second time from kept words
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+    folder = work_dir(spark, "added")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in T.read_files(T.write_files(docs, folder), folder).collect()}
+    for i, ids in enumerate(want):
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
