@@ -1,32 +1,38 @@
 """Removal of long strings that start in a document with a smaller id too, by suffix arrays of candidate text.
 
 Every ``MIN``-byte string is anchored at its least-hashed gram of ``GRAM`` bytes, so equal strings have equal anchors
-at equal places in them. The work goes in rounds over the documents, which are first written once:
-
-1. Anchors' hashes, each once for a block of documents, are dealt out by hash; those that a second document has too
-   are shared. Only they go on, filed by the input split they came from.
-2. The surroundings of shared anchors, as far as a string around the anchor can reach, are made into classes of equal
-   surroundings. In a block, only the smallest document of a class is sent on: the others' strings start in it too.
-   Heads of classes meet by hash, and classes of one head count among the others by their smallest document.
-3. Where classes of an anchor differ, hashes of their strings tell which could be equal; the text around those, each
-   different piece once, is concatenated and suffix-sorted by grouping. Neighbours in that order with equal first
-   ``MIN`` bytes are equal strings, and their smallest document decides.
-4. Removed stretches go back to their splits, where each document's are joined and cut out.
-
-A hot string is sent once a block, so its rows grow with the blocks and not with the documents that hold it, and no
-pairs are made. Strings are judged on the input. Blocks are ``BLOCK`` bytes of whole documents.
+at equal places in them. The documents are first written once, each row with the number of its part (the task that
+wrote it) and of its own, which all later passes read; how Spark splits the files for a pass does not matter.
+
+1. Anchors' hashes with the documents that have them are dealt out to buckets by hash; those that two documents have
+   are shared. Only they go on, filed by part.
+2. The surroundings of shared anchors, as far as a string around the anchor can reach, are classes of equal text,
+   told by hashes beside that of the anchor. Each block sends a class once, with the smallest document that has it; the
+   answer is the smallest of all blocks, and whether the anchor has other classes. All strings of a class start in its
+   smallest document, so the others lose them.
+3. Where classes of an anchor differ, each class is sent as text by the parts of its smallest document alone. Hashes of
+   strings tell which could be equal; the text around those, each different piece once, is concatenated and
+   suffix-sorted by grouping. Neighbours in that order with equal first ``MIN`` bytes are equal strings, and their
+   smallest document decides.
+4. Removed stretches of each document are joined and cut out.
+
+An anchor in more than ``HOT`` documents counts as many: its strings are classes of their own and are dealt out by
+their own hashes, so one frequent gram doesn't gather in one bucket. A hot string is sent once a block, so its rows
+grow with the blocks and not with the documents that hold it, and no pairs are made. Strings are judged on the input.
+Blocks are ``BLOCK`` bytes of whole documents.
 
 Defined results: a null text is empty; texts under ``MIN`` bytes keep everything; rows of equal doc_id never count as
-smaller than each other; a null doc_id is the smallest; repeated rows each get a result; an empty table gives no rows.
+smaller than each other; a null doc_id is the smallest; repeated rows each get a result; other columns are not read; an
+empty table gives no rows. What a pass filed for a part and another can't find raises an error.
 """
 
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 from numpy.lib.stride_tricks import sliding_window_view
 from pyarrow import fs
@@ -40,12 +46,18 @@ MIN, GRAM = 50, 16
 GRAMS = MIN - GRAM + 1
 #: An anchor's surroundings: bytes before it and from it on that a string with it can have.
 LEFT, RIGHT = MIN - GRAM, MIN
-#: Bytes of documents in a block, anchors looked at together, classes settled together, and bytes of text to a bucket.
-BLOCK, ANCHORS, SLICE, BUCKET_BYTES = 16_000_000, 400_000, 50_000, 16_000_000
+WIDTH = LEFT + RIGHT
+#: Bytes of documents in a block, and of all documents to a bucket.
+BLOCK, BUCKET_BYTES = 16_000_000, 16_000_000
+#: Places hashed together, anchors looked at together, and classes settled together.
+CHUNK, ANCHORS, SLICE = 1 << 18, 100_000, 50_000
+#: Documents with an anchor from which on its strings are dealt out singly.
+HOT = 200_000
 M1, M2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
+NO_ID = -(2**63)
 
 
-def _extreme(a: np.ndarray, width: int, f) -> np.ndarray:
+def _extreme(a: np.ndarray, width: int, f: Callable) -> np.ndarray:
     """The least or greatest of each window, by doubling."""
     size = 1
     while size * 2 <= width:
@@ -54,118 +66,203 @@ def _extreme(a: np.ndarray, width: int, f) -> np.ndarray:
     return f(a[: len(a) - rest], a[rest:]) if rest else a
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors, those of all its strings."""
-    if len(raw) < MIN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    a = raw.astype(np.uint64)
-    half = a[: len(a) - 7].copy()
-    for j in range(1, 8):
-        half |= a[j : len(a) - 7 + j] << np.uint64(8 * j)
-    h = (half[:-8] * M1) ^ ((half[8:] + np.uint64(12345)) * M2)
-    h ^= h >> np.uint64(31)
-    h *= M1
-    h ^= h >> np.uint64(29)
-    least = _extreme(h, GRAMS, np.minimum)
-    edge = np.zeros(GRAMS - 1, np.uint64)
-    at = np.flatnonzero(_extreme(np.concatenate([edge, least, edge]), GRAMS, np.maximum) == h)
-    return at, h[at]
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data.data, strides=(1,))
 
 
 class Block:
-    """Documents of one split in their order: ids, sequence numbers and bytes."""
-
-    def __init__(self, split: int, first: int, ids: list[int], raws: list[bytes]):
-        self.split, self.ids = split, np.array(ids, np.int64)
-        self.seq = np.arange(first, first + len(ids))
-        self.raws = [np.frombuffer(r, np.uint8) for r in raws]
-
-
-def blocks(frames: Iterator[pd.DataFrame], most: int) -> Iterator[Block]:
-    """Cuts the rows of each split, which come in their order, into blocks; the same each time."""
-    split, seq, ids, raws, held = None, 0, [], [], 0
-    for pdf in frames:
-        for s, i, raw in zip(pdf["split"], pdf["doc_id"], pdf["raw"], strict=True):
-            if s != split or held >= most:
-                if ids:
-                    yield Block(split, seq, ids, raws)
-                seq = seq + len(ids) if s == split else 0
-                split, ids, raws, held = s, [], [], 0
-            ids.append(i)
-            raws.append(bytes(raw))
-            held += len(raw)
-    if ids:
-        yield Block(split, seq, ids, raws)
-
-
-def shared_anchors(block: Block, shared: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row in the block, place and hash of anchors whose hash is in a sorted array, some documents at a time."""
-    rows, places, hashes, n = [], [], [], 0
-    for k, raw in enumerate(block.raws):
-        at, h = anchors(raw)
-        for a in range(0, len(at), ANCHORS):
-            x = h[a : a + ANCHORS]
-            i = np.searchsorted(shared, x)
-            hit = shared[np.minimum(i, len(shared) - 1)] == x if len(shared) else np.zeros(len(x), bool)
-            rows.append(np.full(int(hit.sum()), k))
-            places.append(at[a : a + ANCHORS][hit])
-            hashes.append(x[hit])
-            n += len(rows[-1])
-            if n >= ANCHORS:
-                yield np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
-                rows, places, hashes, n = [], [], [], 0
-    if n:
-        yield np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
-
-
-KEY = np.dtype([("h", ">u8"), ("lo", "u1"), ("hi", "u1"), ("around", f"V{LEFT + RIGHT}")])
-
-
-def surroundings(block: Block, row: np.ndarray, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Per anchor its key: hash, the least and most bytes that a string can have before it, and the bytes around it."""
-    out = np.zeros(len(row), KEY)
-    around = np.zeros((len(row), LEFT + RIGHT), np.uint8)
-    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else []
-    for a, b in zip(starts, [*starts[1:], len(row)], strict=True):
-        raw = block.raws[row[a]]
-        full = np.concatenate([np.zeros(LEFT, np.uint8), raw, np.zeros(RIGHT, np.uint8)])
-        around[a:b] = sliding_window_view(full, LEFT + RIGHT)[at[a:b]]
-        out["hi"][a:b] = np.minimum(at[a:b], LEFT)
-        out["lo"][a:b] = np.maximum(MIN - (len(raw) - at[a:b]), 0)
-    out["h"], out["around"] = h, around.view(f"V{LEFT + RIGHT}").ravel()
+    """Some documents of one part: numbers of their rows, ids, bytes joined, and where each starts (and the last ends)."""
+
+    def __init__(self, part: int, rows: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray):
+        self.part, self.rows, self.ids, self.data, self.starts = part, rows, ids, data, starts
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the anchors of all strings, in order of place."""
+        data, grams = self.data, len(self.data) - GRAM + 1
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        ends = self.starts[1:]
+        # windows that start less than MIN bytes before their document's end hold no string
+        for c in range(0, max(0, grams), CHUNK):
+            lo, hi = max(0, c - GRAMS + 1), min(grams, c + CHUNK + GRAMS - 1)
+            words = _words(np.ascontiguousarray(data[lo : hi + GRAM - 1]))
+            n = hi - lo
+            if n < GRAMS:
+                break
+            full = (words[:n] * M1) ^ ((words[8 : 8 + n] + np.uint64(12345)) * M2)
+            full ^= full >> np.uint64(31)
+            full *= M1
+            full ^= full >> np.uint64(29)
+            h = np.maximum((full >> np.uint64(32)).astype(np.uint32), 1)
+            least = _extreme(h, GRAMS, np.minimum)
+            near = ends[np.searchsorted(ends, lo) : np.searchsorted(ends, lo + len(least) + MIN)]
+            gone = (near[:, None] - np.arange(1, MIN)).ravel() - lo
+            least[gone[(gone >= 0) & (gone < len(least))]] = 0
+            edge = np.zeros(GRAMS - 1, np.uint32)
+            at = np.flatnonzero(_extreme(np.concatenate([edge, least, edge]), GRAMS, np.maximum) == h)
+            at = at[(at + lo >= c) & (at + lo < c + CHUNK)]
+            places.append(at + lo)
+            hashes.append(full[at])
+        return np.concatenate(places), np.concatenate(hashes)
+
+    def row_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """Blocks of rows (part, row, doc_id, raw) that follow each other."""
+    for batch in batches:
+        part, row, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "row", "doc_id"))
+        raw = batch.column("raw").cast(pa.large_binary())
+        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+            other = np.flatnonzero(part[a:b] != part[a])
+            b = a + int(other[0]) if len(other) else b
+            yield Block(int(part[a]), row[a:b], ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            a = b
+
+
+def pack(values: np.ndarray, delta: bool = False) -> bytes:
+    """Numbers as bytes: differences where they are sorted, like bytes beside each other, compressed."""
+    if delta and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, kind: str, delta: bool = False) -> np.ndarray:
+    n, kind = int.from_bytes(blob[:8], "little"), np.dtype(kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    values = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if delta else values
+
+
+def groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each different key with the places that have it, in their order."""
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    found, first = np.unique(keys[order], return_index=True)
+    for k, a, z in zip(found.tolist(), first, [*first[1:], len(order)], strict=True):
+        yield k, order[a:z]
+
+
+class Filed:
+    """What was filed for a part by an earlier step, read once while its blocks follow each other."""
+
+    def __init__(self, folder: str, columns: dict[str, tuple[str, bool]]):
+        self.folder, self.columns, self.part, self.held = folder, columns, None, []
+
+    def rows(self, part: int) -> list[dict]:
+        if part != self.part:
+            where, path = fs.FileSystem.from_uri(self.folder)
+            path = posixpath.join(path, f"part={part}")
+            if where.get_file_info(path).type != fs.FileType.Directory:
+                raise RuntimeError(f"nothing is filed for part {part} in {self.folder}")
+            files = sorted(f.path for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+            rows = [r for f in files for r in pq.read_table(f, filesystem=where, partitioning=None).to_pylist()]
+            self.part, self.held = part, [{c: unpack(r[c], *self.columns[c]) if c in self.columns else r[c] for c in r} for r in rows]
+        return self.held
+
+    def joined(self, part: int) -> dict[str, np.ndarray]:
+        rows = self.rows(part)
+        return {c: np.concatenate([r[c] for r in rows]) for c in self.columns}
+
+
+KEY = np.dtype([("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("around", f"V{WIDTH}")])
+
+
+def names_of(keys: np.ndarray) -> np.ndarray:
+    """64-bit hashes of keys."""
+    around = np.zeros((len(keys), -(-WIDTH // 8) * 8), np.uint8)
+    around[:, :WIDTH] = np.frombuffer(keys["around"].tobytes(), np.uint8).reshape(-1, WIDTH)
+    h = (keys["h"] ^ (keys["lo"].astype(np.uint64) << np.uint64(8)) ^ keys["hi"].astype(np.uint64)) * M1
+    for word in around.view("<u8").T:
+        h = (h ^ (h >> np.uint64(32)) ^ word) * M2
+    h ^= h >> np.uint64(29)
+    h *= M1
+    return h ^ (h >> np.uint64(32))
+
+
+def surroundings(block: Block, at: np.ndarray, h: np.ndarray, single: np.ndarray | None = None) -> np.ndarray:
+    """Per anchor its key: hash, the least and most bytes that a string can have before it, and the bytes around it.
+
+    Where ``single`` is not negative, the key is that of the one string with so many bytes before the anchor.
+    """
+    row = block.row_of(at)
+    start, end = block.starts[row], block.starts[row + 1]
+    out = np.zeros(len(at), KEY)
+    out["h"], out["hi"], out["lo"] = h, np.minimum(at - start, LEFT), np.maximum(MIN - (end - at), 0)
+    full = np.concatenate([np.zeros(LEFT, np.uint8), block.data, np.zeros(RIGHT, np.uint8)])
+    around = sliding_window_view(full, WIDTH)[at]
+    first, last = start - at + LEFT, end - at + LEFT
+    if single is not None:
+        one = single >= 0
+        out["hi"][one] = out["lo"][one] = single[one]
+        first, last = np.where(one, LEFT - single, first), np.where(one, LEFT - single + MIN, last)
+    place = np.arange(WIDTH)
+    around[(place < first[:, None]) | (place >= last[:, None])] = 0
+    out["around"] = around.view(f"V{WIDTH}").ravel()
     return out
 
 
-class Classes:
-    """The classes of a block: each key once, with the smallest document that has it, and the members of all."""
+class Shared:
+    """A block's shared anchors, some at a time: place, key, name and bucket of each, and whether it is a string of a hot one."""
+
+    def __init__(self, filed: Filed, buckets: int):
+        self.filed, self.buckets, self.part, self.known, self.hot = filed, buckets, None, None, None
 
-    def __init__(self, block: Block, shared: np.ndarray):
-        self.ids: dict[bytes, int] = {}
-        self.least: list[int] = []
-        parts = []
-        for row, at, h in shared_anchors(block, shared):
-            keys, back = np.unique(surroundings(block, row, at, h).view(f"V{KEY.itemsize}"), return_inverse=True)
-            low = np.full(len(keys), np.iinfo(np.int64).max)
-            np.minimum.at(low, back, block.ids[row])
-            names = np.empty(len(keys), np.int64)
-            for k, (key, i) in enumerate(zip(keys.tolist(), low.tolist(), strict=True)):
-                key = bytes(key)
-                c = self.ids.setdefault(key, len(self.least))
-                if c == len(self.least):
-                    self.least.append(i)
-                elif i < self.least[c]:
-                    self.least[c] = i
-                names[k] = c
-            parts.append((row, at, names[back]))
-        self.row, self.at, self.name = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+    def bucket_of(self, h: np.ndarray) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
 
-    def keys(self) -> np.ndarray:
-        return np.frombuffer(b"".join(self.ids), KEY)
+    def tag_of(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
+    def place_of(self, h: np.ndarray) -> np.ndarray:
+        """Bucket and tag as one number."""
+        return (self.bucket_of(h).astype(np.uint64) << np.uint64(32)) | self.tag_of(h).astype(np.uint64)
 
-def spans_of(lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last byte of the strings that have lo to hi bytes before the anchor."""
-    return at - hi, at - lo + MIN
+    def _look(self, part: int) -> None:
+        rows = self.filed.rows(part)
+        known = np.concatenate([(np.uint64(r["bucket"]) << np.uint64(32)) | r["tag"].astype(np.uint64) for r in rows])
+        self.known, first = np.unique(known, return_index=True)
+        self.hot, self.part = np.concatenate([r["hot"] for r in rows]).astype(bool)[first], part
+
+    def __call__(self, block: Block) -> Iterator[tuple[np.ndarray, ...]]:
+        if block.part != self.part:
+            self._look(block.part)
+        at, h = block.anchors()
+        if not len(self.known) or not len(at):
+            return
+        full = self.place_of(h)
+        i = np.minimum(np.searchsorted(self.known, full), len(self.known) - 1)
+        hit = self.known[i] == full
+        at, h, hot = at[hit], h[hit], self.hot[i[hit]]
+        step = max(1, ANCHORS // GRAMS) if hot.any() else ANCHORS
+        for a in range(0, len(at), step):
+            p, x, many = at[a : a + step], h[a : a + step], hot[a : a + step]
+            single = np.full(len(p), -1)
+            if many.any():
+                row = block.row_of(p)
+                hi, lo = np.minimum(p - block.starts[row], LEFT), np.maximum(MIN - (block.starts[row + 1] - p), 0)
+                n = np.where(many, hi - lo + 1, 1)
+                back = np.repeat(np.arange(len(p)), n)
+                single = np.where(many[back], lo[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n), -1)
+                p, x = p[back], x[back]
+            keys = surroundings(block, p, x, single)
+            names = names_of(keys)
+            yield p, keys, names, self.bucket_of(np.where(single < 0, x, names)), single >= 0
+
+
+def least_of(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different name, a place that has it, and the smallest id with it."""
+    order = np.lexsort((ids, names))
+    sorted_names = names[order]
+    first = order[np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])] if len(names) else order
+    return names[first], first, ids[first]
 
 
 def settle(keys: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,14 +287,14 @@ def _settle(keys: np.ndarray, least: np.ndarray, many: np.ndarray) -> tuple[np.n
     none = np.zeros(0, np.int64)
     # which strings could be equal: equal hashes within the anchor's classes
     k = keys[many]
-    around = np.frombuffer(k["around"].tobytes(), np.uint8).reshape(-1, LEFT + RIGHT)
-    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(LEFT + RIGHT, BASE, np.uint64)]))
-    sums = np.zeros((len(many), LEFT + RIGHT + 1), np.uint64)
+    around = np.frombuffer(k["around"].tobytes(), np.uint8).reshape(-1, WIDTH)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(WIDTH, BASE, np.uint64)]))
+    sums = np.zeros((len(many), WIDTH + 1), np.uint64)
     np.cumsum((around.astype(np.uint64) + np.uint64(1)) * powers[:-1], axis=1, out=sums[:, 1:])
     could = np.zeros((len(many), LEFT + 1), bool)
     for s in range(LEFT + 1):
         ok = np.flatnonzero((k["lo"] <= s) & (s <= k["hi"]))
-        w = (sums[ok, LEFT - s + MIN] - sums[ok, LEFT - s]) * M1 ^ k["h"][ok].astype(np.uint64) * M2
+        w = (sums[ok, LEFT - s + MIN] - sums[ok, LEFT - s]) * M1 ^ k["h"][ok] * M2
         _, back, n = np.unique(w, return_inverse=True, return_counts=True)
         could[ok, s] = n[back] > 1
     # the text of each run of such strings, each different text once
@@ -206,8 +303,7 @@ def _settle(keys: np.ndarray, least: np.ndarray, many: np.ndarray) -> tuple[np.n
     c2, hi = np.nonzero(padded[:, 1:-1] & ~padded[:, 2:])
     texts: dict[bytes, int] = {}
     flat = around.tobytes()
-    width = LEFT + RIGHT
-    text_of = np.array([texts.setdefault(flat[x * width + LEFT - b : x * width + LEFT - a + MIN], len(texts)) for x, a, b in zip(c.tolist(), lo.tolist(), hi.tolist(), strict=True)], np.int64)
+    text_of = np.array([texts.setdefault(flat[x * WIDTH + LEFT - b : x * WIDTH + LEFT - a + MIN], len(texts)) for x, a, b in zip(c.tolist(), lo.tolist(), hi.tolist(), strict=True)], np.int64)
     if not len(c):
         return none, none, none
     low = np.full(len(texts), np.iinfo(np.int64).max)
@@ -258,155 +354,217 @@ def equal_strings(texts: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.n
     return np.cumsum(counts) - counts, out
 
 
-def read_side(folder: str, split: int, column: str, kind: str) -> np.ndarray:
-    """What was filed for a split, all together."""
-    where, path = fs.FileSystem.from_uri(folder)
-    path = posixpath.join(path, f"split={split}")
-    if where.get_file_info(path).type == fs.FileType.NotFound:
-        return np.zeros(0, kind)
-    files = [f.path for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    parts = [x for f in sorted(files) for x in pq.read_table(f, filesystem=where, columns=[column], partitioning=None)[column].to_pylist()]
-    return np.frombuffer(b"".join(parts), kind)
-
-
-SPANS = np.dtype([("seq", "<i8"), ("a", "<i8"), ("b", "<i8")])
+def joined(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of each row in order, those that overlap or touch made one; places grow with the rows."""
+    if not len(a):
+        return row, a, b
+    order = np.argsort(a, kind="stable")
+    row, a, most = row[order], a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] > most[:-1]) | (row[1:] != row[:-1])]))
+    return row[new], a[new], most[np.concatenate([new[1:] - 1, [len(a) - 1]])]
+
+
+def cut_out(block: Block, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Result rows of a block without the stretches a..b of its documents."""
+    row, a, b = joined(row, a, b)
+    step = np.zeros(len(block.data) + 1, np.int8)
+    step[a] += 1
+    np.subtract.at(step, b, 1)  # a stretch may end where that of the next document starts
+    keep = np.cumsum(step[:-1], dtype=np.int8) == 0
+    left = np.concatenate([[0], np.cumsum(keep)])[block.starts]
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(block.data[keep])])
+    spans = pa.StructArray.from_arrays([pa.array(a - block.starts[row]), pa.array(b - block.starts[row])], names=["start", "end"])
+    each = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(block.ids) + 1)).astype(np.int32)), spans)
+    return pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(np.diff(block.starts)), each, kept.cast(pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+
+def table(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int64() if c in ("part", "bucket") else pa.binary() for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=columns)
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: dict[str, tuple[str, bool]]) -> Iterator[tuple[int, list[int], dict[str, list[np.ndarray]]]]:
+    """The rows of a task's buckets: bucket, the part of each row, and its columns unpacked."""
+    rows: dict[int, list[dict]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows.setdefault(r["bucket"], []).append(r)
+    for bucket in sorted(rows):
+        held = rows.pop(bucket)
+        yield bucket, [r["part"] for r in held], {c: [unpack(r[c], *how) for r in held] for c, how in columns.items()}
+
+
+def answers(parts: list[int], *per_row: list[np.ndarray]) -> Iterator[tuple]:
+    """Per part the arrays of its rows, joined."""
+    at: dict[int, list[int]] = {}
+    for i, p in enumerate(parts):
+        at.setdefault(p, []).append(i)
+    for p, rows in at.items():
+        yield (p, *[np.concatenate([x[i] for i in rows]) for x in per_row])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (removed stretches, joined) and kept (the other bytes)."""
     spark = docs.sparkSession
     home = work_dir(spark, "repeats")
-    d = id_and_text(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), utf8(F.col("text")).alias("raw"))
+    d = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), utf8(F.col("text")).alias("raw"))
+    d = d.select(F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("row"), "doc_id", "raw")
     d.write.option("compression", "zstd").parquet(f"{home}/documents")
-    d = spark.read.schema("doc_id long, no_id boolean, raw binary").parquet(f"{home}/documents")
-    d = d.withColumn("split", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    size, most = d.agg(F.sum(F.octet_length("raw"))).first()[0] or 0, BLOCK
-    buckets = max(1, -(-int(size) // BUCKET_BYTES))
-
-    def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-
-    def by_bucket(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        if not len(h):
-            return
-        b = bucket_of(h)
-        order = np.argsort(b, kind="stable")
-        found, first = np.unique(b[order], return_index=True)
-        for k, a, z in zip(found.tolist(), first, [*first[1:], len(order)], strict=True):
-            yield k, order[a:z]
-
-    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks(frames, most):
-            all_h = [np.unique(anchors(r)[1]) for r in block.raws]
-            h, n = np.unique(np.concatenate(all_h), return_counts=True) if all_h else (np.zeros(0, np.uint64), np.zeros(0, int))
-            rows = [(k, block.split, h[i].astype("<u8").tobytes(), (n[i] > 1).tobytes()) for k, i in by_bucket(h)]
-            yield pd.DataFrame(rows, columns=["bucket", "split", "h", "twice"])
-
-    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, "<u8") for x in pdf["h"]]
-        h = np.concatenate(sets)
-        known, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        twice = n > 1
-        np.logical_or.at(twice, back, np.frombuffer(b"".join(pdf["twice"]), bool))
-        keep, at, out = twice[back], 0, {}
-        for split, x in zip(pdf["split"], sets, strict=True):
-            out.setdefault(split, []).append(x[keep[at : at + len(x)]])
-            at += len(x)
-        rows = [(s, np.unique(np.concatenate(x)).tobytes()) for s, x in out.items()]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["split", "h"])
-
-    first = d.select("split", "doc_id", "raw").mapInPandas(hashes, "bucket long, split long, h binary, twice binary")
-    filed = first.groupBy("bucket").applyInPandas(shared, "split long, h binary")
-    filed.repartition("split").write.partitionBy("split").option("compression", "none").parquet(f"{home}/shared")
-
-    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks(frames, most):
-            classes = Classes(block, np.unique(read_side(f"{home}/shared", block.split, "h", "<u8")))
-            keys, least = classes.keys(), np.array(classes.least, np.int64)
-            mine = block.ids[classes.row] == least[classes.name] if len(keys) else np.zeros(0, bool)
-            row, at, name = classes.row[mine], classes.at[mine], classes.name[mine]
-            order = np.argsort(name, kind="stable")
-            row, at, name = row[order], at[order], name[order]
-            ends = np.searchsorted(name, np.arange(len(keys) + 1))
-            rows = []
-            for k, i in by_bucket(keys["h"].astype(np.uint64)):
-                n = ends[i + 1] - ends[i]
-                m = np.repeat(ends[i], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                rows.append((k, block.split, keys[i].tobytes(), least[i].tobytes(), n.tobytes(), block.seq[row[m]].tobytes(), at[m].tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "split", "keys", "least", "n", "seq", "at"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        every = np.frombuffer(b"".join(pdf["keys"]), f"V{KEY.itemsize}")
-        low = np.frombuffer(b"".join(pdf["least"]), np.int64)
-        keys, name = np.unique(every, return_inverse=True)
-        least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, name, low)
-        keys = np.frombuffer(keys.tobytes(), KEY)
-        found, lo, hi = settle(keys, least)
-        order = np.argsort(found, kind="stable")
-        found, lo, hi = found[order], lo[order], hi[order]
-        first = np.searchsorted(found, np.arange(len(keys) + 1))
-        out, at = {}, 0
-        for split, held, n, seq, place in zip(pdf["split"], pdf["least"], pdf["n"], pdf["seq"], pdf["at"], strict=True):
-            n, seq, place = np.frombuffer(n, np.int64), np.frombuffer(seq, np.int64), np.frombuffer(place, np.int64)
-            mine = name[at : at + len(n)]
-            later = np.frombuffer(held, np.int64) > least[mine]
-            at += len(n)
-            c, late = np.repeat(mine, n), np.repeat(later, n)
-            a, b = spans_of(keys["lo"][c[late]].astype(np.int64), keys["hi"][c[late]].astype(np.int64), place[late])
-            put = [np.rec.fromarrays([seq[late], a, b], dtype=SPANS)]
-            c, seq, place = c[~late], seq[~late], place[~late]
-            runs = first[c + 1] - first[c]
-            r = np.repeat(first[c], runs) + np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
-            a, b = spans_of(lo[r], hi[r], np.repeat(place, runs))
-            put.append(np.rec.fromarrays([np.repeat(seq, runs), a, b], dtype=SPANS))
-            out.setdefault(split, []).extend(put)
-        rows = [(s, b"".join(x.tobytes() for x in p)) for s, p in out.items()]
-        return pd.DataFrame([r for r in rows if r[1]], columns=["split", "spans"])
-
-    second = d.select("split", "doc_id", "raw").mapInPandas(heads, "bucket long, split long, keys binary, least binary, n binary, seq binary, at binary")
-    settled = second.groupBy("bucket").applyInPandas(meet, "split long, spans binary")
-    settled.repartition("split").write.partitionBy("split").option("compression", "zstd").parquet(f"{home}/spans")
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told: dict[int, np.ndarray] = {}
-        for block in blocks(frames, most):
-            if block.split not in told:
-                found = read_side(f"{home}/spans", block.split, "spans", SPANS)
-                told = {block.split: found[np.argsort(found["seq"], kind="stable")]}
-            found = told[block.split]
-            classes = Classes(block, np.unique(read_side(f"{home}/shared", block.split, "h", "<u8")))
-            keys, least = classes.keys(), np.array(classes.least, np.int64)
-            late = block.ids[classes.row] > least[classes.name] if len(keys) else np.zeros(0, bool)
-            k = keys[classes.name[late]] if len(keys) else keys
-            a, b = spans_of(k["lo"].astype(np.int64), k["hi"].astype(np.int64), classes.at[late])
-            row = classes.row[late]
-            edge = np.searchsorted(row, np.arange(len(block.ids) + 1))
-            outer = np.searchsorted(found["seq"], np.append(block.seq, block.seq[-1] + 1))
-            rows = []
-            for i, raw in enumerate(block.raws):
-                x = found[outer[i] : outer[i + 1]]
-                spans = joined(np.concatenate([a[edge[i] : edge[i + 1]], x["a"]]), np.concatenate([b[edge[i] : edge[i + 1]], x["b"]]))
-                kept, at = [], 0
-                text = raw.tobytes()
-                for p, q in spans:
-                    kept.append(text[at:p])
-                    at = q
-                rows.append((int(block.ids[i]), len(text), [{"start": p, "end": q} for p, q in spans], b"".join([*kept, text[at:]])))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
-
-    out = d.select("split", "doc_id", "raw").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches in order, those that overlap or touch made one."""
-    if not len(a):
-        return []
-    order = np.argsort(a, kind="stable")
-    a, most = a[order], np.maximum.accumulate(b[order])
-    new = np.flatnonzero(np.concatenate([[True], a[1:] > most[:-1]]))
-    return list(zip(a[new].tolist(), most[np.concatenate([new[1:] - 1, [len(a) - 1]])].tolist(), strict=True))
+    d = spark.read.schema("part long, row long, doc_id long, raw binary").parquet(f"{home}/documents")
+    size = d.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    buckets, hot_from = max(1, -(-int(size) // BUCKET_BYTES)), HOT
+
+    tags, classes, told = {"tag": ("<u4", True), "n": ("<u2", False)}, {"tag": ("<u4", False), "name": ("<u8", True), "least": ("<i8", False)}, {"key": ("<u1", False), "least": ("<i8", False)}
+    shared_files, class_files, run_files = ({"tag": ("<u4", True), "hot": ("u1", False)}, {"name": ("<u8", True), "least": ("<i8", False), "many": ("u1", False)}, {"name": ("<u8", True), "lo": ("u1", False), "hi": ("u1", False)})
+
+    def dealt(df: DataFrame, meet: Callable, columns: str, name: str) -> None:
+        """Rows of one bucket meet in one task; what comes of them is filed by part."""
+        met = df.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(meet, f"part long, {columns}")
+        met.repartition("part").write.partitionBy("part").option("compression", "none").parquet(f"{home}/{name}")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Shared(None, buckets)
+        for block in blocks(batches):
+            at, h = block.anchors()
+            full = find.place_of(h)
+            order = np.argsort(full, kind="stable")
+            full, row = full[order], block.row_of(at[order])
+            other = np.concatenate([[True], full[1:] != full[:-1]]) if len(full) else np.zeros(0, bool)
+            new = np.flatnonzero(other)
+            docs_with = (other | np.concatenate([[True], row[1:] != row[:-1]])).astype(np.int64) if len(full) else new
+            n = np.minimum(np.add.reduceat(docs_with, new) if len(full) else new, 65535).astype("<u2")
+            bucket, tag = (full[new] >> np.uint64(32)).astype(np.int64), find.tag_of(full[new])
+            rows = [(block.part, k, pack(tag[i], True), pack(n[i])) for k, i in groups(bucket)]
+            rows.append((block.part, block.part % buckets, pack(tag[:0], True), pack(n[:0])))
+            yield table(rows, ["part", "bucket", "tag", "n"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, parts, x in by_bucket(batches, tags):
+            every = np.concatenate(x["tag"])
+            known, back = np.unique(every, return_inverse=True)
+            total = np.bincount(back, np.concatenate(x["n"]), len(known))
+            keep, hot, out = (total > 1)[back], (total > hot_from)[back], []
+            ends = np.cumsum([len(t) for t in x["tag"]])
+            places = [np.arange(e - len(t), e) for e, t in zip(ends, x["tag"], strict=True)]
+            for part, i in answers(parts, places):
+                tag, first = np.unique(every[i[keep[i]]], return_index=True)
+                out.append((part, bucket, pack(tag, True), pack(hot[i[keep[i]]][first].astype("u1"))))
+            yield table(out, ["part", "bucket", "tag", "hot"])
+
+    text = d.select("part", "row", "doc_id", "raw")
+    dealt(text.mapInArrow(hashes, "part long, bucket long, tag binary, n binary"), shared, "bucket long, tag binary, hot binary", "shared")
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Shared(Filed(f"{home}/shared", shared_files), buckets)
+        for block in blocks(batches):
+            got = [(keys["h"], names, block.ids[block.row_of(at)], bucket) for at, keys, names, bucket, _ in find(block)]
+            h, names, ids, bucket = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(4))
+            names, first, least = least_of(names.astype("<u8"), ids)
+            tag = find.tag_of(h[first].astype(np.uint64))
+            rows = [(block.part, k, pack(tag[i]), pack(names[i], True), pack(least[i])) for k, i in groups(bucket[first])]
+            rows.append((block.part, block.part % buckets, pack(tag[:0]), pack(names[:0], True), pack(least[:0])))
+            yield table(rows, ["part", "bucket", "tag", "name", "least"])
+
+    def leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts, x in by_bucket(batches, classes):
+            every, tag = np.concatenate(x["name"]), np.concatenate(x["tag"])
+            names, first, least = least_of(every, np.concatenate(x["least"]))
+            back = np.searchsorted(names, every)
+            _, group, n = np.unique(tag[first], return_inverse=True, return_counts=True)
+            many = (n[group] > 1)[back]
+            ends = np.cumsum([len(t) for t in x["name"]])
+            places = [np.arange(e - len(t), e) for e, t in zip(ends, x["name"], strict=True)]
+            out = []
+            for part, i in answers(parts, places):
+                found, at = np.unique(every[i], return_index=True)
+                out.append((part, pack(found, True), pack(least[back[i[at]]]), pack(many[i[at]].astype("u1"))))
+            yield table(out, ["part", "name", "least", "many"])
+
+    dealt(text.mapInArrow(firsts, "part long, bucket long, tag binary, name binary, least binary"), leasts, "name binary, least binary, many binary", "classes")
+
+    class Known:
+        """The smallest document of each class, and whether its anchor has others, for the names in a block."""
+
+        def __init__(self) -> None:
+            self.filed, self.part = Filed(f"{home}/classes", class_files), None
+
+        def __call__(self, part: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if part != self.part:
+                x = self.filed.joined(part)
+                order = np.argsort(x["name"], kind="stable")
+                self.name, self.least, self.many, self.part = x["name"][order], x["least"][order], x["many"][order].astype(bool), part
+            i = np.searchsorted(self.name, names)
+            if len(names) and (i.max() >= len(self.name) or (self.name[i] != names).any()):
+                raise RuntimeError(f"a class of part {part} is not filed")
+            return self.least[i], self.many[i]
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = Shared(Filed(f"{home}/shared", shared_files), buckets), Known()
+        for block in blocks(batches):
+            held: dict[str, list] = {"keys": [np.zeros(0, KEY)], "least": [np.zeros(0, np.int64)], "bucket": [np.zeros(0, np.int64)], "names": [np.zeros(0, np.uint64)]}
+            for at, keys, names, bucket, single in find(block):
+                least, many = known(block.part, names)
+                mine = np.flatnonzero(many & ~single & (block.ids[block.row_of(at)] == least))
+                _, first, _ = least_of(names[mine], least[mine])
+                mine = mine[first]
+                for c, v in (("keys", keys), ("least", least), ("bucket", bucket), ("names", names)):
+                    held[c].append(v[mine])
+            keys, least, bucket, names = (np.concatenate(held[c]) for c in ("keys", "least", "bucket", "names"))
+            _, first, _ = least_of(names, least)
+            first = first[np.argsort(keys["h"][first], kind="stable")]
+            keys, least, bucket = keys[first], least[first], bucket[first]
+            rows = [(block.part, k, pack(keys[i].view("u1")), pack(least[i])) for k, i in groups(bucket)]
+            rows.append((block.part, block.part % buckets, pack(np.zeros(0, "u1")), pack(least[:0])))
+            yield table(rows, ["part", "bucket", "key", "least"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts, x in by_bucket(batches, told):
+            every = np.frombuffer(np.concatenate(x["key"]).tobytes(), KEY)
+            name = names_of(every)
+            names, first, least = least_of(name, np.concatenate(x["least"]))
+            found, lo, hi = settle(every[first], least)
+            order = np.argsort(found, kind="stable")
+            found, lo, hi = found[order], lo[order], hi[order]
+            runs, ends = np.searchsorted(found, np.arange(len(names) + 1)), np.cumsum([len(t) for t in x["least"]])
+            places = [np.arange(e - len(t), e) for e, t in zip(ends, x["least"], strict=True)]
+            out = []
+            for part, i in answers(parts, places):
+                c = np.unique(np.searchsorted(names, name[i]))
+                n = runs[c + 1] - runs[c]
+                r = np.repeat(runs[c], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out.append((part, pack(np.repeat(names[c], n), True), pack(lo[r].astype("u1")), pack(hi[r].astype("u1"))))
+            yield table(out, ["part", "name", "lo", "hi"])
+
+    dealt(text.mapInArrow(heads, "part long, bucket long, key binary, least binary"), meet, "name binary, lo binary, hi binary", "runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, filed, part = Shared(Filed(f"{home}/shared", shared_files), buckets), Known(), Filed(f"{home}/runs", run_files), None
+        for block in blocks(batches):
+            if block.part != part:
+                x, part = filed.joined(block.part), block.part
+                order = np.argsort(x["name"], kind="stable")
+                name, lo, hi = (x[c][order] for c in ("name", "lo", "hi"))
+            rows, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def add(row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+                rows.append(row)
+                a.append(at - high)
+                b.append(at - low + MIN)
+
+            for at, keys, names, _, _ in find(block):
+                row = block.row_of(at)
+                least, _ = known(part, names)
+                late = block.ids[row] > least
+                add(row[late], at[late], keys["lo"][late].astype(np.int64), keys["hi"][late].astype(np.int64))
+                at, row, names = at[~late], row[~late], names[~late]
+                first = np.searchsorted(name, names)
+                n = np.searchsorted(name, names, "right") - first
+                r = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                add(np.repeat(row, n), np.repeat(at, n), lo[r].astype(np.int64), hi[r].astype(np.int64))
+            yield cut_out(block, *(np.concatenate(v) for v in (rows, a, b)))
+
+    out = text.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -53,27 +54,84 @@ def corpus(seed, n=80):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    for seed, block, bucket in ((1, 16_000_000, 48_000_000), (2, 3000, 4000), (3, 1, 1000)):
+    for seed, block, bucket, hot in ((1, 16_000_000, 48_000_000, 10**6), (2, 3000, 4000, 10**6), (3, 1, 1000, 10**6), (4, 3000, 3000, 5), (5, 1, 5000, 0)):
         monkeypatch.setattr(R, "BLOCK", block)
         monkeypatch.setattr(R, "BUCKET_BYTES", bucket)
+        monkeypatch.setattr(R, "HOT", hot)
         rows = corpus(seed)
         docs = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, raw string").repartition(5)
         assert got(R.repeats(docs)) == brute(rows), seed
 
 
+def test_splits_may_differ_between_passes(spark):
+    # what is filed goes by the numbers that rows were written with, however the files are split for a pass
+    rng = random.Random(3)
+    noise = lambda: "".join(chr(rng.randrange(33, 127)) for _ in range(400))
+    rows = [(i, (t or "") + noise()) for i, t in corpus(6)]
+    docs = spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, part string").coalesce(1)
+    hadoop, names = spark.sparkContext._jsc.hadoopConfiguration(), ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        hadoop.set("parquet.block.size", "2000")  # many row groups in one file
+        hadoop.set("parquet.block.size.row.check.min", "5")
+        hadoop.set("parquet.page.size.row.check.min", "5")
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 7000)
+        out, counts = R.repeats(docs), set()
+        for size in (7000, 3000, 10**7, 12000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            again = out.select("*")
+            counts.add(again.rdd.getNumPartitions())
+            assert got(again) == brute(rows)
+        assert len(counts) > 2
+    finally:
+        for n in ("parquet.block.size", "parquet.block.size.row.check.min", "parquet.page.size.row.check.min"):
+            hadoop.unset(n)
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_missing_part_raises(tmp_path):
+    filed = R.Filed(f"file://{tmp_path}", {"name": ("<u8", True)})
+    with pytest.raises(RuntimeError, match="part 3"):
+        filed.rows(3)
+
+
+def one_block(ids, raws):
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+    return R.Block(0, np.arange(len(ids)), np.array(ids), np.frombuffer(b"".join(raws), np.uint8), starts)
+
+
+def test_anchors_by_definition(monkeypatch):
+    rng = random.Random(7)
+    raws = [bytes(rng.choice(b"abcd") for _ in range(rng.choice((0, 10, 49, 50, 51, 200, 700)))) for _ in range(40)] + [b"z" * 120]
+    block = one_block(range(len(raws)), raws)
+    want = block.anchors()
+    for raw, a, b in zip(raws, block.starts, block.starts[1:], strict=False):
+        alone = one_block([0], [raw]).anchors()
+        inside = (want[0] >= a) & (want[0] < b)
+        assert alone[0].tolist() == (want[0][inside] - a).tolist() and alone[1].tolist() == want[1][inside].tolist()
+        for p in range(len(raw) - R.MIN + 1):  # every string has an anchor
+            assert ((alone[0] >= p) & (alone[0] <= p + R.MIN - R.GRAM)).any()
+    monkeypatch.setattr(R, "CHUNK", 64)
+    small = block.anchors()
+    assert small[0].tolist() == want[0].tolist() and small[1].tolist() == want[1].tolist()
+
+
 def test_slices_of_anchors(monkeypatch):
     rng = random.Random(4)
     raws = [("".join(rng.choice("ab") for _ in range(rng.randrange(60, 200))) + "common passage of letters that is long enough to repeat " * 2)[: rng.randrange(80, 300)].encode() for _ in range(60)]
-    block = R.Block(0, 0, list(range(60)), raws)
-    shared = np.unique(np.concatenate([R.anchors(r)[1] for r in block.raws]))
-    classes = R.Classes(block, shared)
-    keys, least = classes.keys(), np.array(classes.least)
+    block = one_block(range(60), raws)
+    at, h = block.anchors()
+    every = R.surroundings(block, at, h)
+    names, first, least = R.least_of(R.names_of(every), block.ids[block.row_of(at)])
 
     def strings():
-        runs = {}
-        for c, lo, hi in zip(*R.settle(keys, least), strict=True):
-            runs.setdefault(c, []).append((lo, hi))
-        return {(r, a - x) for r, a, c in zip(classes.row, classes.at, classes.name, strict=True) if r == least[c] for lo, hi in runs.get(c, ()) for x in range(lo, hi + 1)}
+        runs, row = {}, block.row_of(at)
+        for c, lo, hi in zip(*R.settle(every[first], least), strict=True):
+            runs.setdefault(int(c), []).append((lo, hi))
+        name = np.searchsorted(names, R.names_of(every))
+        return {(int(r), int(a) - s) for r, a, c in zip(row, at, name, strict=True) if block.ids[r] == least[c] for lo, hi in runs.get(int(c), ()) for s in range(lo, hi + 1)}
 
     whole = strings()
     monkeypatch.setattr(R, "SLICE", 3)
@@ -81,5 +139,11 @@ def test_slices_of_anchors(monkeypatch):
     assert strings() == whole and len(whole) > 200
 
 
+def test_packed_numbers():
+    for kind in ("<u4", "<u8", "<i8", "u1"):
+        for x in (np.zeros(0, kind), np.array([5], kind), np.sort(np.random.default_rng(1).integers(0, 120, 1000).astype(kind))):
+            assert R.unpack(R.pack(x), kind).tolist() == x.tolist() and R.unpack(R.pack(x, True), kind, True).tolist() == x.tolist()
+
+
 def test_empty(spark):
     assert R.repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
