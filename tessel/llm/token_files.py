@@ -11,22 +11,23 @@ under the shared folder, each under another name first and then renamed, so a re
 the same file again and no reader meets half of one. What a task returns says for each document in which file and
 where its ids are. File offsets come from sums by file, and every file is read by one task through a memory map.
 
-The encoder is the tokenizers library as loaded, without special tokens added. A space before a letter always starts
-a new pre-token, so texts are cut into words there, and words where letters meet signs; the ids of what was cut are
-kept and used again in their task. Texts that hold the string of an added token go to the library whole.
+The encoder is the tokenizers library as loaded, without special tokens added. It cuts texts at white space before
+anything else, so equal words have equal ids: texts are cut at the spaces and line breaks where a new pre-token surely
+starts, Arrow tells which different words a batch has, the library encodes each of them once, and lists of ids are
+taken by word. Words go to the library joined by a control sign that no merge of the vocabulary has, so that they can't
+touch each other. A text that holds the string of an added token goes there whole.
 
 Defined results: a null or empty text is the end id alone; invalid UTF-8 reads as replacement characters; null
-doc_ids come first, and rows of equal doc_id are ordered by their text; an empty table gives no rows and no files.
+doc_ids come first, and rows of equal doc_id are ordered by their text; other columns are not read; an empty table
+gives no rows and no files.
 """
 
 from __future__ import annotations
 
 import os
 import posixpath
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,147 +42,123 @@ from ._common import documents, id_and_text, materialize, utf8, work_dir
 SEQUENCE, BATCH, END = 2048, 64, 2
 #: Ids of a file, about, and bytes of text of a task, about.
 FILE_IDS, TASK_BYTES = 16_000_000, 64_000_000
-#: Words kept in each of two generations, and the longest of them.
-CACHE, KEPT_CHARS = 400_000, 64
+#: Bytes of text whose words are looked at together, and words that go to the library in one text.
+BLOCK, JOINED = 48_000_000, 5000
 
 
-class Kept:
-    """A dictionary in two generations: when one is full, it becomes the older one, and what is met again moves up."""
+#: White space of one byte, first bytes of longer ones, and these in UTF-8: fixed values, the White_Space of Unicode.
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+LONG_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+LEADS = np.isin(np.arange(256), [x[0] for x in LONG_SPACES])
 
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def again(self, key: str) -> bytes | None:
-        """Looks in the older generation."""
-        found = self.old.get(key)
-        if found is not None:
-            self.put(key, found)
-        return found
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of white space."""
+    out = SPACES[data]
+    lead = np.flatnonzero(LEADS[data])
+    if len(lead):
+        next1, next2 = (data[np.minimum(lead + k, len(data) - 1)] for k in (1, 2))
+        for x in LONG_SPACES:
+            hit = (data[lead] == x[0]) & (next1 == x[1]) & (len(x) < 3 or next2 == x[-1]) & (lead + len(x) <= len(data))
+            for k in range(len(x)):
+                out[lead[hit] + k] = True
+    return out
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= KEPT_CHARS:
-            if len(self.new) >= CACHE:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
 
+def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Spaces and line breaks at which a pre-token surely starts, in texts that are joined.
 
-class Encoder:
-    """Ids of texts by a tokenizers model; words and parts of words that were met before are looked up.
-
-    ``special_as_text`` reads the strings of special tokens as ordinary text, which the library doesn't by default.
+    A run of white space ends the pre-token before it. All but its last sign are one pre-token, unless nothing follows
+    it, when all of it is; so the first sign of a run starts one, and so does the last where something follows.
     """
+    gap, edge = white(data), np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    at = np.flatnonzero((data == 32) | (data == 10))
+    first = edge[at] | ~gap[at - 1]
+    last = ~edge[at + 1] & ~gap[np.minimum(at + 1, len(data) - 1)]
+    return at[(first | last) & ~edge[at]]
+
+
+class Encoder:
+    """Ids of texts by a tokenizers model as loaded."""
 
-    def __init__(self, blob: bytes, special_as_text: bool = True):
+    def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_buffer(blob)
-        self.model.encode_special_tokens = special_as_text
-        self.added = [t.content for t in self.model.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
         pre = str(self.model.pre_tokenizer)
         self.by_space = "ByteLevel" in pre and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.model.normalizer is None
         self.kind = "<u2" if self.model.get_vocab_size() <= 2**16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
-        self.words, self.parts = Kept(), Kept()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _holds_added(self, text: str) -> bool:
-        return any(x in text for x in self.added)
-
-    def _find(self, part: str) -> bytes | None:
-        """Ids of a part of a text; one that starts with a space is kept as a word."""
-        kept, key = (self.words, part[1:]) if part[0] == " " else (self.parts, part)
-        got = kept.new.get(key)
-        return kept.again(key) if got is None else got
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, without the space before them, that aren't kept."""
-        out, cut_up, unknown = {}, [], {}
-        for w in words:
-            got = self.words.again(w)
-            if got is not None:
-                out[w] = got
-                continue
-            parts = CUTS.split(" " + w)
-            found = [self._find(p) for p in parts] if len(parts) > 1 else [None]
-            cut_up.append((w, parts, found))
-            for p, x in zip(parts, found, strict=True):
-                if x is None:
-                    unknown[p] = b""
-        if unknown:
-            unknown = dict(zip(unknown, self._ids(list(unknown)), strict=True))
-        for p, ids in unknown.items():
-            kept, key = (self.words, p[1:]) if p[0] == " " else (self.parts, p)
-            kept.put(key, ids)
-        for w, parts, found in cut_up:
-            out[w] = got = b"".join([unknown[p] if x is None else x for p, x in zip(parts, found, strict=True)])
-            if len(parts) > 1:
-                self.words.put(w, got)
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        whole = [k for k, t in enumerate(texts) if not self.by_space or odd_space(t) or self._holds_added(t)]
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        for k, text in enumerate(texts):
-            if out[k] is None:
-                out[k] = np.frombuffer(self._words(*text.split(" ")), self.kind)
-        return out
-
-    def _words(self, first: str, *words: str) -> bytes:
-        """Ids of a text cut at its spaces, none of which has white space beside it."""
-        found = [*map(self.words.new.get, words)]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            fresh = self._learn([*dict.fromkeys([words[i] for i in missing])])
-            for i in missing:
-                found[i] = fresh[words[i]]
-        head = b""
-        if first:
-            head = self._find(first)
-            if head is None:
-                (head,) = self._ids([first])
-                self.parts.put(first, head)
-        return b"".join([head, *found])
-
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts with other spaces, cut where a pre-token surely starts."""
-        cuts = [cut(t) if self.by_space and not self._holds_added(t) else [t] for t in texts]
-        ids = iter(self._ids([p for c in cuts for p in c]))
-        return [np.frombuffer(b"".join([next(ids) for _ in c]), self.kind) for c in cuts]
-
-
-#: A space that white space or the end follows.
-ODD_SPACE = re.compile(r" (?!\S)")
-
-
-def odd_space(text: str) -> bool:
-    if text.isascii():
-        return text.endswith(" ") or any(f" {c}" in text for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
-    return ODD_SPACE.search(text) is not None
-
-
-#: Where a pre-token surely ends within a word: between Latin letters or digits and signs, and around line breaks.
-_WORD, _SIGN = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"!-&(-/:-@\[-`{-~"
-CUTS = re.compile(rf"(?<=[{_WORD}])(?=[{_SIGN}\n])|(?<=[{_SIGN}])(?=[{_WORD}\n])|(?<=\n)(?=\S)")
-
-
-def cut(text: str) -> list[str]:
-    """Cuts before every space that something other than white space follows: there a pre-token always starts."""
-    parts = text.split(" ")
-    out, held = [], parts[0]
-    for p in parts[1:]:
-        if p and not p[0].isspace():
-            if held:
-                out.append(held)
-            held = " " + p
-        else:
-            held += " " + p
-    return [*out, held] if held else out
+        self.sign, self.sign_id = self._sign() if self.by_space else (None, -1)
+
+    def _sign(self) -> tuple[int | None, int]:
+        """A control sign whose token is part of no other, and its id."""
+        tokens = self.model.get_vocab()
+        for sign in (*range(9), *range(14, 28)):
+            ids = self.model.encode(chr(sign), add_special_tokens=False).ids
+            if len(ids) == 1 and sum(self.model.id_to_token(ids[0]) in t for t in tokens) == 1:
+                return sign, ids[0]
+        return None, -1
+
+    def _whole(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Texts that hold the string of an added token."""
+        text, hit = data.tobytes(), set()
+        for x in self.added:
+            at = text.find(x)
+            while at >= 0:
+                hit.add(int(np.searchsorted(starts, at, "right")) - 1)
+                at = text.find(x, at + 1)
+        return np.array(sorted(hit), np.int64)
+
+    def _words(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words joined in some order, how many each has, and the place of each word in that order.
+
+        No word stands for the end of a text. Words go joined if their only white space is a space or break before them.
+        """
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        gaps, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (white(data), data == self.sign if self.sign is not None else np.ones(len(data), bool)))
+        first = np.append(data, 0)[offsets[:-1]]
+        size = np.diff(offsets)
+        plain = (size > 0) & ((first == 32) | (first == 10)) & (np.diff(gaps[offsets]) == 1) & (np.diff(signs[offsets]) == 0)
+        order = [np.flatnonzero(plain), np.flatnonzero(~plain & (size > 0)), np.flatnonzero(size == 0)]
+        found = [np.zeros(0, self.kind)]
+        counts = [np.zeros(0, np.int64)]
+        joined = words.take(pa.array(order[0])).to_pylist()
+        texts = [bytes([self.sign or 0]).join(joined[i : i + JOINED]).decode("utf-8", "replace") for i in range(0, len(joined), JOINED)]
+        for text in texts:  # one at a time: what the library makes of a text is many times its size
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+            signs = ids == self.sign_id
+            found.append(ids[~signs].astype(self.kind))
+            counts.append(np.diff(np.concatenate([[-1], np.flatnonzero(signs), [len(ids)]])) - 1)
+        rest = [w.decode("utf-8", "replace") for w in words.take(pa.array(order[1])).to_pylist()]
+        for i in range(0, len(rest), JOINED):
+            for e in self.model.encode_batch_fast(rest[i : i + JOINED], add_special_tokens=False):
+                found.append(np.array(e.ids, self.kind))
+                counts.append(np.array([len(e.ids)]))
+        found.append(np.full(len(order[2]), END, self.kind))
+        counts.append(np.ones(len(order[2]), np.int64))
+        place = np.empty(len(words), np.int32)
+        place[np.concatenate(order)] = np.arange(len(words))
+        return np.concatenate(found), np.concatenate(counts), place
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of joined texts, each followed by the end id, and how many ids each text has."""
+        at = cuts(data, starts[:-1]) if self.by_space and len(data) else np.zeros(0, np.int64)
+        whole = self._whole(data, starts)
+        if len(whole):
+            at = at[~np.isin(np.searchsorted(starts, at, "right") - 1, whole)]
+        # where words start; the end of a text is an empty word, before the first word of the next text
+        heads = np.sort(np.concatenate([at * 2 + 1, starts[:-1][np.diff(starts) > 0] * 2 + 1, starts[1:] * 2]))
+        offsets = np.append(heads >> 1, len(data)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        ids, sizes, place = self._words(words.dictionary)
+        which = place[words.indices.to_numpy()]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
+        upto = np.cumsum(sizes[which])[heads % 2 == 0]
+        return lists.take(pa.array(which)).flatten().to_numpy(), np.diff(upto, prepend=0)
 
 
 def schema(kind: str, length: int) -> pa.Schema:
@@ -210,33 +187,44 @@ class FileWriter:
     def name(self, number: int) -> str:
         return f"shard-{self.shard:06d}-{number:04d}.arrows"
 
-    def add(self, ids: np.ndarray) -> tuple[str, int]:
-        """The file and place of a document's ids; a document lies in one file."""
-        if self.sink is None or self.in_file >= FILE_IDS:
-            self.close()
-            self.number, self.in_file = self.number + 1, 0
-            self.fs.create_dir(self.path, recursive=True)
-            self.temp = posixpath.join(self.path, f"_{self.name(self.number)}-{uuid.uuid4().hex}")
-            self.sink = self.fs.open_output_stream(self.temp)
-            self.writer = pa.ipc.new_stream(self.sink, schema(self.kind, self.length))
-        place = self.name(self.number), self.in_file
-        self.held.append(ids)
-        self.n, self.in_file = self.n + len(ids), self.in_file + len(ids)
-        while self.n >= self.batch * self.length:
-            self._flush(self.batch * self.length)
-        return place
-
-    def _flush(self, count: int) -> None:
-        all_ids = np.concatenate(self.held)
-        if count:
-            self.writer.write_batch(record_batch(all_ids[:count], self.length, self.kind))
-        self.held, self.n = [all_ids[count:]], len(all_ids) - count
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The file and place of each document's ids; a document lies in one file."""
+        ends = np.cumsum(counts)
+        starts, files, places, i = ends - counts, [], [], 0
+        while i < len(counts):
+            if self.sink is None or self.in_file >= FILE_IDS:
+                self._next()
+            at = starts[i:] - starts[i] + self.in_file
+            j = i + int(np.searchsorted(at, FILE_IDS))  # the first document goes in, as the file has room
+            files.append(np.full(j - i, self.name(self.number), object))
+            places.append(at[: j - i])
+            self.held.append(ids[starts[i] : ends[j - 1]])
+            n = int(ends[j - 1] - starts[i])
+            self.n, self.in_file, i = self.n + n, self.in_file + n, j
+            if self.n >= self.batch * self.length:
+                self._flush(self.n // (self.batch * self.length))
+        return np.concatenate(files) if files else np.zeros(0, object), np.concatenate(places) if places else np.zeros(0, np.int64)
+
+    def _next(self) -> None:
+        self.close()
+        self.number, self.in_file = self.number + 1, 0
+        self.fs.create_dir(self.path, recursive=True)
+        self.temp = posixpath.join(self.path, f"_{self.name(self.number)}-{uuid.uuid4().hex}")
+        self.sink = self.fs.open_output_stream(self.temp)
+        self.writer = pa.ipc.new_stream(self.sink, schema(self.kind, self.length))
+
+    def _flush(self, batches: int) -> None:
+        """Writes whole batches of what is held."""
+        all_ids, size = np.concatenate(self.held), self.batch * self.length
+        for k in range(batches):
+            self.writer.write_batch(record_batch(all_ids[k * size : (k + 1) * size], self.length, self.kind))
+        self.held, self.n = [all_ids[batches * size :]], len(all_ids) - batches * size
 
     def close(self) -> None:
         if self.sink is None:
             return
         if self.n:
-            self._flush(self.n)
+            self.writer.write_batch(record_batch(np.concatenate(self.held), self.length, self.kind))
         self.held, self.n = [], 0
         self.writer.close()
         self.sink.close()
@@ -281,7 +269,7 @@ def encoder_of(blob: bytes) -> Encoder:
     key = zlib.crc32(blob)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(blob, special_as_text=False)
+        _ENCODERS[key] = Encoder(blob)
     return _ENCODERS[key]
 
 
@@ -291,7 +279,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, length: int = SEQUENCE, batch: int = BATCH) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, length: int = SEQUENCE, batch_rows: int = BATCH) -> DataFrame:
     """Writes the files and gives the index: shard, file, seq (order in the shard), doc_id, place (in the file), n_tokens."""
     spark = docs.sparkSession
     with open(tokenizer or tokenizer_path(), "rb") as f:
@@ -299,29 +287,43 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, leng
     d = id_and_text(docs).select("doc_id", utf8(F.col("text")).alias("raw"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-int(size) // TASK_BYTES))
-    dealt = d.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "raw")
+    # equal ids are dealt out by the first bytes of their texts too
+    dealt = d.repartitionByRange(shards, "doc_id", F.substring("raw", 1, 16)).sortWithinPartitions("doc_id", "raw")
     dealt = dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "raw")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, seq = encoder_of(shared.value), None, 0
-        end = np.array([END], encoder.kind)
-        for pdf in frames:
-            if not len(pdf):
+        for batch in batches:
+            if not len(batch):
                 continue
-            shard = int(pdf["shard"].iloc[0])
+            shard = batch.column("shard")
             if writer is None:
-                writer = FileWriter(folder, shard, encoder.kind, length, batch)
-            rows = []
-            for ids in encoder.encode([bytes(x).decode("utf-8", "replace") for x in pdf["raw"]]):
-                rows.append((*writer.add(np.concatenate([ids, end])), len(ids) + 1))
-            out = pd.DataFrame(rows, columns=["file", "place", "n_tokens"])
-            out["doc_id"], out["shard"], out["seq"] = pdf["doc_id"].array, shard, np.arange(seq, seq + len(out))
-            seq += len(out)
-            yield out[["shard", "file", "seq", "doc_id", "place", "n_tokens"]]
+                writer = FileWriter(folder, shard[0].as_py(), encoder.kind, length, batch_rows)
+            counts, files, places = [], [], []
+            for data, starts in texts_of(batch.column("raw")):
+                ids, n = encoder.encode(data, starts)
+                file, place = writer.add(ids, n)
+                counts.append(n)
+                files.append(file)
+                places.append(place)
+            made = [pa.array(np.concatenate(files), pa.string()), pa.array(np.arange(seq, seq + len(batch))), batch.column("doc_id"), pa.array(np.concatenate(places)), pa.array(np.concatenate(counts))]
+            seq += len(batch)
+            yield pa.RecordBatch.from_arrays([shard, *made], names=["shard", "file", "seq", "doc_id", "place", "n_tokens"])
         if writer is not None:
             writer.close()
 
-    return materialize(dealt.mapInPandas(write, "shard int, file string, seq long, doc_id long, place long, n_tokens long"), "index")
+    return materialize(dealt.mapInArrow(write, "shard int, file string, seq long, doc_id long, place long, n_tokens long"), "index")
+
+
+def texts_of(raw: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts joined, and where each starts and the last ends, about ``BLOCK`` bytes at a time."""
+    raw = raw.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    data, a = np.frombuffer(raw.buffers()[2] or b"", np.uint8), 0
+    while a < len(raw):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+        yield data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        a = b
 
 
 def read_files(index: DataFrame, folder: str) -> DataFrame:

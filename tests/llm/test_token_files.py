@@ -9,24 +9,34 @@ from tokenizers import Tokenizer
 from tessel.llm import token_files as T
 from tessel.llm._common import work_dir
 
-LIB = Tokenizer.from_file(T.tokenizer_path())
-LIB.encode_special_tokens = True
+LIB = Tokenizer.from_file(T.tokenizer_path())  # as loaded
 ENC = T.Encoder(open(T.tokenizer_path(), "rb").read())
-TEXT = st.text(st.one_of(st.sampled_from(" \n\t 　abc1!é's<|>"), st.characters(exclude_categories=["Cs"])), max_size=50) | st.lists(st.sampled_from(['the', 'word,', 'it\'s', '\'.', 'a.b', 'é.', '3.5', '(x)', '\n\nz', 'q\n', '—.', '!\'ll', '_a', 'ŉ!']), max_size=12).map(' '.join)
+SIGN = st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85\u00a0\u1680\u2003\u202f\u3000abc1!é's<|>"), st.characters(exclude_categories=["Cs"]))
+TEXT = st.text(SIGN, max_size=50) | st.lists(st.sampled_from(["the", "word,", "it's", "'.", "a.b", "é.", "3.5", "(x)", "\n\nz", "q\n", "—.", "!'ll", "_a", "ŉ!", "\n\n\n", "\u00a0", "\u2003", "", "<|endoftext|>", "x<|endoftext|>", "<|endof"]), max_size=12).map(" ".join)
 
 
-@settings(max_examples=500, deadline=None)
+def encoded(encoder, texts):
+    raws = [t.encode() for t in texts]
+    ids, n = encoder.encode(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64))
+    ends = np.cumsum(n)
+    return [ids[e - k : e].tolist() for e, k in zip(ends, n, strict=True)]
+
+
+def library(texts):
+    return [[*LIB.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+@settings(max_examples=1000, deadline=None)
 @given(st.lists(TEXT, max_size=4))
 def test_ids_as_the_library(texts):
-    got = ENC.encode(texts)
-    assert [x.tolist() for x in got] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
-    assert all("".join(T.cut(t)) == t for t in texts)
+    assert encoded(ENC, texts) == library(texts)
 
 
-def test_pieces_kept_in_generations(monkeypatch):
-    monkeypatch.setattr(T, "CACHE", 5)
-    texts = ["one two three four", "two five six seven", "one two eight", "<|endoftext|> a  b\n c "] * 3
-    assert [x.tolist() for x in ENC.encode(texts)] == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+def test_words_joined_for_the_library(monkeypatch):
+    monkeypatch.setattr(T, "JOINED", 3)
+    texts = ["one two three four", " 's 'll it's '", "one\x00two \x00 x", "<|endoftext|> a  b\n c ", "x " * 100, "\n\n\n\n", "\n", "a\n\n b"] * 2
+    for k in range(len(texts)):
+        assert encoded(ENC, texts[k:]) == library(texts[k:])
 
 
 @pytest.mark.parametrize("file_ids", [50, T.FILE_IDS])
@@ -37,7 +47,7 @@ def test_files_round_trip(spark, monkeypatch, file_ids):
     rows = [(i * 3, texts[i % len(texts)], "q") for i in range(40)] + [(None, "lost id", "q"), (6, "another six", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(5)
     folder = work_dir(spark, "files")
-    index = T.write_files(docs, folder, length=16, batch=3)
+    index = T.write_files(docs, folder, length=16, batch_rows=3)
     got = T.read_files(index, folder).collect()
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     want, start = [], 0
@@ -68,16 +78,14 @@ def test_empty(spark):
 
 
 def test_added_tokens_as_the_library_loads_them(spark):
-    plain = Tokenizer.from_file(T.tokenizer_path())
-    encoder = T.encoder_of(open(T.tokenizer_path(), "rb").read())
     end = "<|endoftext|>"
     texts = [f"a{end}b", end, f" {end} ", f"one {end}two  {end}{end}\n three", f"{end[:-1]} {end[1:]}", "a b c", f"it's{end}.\n\n{end} x ", "word, it's (x) <|end|> of text"]
-    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert want[0] == [64, 50256, 65]
+    want = library(texts)
+    assert want[0] == [64, 50256, 65, 2]
     for _ in range(2):  # the second time from kept words
-        assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert encoded(ENC, texts) == want
     folder = work_dir(spark, "added")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in T.read_files(T.write_files(docs, folder), folder).collect()}
     for i, ids in enumerate(want):
-        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
