@@ -43,7 +43,7 @@ SEQUENCE, BATCH, END = 2048, 64, 2
 #: Ids of a file, about, and bytes of text of a task, about.
 FILE_IDS, TASK_BYTES = 16_000_000, 64_000_000
 #: Bytes of text whose words are looked at together, and words that go to the library in one text.
-BLOCK, JOINED = 48_000_000, 5000
+BLOCK, JOINED = 12_000_000, 2000
 
 
 #: White space of one byte, first bytes of longer ones, and these in UTF-8: fixed values, the White_Space of Unicode.
