@@ -48,9 +48,11 @@ GRAMS = MIN - GRAM + 1
 LEFT, RIGHT = MIN - GRAM, MIN
 WIDTH = LEFT + RIGHT
 #: Bytes of documents in a block, and of all documents to a bucket.
-BLOCK, BUCKET_BYTES = 16_000_000, 16_000_000
+BLOCK, BUCKET_BYTES = 32_000_000, 16_000_000
 #: Places hashed together, anchors looked at together, and classes settled together.
 CHUNK, ANCHORS, SLICE = 1 << 18, 100_000, 50_000
+#: How hard packed numbers are compressed; bits of an anchor's hash in its bucket, and of the hash of its surroundings.
+LEVEL, TAG_BITS, NAME_BITS = 6, 28, 48
 #: Documents with an anchor from which on its strings are dealt out singly.
 HOT = 200_000
 M1, M2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
@@ -89,10 +91,7 @@ class Block:
             n = hi - lo
             if n < GRAMS:
                 break
-            full = (words[:n] * M1) ^ ((words[8 : 8 + n] + np.uint64(12345)) * M2)
-            full ^= full >> np.uint64(31)
-            full *= M1
-            full ^= full >> np.uint64(29)
+            full = gram_hash(words[:n], words[8 : 8 + n])
             h = np.maximum((full >> np.uint64(32)).astype(np.uint32), 1)
             least = _extreme(h, GRAMS, np.minimum)
             near = ends[np.searchsorted(ends, lo) : np.searchsorted(ends, lo + len(least) + MIN)]
@@ -130,7 +129,7 @@ def pack(values: np.ndarray, delta: bool = False) -> bytes:
     if delta and len(values):
         values = np.concatenate([values[:1], np.diff(values)])
     planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=LEVEL).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(blob: bytes, kind: str, delta: bool = False) -> np.ndarray:
@@ -173,10 +172,40 @@ class Filed:
 
 
 KEY = np.dtype([("h", "<u8"), ("lo", "u1"), ("hi", "u1"), ("around", f"V{WIDTH}")])
+SENT = np.dtype([("lo", "u1"), ("hi", "u1"), ("around", f"V{WIDTH}")])
+
+
+def tag_of(h: np.ndarray) -> np.ndarray:
+    """What tells an anchor within its bucket."""
+    return (h & np.uint64(2**TAG_BITS - 1)).astype(np.uint32)
+
+
+def gram_hash(words: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Hashes of grams from their first and last eight bytes."""
+    h = (words * M1) ^ ((later + np.uint64(12345)) * M2)
+    h ^= h >> np.uint64(31)
+    h *= M1
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def keys_of(sent: np.ndarray) -> np.ndarray:
+    """Keys with their anchors' hashes."""
+    out = np.zeros(len(sent), KEY)
+    for c in SENT.names:
+        out[c] = sent[c]
+    gram = np.ascontiguousarray(np.frombuffer(sent["around"].tobytes(), np.uint8).reshape(-1, WIDTH)[:, LEFT : LEFT + GRAM]).view("<u8")
+    out["h"] = gram_hash(gram[:, 0], gram[:, -1])
+    return out
+
+
+def with_tag(low: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Names from their low bits and tags, which are the bits above."""
+    return low | tag.astype(np.uint64) << np.uint64(NAME_BITS)
 
 
 def names_of(keys: np.ndarray) -> np.ndarray:
-    """64-bit hashes of keys."""
+    """Hashes of keys with some bits of the anchor's tag above."""
     around = np.zeros((len(keys), -(-WIDTH // 8) * 8), np.uint8)
     around[:, :WIDTH] = np.frombuffer(keys["around"].tobytes(), np.uint8).reshape(-1, WIDTH)
     h = (keys["h"] ^ (keys["lo"].astype(np.uint64) << np.uint64(8)) ^ keys["hi"].astype(np.uint64)) * M1
@@ -184,7 +213,7 @@ def names_of(keys: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(32)) ^ word) * M2
     h ^= h >> np.uint64(29)
     h *= M1
-    return h ^ (h >> np.uint64(32))
+    return with_tag((h ^ (h >> np.uint64(32))) & np.uint64(2**NAME_BITS - 1), tag_of(keys["h"]))
 
 
 def surroundings(block: Block, at: np.ndarray, h: np.ndarray, single: np.ndarray | None = None) -> np.ndarray:
@@ -218,12 +247,9 @@ class Shared:
     def bucket_of(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
 
-    def tag_of(self, h: np.ndarray) -> np.ndarray:
-        return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
     def place_of(self, h: np.ndarray) -> np.ndarray:
         """Bucket and tag as one number."""
-        return (self.bucket_of(h).astype(np.uint64) << np.uint64(32)) | self.tag_of(h).astype(np.uint64)
+        return (self.bucket_of(h).astype(np.uint64) << np.uint64(32)) | tag_of(h).astype(np.uint64)
 
     def _look(self, part: int) -> None:
         rows = self.filed.rows(part)
@@ -414,7 +440,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = d.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets, hot_from = max(1, -(-int(size) // BUCKET_BYTES)), HOT
 
-    tags, classes, told = {"tag": ("<u4", True), "n": ("<u2", False)}, {"tag": ("<u4", False), "name": ("<u8", True), "least": ("<i8", False)}, {"key": ("<u1", False), "least": ("<i8", False)}
+    tags, classes, told = {"tag": ("<u4", True), "n": ("<u2", False)}, {"tag": ("<u4", True), "low": ("<u8", False), "least": ("<i8", False), "sole": ("u1", False)}, {"key": ("<u1", False), "least": ("<i8", False)}
     shared_files, class_files, run_files = ({"tag": ("<u4", True), "hot": ("u1", False)}, {"name": ("<u8", True), "least": ("<i8", False), "many": ("u1", False)}, {"name": ("<u8", True), "lo": ("u1", False), "hi": ("u1", False)})
 
     def dealt(df: DataFrame, meet: Callable, columns: str, name: str) -> None:
@@ -433,7 +459,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             new = np.flatnonzero(other)
             docs_with = (other | np.concatenate([[True], row[1:] != row[:-1]])).astype(np.int64) if len(full) else new
             n = np.minimum(np.add.reduceat(docs_with, new) if len(full) else new, 65535).astype("<u2")
-            bucket, tag = (full[new] >> np.uint64(32)).astype(np.int64), find.tag_of(full[new])
+            bucket, tag = (full[new] >> np.uint64(32)).astype(np.int64), tag_of(full[new])
             rows = [(block.part, k, pack(tag[i], True), pack(n[i])) for k, i in groups(bucket)]
             rows.append((block.part, block.part % buckets, pack(tag[:0], True), pack(n[:0])))
             yield table(rows, ["part", "bucket", "tag", "n"])
@@ -458,68 +484,89 @@ def repeats(docs: DataFrame) -> DataFrame:
         find = Shared(Filed(f"{home}/shared", shared_files), buckets)
         for block in blocks(batches):
             got = [(keys["h"], names, block.ids[block.row_of(at)], bucket) for at, keys, names, bucket, _ in find(block)]
-            h, names, ids, bucket = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(4))
-            names, first, least = least_of(names.astype("<u8"), ids)
-            tag = find.tag_of(h[first].astype(np.uint64))
-            rows = [(block.part, k, pack(tag[i]), pack(names[i], True), pack(least[i])) for k, i in groups(bucket[first])]
-            rows.append((block.part, block.part % buckets, pack(tag[:0]), pack(names[:0], True), pack(least[:0])))
-            yield table(rows, ["part", "bucket", "tag", "name", "least"])
+            h, every, ids, bucket = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(4))
+            names, first, least = least_of(every.astype("<u8"), ids)
+            other = np.zeros(len(names), bool)
+            other[np.searchsorted(names, every[ids > least[np.searchsorted(names, every)]])] = True
+            tag = tag_of(h[first].astype(np.uint64))
+            order = np.lexsort((names, tag))
+            names, tag, least, sole, bucket = names[order], tag[order], least[order], (~other[order]).astype("u1"), bucket[first][order]
+            low = names & np.uint64(2**NAME_BITS - 1)
+            rows = [(block.part, k, pack(tag[i], True), pack(low[i]), pack(least[i]), pack(sole[i])) for k, i in [*groups(bucket), (block.part % buckets, order[:0])]]
+            yield table(rows, ["part", "bucket", "tag", "low", "least", "sole"])
 
     def leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per part the names whose strings it may lose or must send: with the smallest document, the least number where
+        all of the part's documents come after it, and whether the anchor has other classes."""
         for _, parts, x in by_bucket(batches, classes):
-            every, tag = np.concatenate(x["name"]), np.concatenate(x["tag"])
-            names, first, least = least_of(every, np.concatenate(x["least"]))
-            back = np.searchsorted(names, every)
-            _, group, n = np.unique(tag[first], return_inverse=True, return_counts=True)
-            many = (n[group] > 1)[back]
-            ends = np.cumsum([len(t) for t in x["name"]])
-            places = [np.arange(e - len(t), e) for e, t in zip(ends, x["name"], strict=True)]
+            tag, own, sole = (np.concatenate(x[c]) for c in ("tag", "least", "sole"))
+            every = with_tag(np.concatenate(x["low"]), tag)
+            order = np.lexsort((own, every, tag))
+            new = np.concatenate([[True], (every[order][1:] != every[order][:-1]) | (tag[order][1:] != tag[order][:-1])]) if len(order) else order
+            cls = np.empty(len(order), np.int64)
+            cls[order] = np.cumsum(new) - 1
+            least, tags_of = own[order[new.astype(bool)]], tag[order[new.astype(bool)]]
+            _, group, n = np.unique(tags_of, return_inverse=True, return_counts=True)
+            many = (n[group] > 1)[cls]
+            ends = np.cumsum([len(t) for t in x["tag"]])
+            places = [np.arange(e - len(t), e) for e, t in zip(ends, x["tag"], strict=True)]
             out = []
             for part, i in answers(parts, places):
-                found, at = np.unique(every[i], return_index=True)
-                out.append((part, pack(found, True), pack(least[back[i[at]]]), pack(many[i[at]].astype("u1"))))
+                i = i[np.lexsort((own[i], every[i]))]
+                head = np.flatnonzero(np.concatenate([[True], every[i][1:] != every[i][:-1]])) if len(i) else i
+                alone = (np.diff(np.append(head, len(i))) == 1) & (sole[i[head]] == 1)
+                i = i[head]
+                late = own[i] > least[cls[i]]
+                told_least = np.where(late, NO_ID, least[cls[i]])
+                keep = late | many[i] | ~alone
+                out.append((part, pack(every[i][keep], True), pack(told_least[keep]), pack(many[i][keep].astype("u1"))))
             yield table(out, ["part", "name", "least", "many"])
 
-    dealt(text.mapInArrow(firsts, "part long, bucket long, tag binary, name binary, least binary"), leasts, "name binary, least binary, many binary", "classes")
+    dealt(text.mapInArrow(firsts, "part long, bucket long, tag binary, low binary, least binary, sole binary"), leasts, "name binary, least binary, many binary", "classes")
 
     class Known:
-        """The smallest document of each class, and whether its anchor has others, for the names in a block."""
+        """Which documents of a block lose all strings of their classes, and which classes must be sent."""
 
         def __init__(self) -> None:
             self.filed, self.part = Filed(f"{home}/classes", class_files), None
 
-        def __call__(self, part: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def __call__(self, part: int, names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if part != self.part:
                 x = self.filed.joined(part)
                 order = np.argsort(x["name"], kind="stable")
                 self.name, self.least, self.many, self.part = x["name"][order], x["least"][order], x["many"][order].astype(bool), part
-            i = np.searchsorted(self.name, names)
-            if len(names) and (i.max() >= len(self.name) or (self.name[i] != names).any()):
-                raise RuntimeError(f"a class of part {part} is not filed")
-            return self.least[i], self.many[i]
+            if not len(self.name):
+                return np.zeros(len(names), bool), np.zeros(len(names), bool)
+            i = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
+            here = self.name[i] == names  # the others' only document is their smallest, and their anchor has no other class
+            late = here & (ids > self.least[i])
+            return late, here & self.many[i] & ~late
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = Shared(Filed(f"{home}/shared", shared_files), buckets), Known()
         for block in blocks(batches):
             held: dict[str, list] = {"keys": [np.zeros(0, KEY)], "least": [np.zeros(0, np.int64)], "bucket": [np.zeros(0, np.int64)], "names": [np.zeros(0, np.uint64)]}
             for at, keys, names, bucket, single in find(block):
-                least, many = known(block.part, names)
-                mine = np.flatnonzero(many & ~single & (block.ids[block.row_of(at)] == least))
-                _, first, _ = least_of(names[mine], least[mine])
-                mine = mine[first]
-                for c, v in (("keys", keys), ("least", least), ("bucket", bucket), ("names", names)):
+                ids = block.ids[block.row_of(at)]
+                _, many = known(block.part, names, ids)
+                mine = np.flatnonzero(many & ~single)
+                mine = mine[least_of(names[mine], ids[mine])[1]]
+                for c, v in (("keys", keys), ("least", ids), ("bucket", bucket), ("names", names)):
                     held[c].append(v[mine])
             keys, least, bucket, names = (np.concatenate(held[c]) for c in ("keys", "least", "bucket", "names"))
             _, first, _ = least_of(names, least)
             first = first[np.argsort(keys["h"][first], kind="stable")]
             keys, least, bucket = keys[first], least[first], bucket[first]
-            rows = [(block.part, k, pack(keys[i].view("u1")), pack(least[i])) for k, i in groups(bucket)]
+            sent = np.zeros(len(keys), SENT)
+            for c in SENT.names:
+                sent[c] = keys[c]
+            rows = [(block.part, k, pack(sent[i].view("u1")), pack(least[i])) for k, i in groups(bucket)]
             rows.append((block.part, block.part % buckets, pack(np.zeros(0, "u1")), pack(least[:0])))
             yield table(rows, ["part", "bucket", "key", "least"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts, x in by_bucket(batches, told):
-            every = np.frombuffer(np.concatenate(x["key"]).tobytes(), KEY)
+            every = keys_of(np.frombuffer(np.concatenate(x["key"]).tobytes(), SENT))
             name = names_of(every)
             names, first, least = least_of(name, np.concatenate(x["least"]))
             found, lo, hi = settle(every[first], least)
@@ -553,8 +600,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
             for at, keys, names, _, _ in find(block):
                 row = block.row_of(at)
-                least, _ = known(part, names)
-                late = block.ids[row] > least
+                late, _ = known(part, names, block.ids[row])
                 add(row[late], at[late], keys["lo"][late].astype(np.int64), keys["hi"][late].astype(np.int64))
                 at, row, names = at[~late], row[~late], names[~late]
                 first = np.searchsorted(name, names)
