@@ -13,8 +13,8 @@ where its ids are. File offsets come from sums by file, and every file is read b
 
 The encoder is the tokenizers library as loaded, without special tokens added. It cuts texts at white space before
 anything else, so equal words have equal ids: texts are cut at the spaces and line breaks where a new pre-token surely
-starts, Arrow tells which different words a batch has, the library encodes each of them once, and lists of ids are
-taken by word. Words go to the library joined by a control sign that no merge of the vocabulary has, so that they can't
+starts, Arrow tells which different words a batch has, the library encodes those that weren't met before, and lists of
+ids are taken by word. Words go to the library joined by a control sign that no merge of the vocabulary has, so that they can't
 touch each other. A text that holds the string of an added token goes there whole.
 
 Defined results: a null or empty text is the end id alone; invalid UTF-8 reads as replacement characters; null
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ from ._common import documents, id_and_text, materialize, utf8, work_dir
 SEQUENCE, BATCH, END = 2048, 64, 2
 #: Ids of a file, about, and bytes of text of a task, about.
 FILE_IDS, TASK_BYTES = 16_000_000, 64_000_000
-#: Bytes of text whose words are looked at together, and words that go to the library in one text.
-BLOCK, JOINED = 12_000_000, 2000
+#: Bytes of text whose words are looked at together, words that go to the library in one text, words kept for the next
+#: texts, and the longest of them in bytes.
+BLOCK, JOINED, KEPT, KEPT_BYTES = 12_000_000, 2000, 1_000_000, 64
 
 
 #: White space of one byte, first bytes of longer ones, and these in UTF-8: fixed values, the White_Space of Unicode.
@@ -92,6 +94,7 @@ class Encoder:
         self.by_space = "ByteLevel" in pre and "add_prefix_space=False" in pre and "use_regex=True" in pre and self.model.normalizer is None
         self.kind = "<u2" if self.model.get_vocab_size() <= 2**16 else "<u4"
         self.sign, self.sign_id = self._sign() if self.by_space else (None, -1)
+        self.known, self.lists = pa.array([], pa.binary()), pa.array([], pa.list_(pa.from_numpy_dtype(self.kind)))
 
     def _sign(self) -> tuple[int | None, int]:
         """A control sign whose token is part of no other, and its id."""
@@ -112,10 +115,27 @@ class Encoder:
                 at = text.find(x, at + 1)
         return np.array(sorted(hit), np.int64)
 
-    def _words(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of different words joined in some order, how many each has, and the place of each word in that order.
-
-        No word stands for the end of a text. Words go joined if their only white space is a space or break before them.
+    def _words(self, words: pa.BinaryArray) -> pa.ListArray:
+        """Ids of different words; those met before are known, and most of the others are kept."""
+        if not len(words):
+            return self.lists.slice(0, 0)
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        lists = self._encode(new)
+        where = at.fill_null(0).to_numpy().astype(np.int64)
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        where[missing] = len(self.known) + np.arange(len(new))
+        out = pa.concat_arrays([self.lists, lists]).take(pa.array(where))
+        if len(self.known) + len(new) > KEPT:
+            self.known, self.lists, new, lists = words, out, words.slice(0, 0), out.slice(0, 0)
+        short = pc.less_equal(pc.binary_length(new), KEPT_BYTES)
+        self.known, self.lists = pa.concat_arrays([self.known, new.filter(short)]), pa.concat_arrays([self.lists, lists.filter(short)])
+        return out
+
+    def _encode(self, words: pa.BinaryArray) -> pa.ListArray:
+        """Ids of words by the library; no word stands for the end of a text.
+
+        Words go joined if their only white space is a space or break before them.
         """
         offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
         data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
@@ -142,7 +162,8 @@ class Encoder:
         counts.append(np.ones(len(order[2]), np.int64))
         place = np.empty(len(words), np.int32)
         place[np.concatenate(order)] = np.arange(len(words))
-        return np.concatenate(found), np.concatenate(counts), place
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))).take(pa.array(place))
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of joined texts, each followed by the end id, and how many ids each text has."""
@@ -154,11 +175,10 @@ class Encoder:
         heads = np.sort(np.concatenate([at * 2 + 1, starts[:-1][np.diff(starts) > 0] * 2 + 1, starts[1:] * 2]))
         offsets = np.append(heads >> 1, len(data)).astype(np.int32)
         words = pa.BinaryArray.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        ids, sizes, place = self._words(words.dictionary)
-        which = place[words.indices.to_numpy()]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))
-        upto = np.cumsum(sizes[which])[heads % 2 == 0]
-        return lists.take(pa.array(which)).flatten().to_numpy(), np.diff(upto, prepend=0)
+        found = self._words(words.dictionary)
+        sizes = pc.list_value_length(found).to_numpy()
+        upto = np.cumsum(sizes[words.indices.to_numpy()], dtype=np.int64)[heads % 2 == 0]
+        return found.take(words.indices).flatten().to_numpy(), np.diff(upto, prepend=0)
 
 
 def schema(kind: str, length: int) -> pa.Schema:

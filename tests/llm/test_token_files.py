@@ -34,6 +34,8 @@ def test_ids_as_the_library(texts):
 
 def test_words_joined_for_the_library(monkeypatch):
     monkeypatch.setattr(T, "JOINED", 3)
+    monkeypatch.setattr(T, "KEPT", 10)
+    monkeypatch.setattr(T, "KEPT_BYTES", 6)
     texts = ["one two three four", " 's 'll it's '", "one\x00two \x00 x", "<|endoftext|> a  b\n c ", "x " * 100, "\n\n\n\n", "\n", "a\n\n b"] * 2
     for k in range(len(texts)):
         assert encoded(ENC, texts[k:]) == library(texts[k:])
