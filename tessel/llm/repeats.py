@@ -2,7 +2,7 @@
 
 Every ``MIN``-byte string is anchored at its least-hashed gram of ``GRAM`` bytes, so equal strings have equal anchors
 at equal places in them. The documents are first written once, each row with the number of its part (the task that
-wrote it) and of its own, which all later passes read; how Spark splits the files for a pass does not matter.
+wrote it), which all later passes read; how Spark splits the files for a pass does not matter.
 
 1. Anchors' hashes with the documents that have them are dealt out to buckets by hash; those that two documents have
    are shared. Only they go on, filed by part.
@@ -52,7 +52,9 @@ BLOCK, BUCKET_BYTES = 32_000_000, 16_000_000
 #: Places hashed together, anchors looked at together, and classes settled together.
 CHUNK, ANCHORS, SLICE = 1 << 18, 100_000, 50_000
 #: How hard packed numbers are compressed; bits of an anchor's hash in its bucket, and of the hash of its surroundings.
-LEVEL, TAG_BITS, NAME_BITS = 6, 28, 48
+LEVEL, TAG_BITS, NAME_BITS = 9, 28, 48
+#: Bits of a class's name by which a part looks it up in a bucket, if they tell all the part's classes there apart.
+SHORT_BITS = 40
 #: Documents with an anchor from which on its strings are dealt out singly.
 HOT = 200_000
 M1, M2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x100000001B3)
@@ -74,10 +76,10 @@ def _words(data: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Some documents of one part: numbers of their rows, ids, bytes joined, and where each starts (and the last ends)."""
+    """Some documents of one part: their ids, bytes joined, and where each starts (and the last ends)."""
 
-    def __init__(self, part: int, rows: np.ndarray, ids: np.ndarray, data: np.ndarray, starts: np.ndarray):
-        self.part, self.rows, self.ids, self.data, self.starts = part, rows, ids, data, starts
+    def __init__(self, part: int, ids: np.ndarray, data: np.ndarray, starts: np.ndarray):
+        self.part, self.ids, self.data, self.starts = part, ids, data, starts
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the anchors of all strings, in order of place."""
@@ -108,19 +110,19 @@ class Block:
         return np.searchsorted(self.starts, at, "right") - 1
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of rows (part, row, doc_id, raw) that follow each other."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Block]:
+    """Blocks of rows (part, doc_id, raw) that follow each other."""
     for batch in batches:
-        part, row, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "row", "doc_id"))
+        part, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "doc_id"))
         raw = batch.column("raw").cast(pa.large_binary())
         offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
         a = 0
-        while a < len(row):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK, "right")) - 1)
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
             other = np.flatnonzero(part[a:b] != part[a])
             b = a + int(other[0]) if len(other) else b
-            yield Block(int(part[a]), row[a:b], ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield Block(int(part[a]), ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             a = b
 
 
@@ -204,6 +206,11 @@ def with_tag(low: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return low | tag.astype(np.uint64) << np.uint64(NAME_BITS)
 
 
+def short_name(names: np.ndarray, bucket: np.ndarray, bits: int) -> np.ndarray:
+    """Some bits of names, with their bucket above."""
+    return names & np.uint64(2**bits - 1) | bucket << np.uint64(bits)
+
+
 def names_of(keys: np.ndarray) -> np.ndarray:
     """Hashes of keys with some bits of the anchor's tag above."""
     around = np.zeros((len(keys), -(-WIDTH // 8) * 8), np.uint8)
@@ -405,7 +412,7 @@ def cut_out(block: Block, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.R
 
 
 def table(rows: list[tuple], columns: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64() if c in ("part", "bucket") else pa.binary() for c in columns]
+    kinds = [pa.int64() if c in ("part", "bucket", "full") else pa.binary() for c in columns]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=columns)
 
 
@@ -434,11 +441,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     home = work_dir(spark, "repeats")
     d = id_and_text(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), utf8(F.col("text")).alias("raw"))
-    d = d.select(F.spark_partition_id().cast("long").alias("part"), F.monotonically_increasing_id().alias("row"), "doc_id", "raw")
-    d.write.option("compression", "zstd").parquet(f"{home}/documents")
-    d = spark.read.schema("part long, row long, doc_id long, raw binary").parquet(f"{home}/documents")
+    d = d.select(F.spark_partition_id().cast("long").alias("part"), "doc_id", "raw")
+    d.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(f"{home}/documents")
+    d = spark.read.schema("part long, doc_id long, raw binary").parquet(f"{home}/documents")
     size = d.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    buckets, hot_from = max(1, -(-int(size) // BUCKET_BYTES)), HOT
+    buckets, hot_from, most, short_bits = max(1, -(-int(size) // BUCKET_BYTES)), HOT, BLOCK, SHORT_BITS
 
     tags, classes, told = {"tag": ("<u4", True), "n": ("<u2", False)}, {"tag": ("<u4", True), "low": ("<u8", False), "least": ("<i8", False), "sole": ("u1", False)}, {"key": ("<u1", False), "least": ("<i8", False)}
     shared_files, class_files, run_files = ({"tag": ("<u4", True), "hot": ("u1", False)}, {"name": ("<u8", True), "least": ("<i8", False), "many": ("u1", False)}, {"name": ("<u8", True), "lo": ("u1", False), "hi": ("u1", False)})
@@ -450,7 +457,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Shared(None, buckets)
-        for block in blocks(batches):
+        for block in blocks(batches, most):
             at, h = block.anchors()
             full = find.place_of(h)
             order = np.argsort(full, kind="stable")
@@ -477,12 +484,12 @@ def repeats(docs: DataFrame) -> DataFrame:
                 out.append((part, bucket, pack(tag, True), pack(hot[i[keep[i]]][first].astype("u1"))))
             yield table(out, ["part", "bucket", "tag", "hot"])
 
-    text = d.select("part", "row", "doc_id", "raw")
+    text = d.select("part", "doc_id", "raw")
     dealt(text.mapInArrow(hashes, "part long, bucket long, tag binary, n binary"), shared, "bucket long, tag binary, hot binary", "shared")
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Shared(Filed(f"{home}/shared", shared_files), buckets)
-        for block in blocks(batches):
+        for block in blocks(batches, most):
             got = [(keys["h"], names, block.ids[block.row_of(at)], bucket) for at, keys, names, bucket, _ in find(block)]
             h, every, ids, bucket = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(4))
             names, first, least = least_of(every.astype("<u8"), ids)
@@ -498,7 +505,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     def leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per part the names whose strings it may lose or must send: with the smallest document, the least number where
         all of the part's documents come after it, and whether the anchor has other classes."""
-        for _, parts, x in by_bucket(batches, classes):
+        for bucket, parts, x in by_bucket(batches, classes):
             tag, own, sole = (np.concatenate(x[c]) for c in ("tag", "least", "sole"))
             every = with_tag(np.concatenate(x["low"]), tag)
             order = np.lexsort((own, every, tag))
@@ -519,10 +526,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                 late = own[i] > least[cls[i]]
                 told_least = np.where(late, NO_ID, least[cls[i]])
                 keep = late | many[i] | ~alone
-                out.append((part, pack(every[i][keep], True), pack(told_least[keep]), pack(many[i][keep].astype("u1"))))
-            yield table(out, ["part", "name", "least", "many"])
+                name = every[i] & np.uint64(2**short_bits - 1)
+                full = int(len(np.unique(name)) < len(name))
+                name = every[i][keep] if full else name[keep]
+                order = np.argsort(name)
+                out.append((part, bucket, full, pack(name[order], True), pack(told_least[keep][order]), pack(many[i][keep][order].astype("u1"))))
+            yield table(out, ["part", "bucket", "full", "name", "least", "many"])
 
-    dealt(text.mapInArrow(firsts, "part long, bucket long, tag binary, low binary, least binary, sole binary"), leasts, "name binary, least binary, many binary", "classes")
+    dealt(text.mapInArrow(firsts, "part long, bucket long, tag binary, low binary, least binary, sole binary"), leasts, "bucket long, full long, name binary, least binary, many binary", "classes")
 
     class Known:
         """Which documents of a block lose all strings of their classes, and which classes must be sent."""
@@ -530,25 +541,37 @@ def repeats(docs: DataFrame) -> DataFrame:
         def __init__(self) -> None:
             self.filed, self.part = Filed(f"{home}/classes", class_files), None
 
-        def __call__(self, part: int, names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def _look(self, part: int) -> None:
+            rows, self.by = self.filed.rows(part), []
+            for full in (0, 1):
+                mine = [r for r in rows if r["full"] == full]
+                names = [r["name"] if full else short_name(r["name"], np.uint64(r["bucket"]), short_bits) for r in mine] or [np.zeros(0, np.uint64)]
+                names, (least, many) = np.concatenate(names), (np.concatenate([r[c] for r in mine] or [np.zeros(0, np.int64)]) for c in ("least", "many"))
+                order = np.argsort(names, kind="stable")
+                self.by.append((names[order], least[order], many[order].astype(bool), np.unique([r["bucket"] for r in mine])))
+            self.part = part
+
+        def __call__(self, part: int, names: np.ndarray, buckets_of: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if part != self.part:
-                x = self.filed.joined(part)
-                order = np.argsort(x["name"], kind="stable")
-                self.name, self.least, self.many, self.part = x["name"][order], x["least"][order], x["many"][order].astype(bool), part
-            if not len(self.name):
-                return np.zeros(len(names), bool), np.zeros(len(names), bool)
-            i = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
-            here = self.name[i] == names  # the others' only document is their smallest, and their anchor has no other class
-            late = here & (ids > self.least[i])
-            return late, here & self.many[i] & ~late
+                self._look(part)
+            late, send = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            for full, (known, least, many, here) in enumerate(self.by):
+                at = np.flatnonzero(np.isin(buckets_of, here))
+                if len(known) and len(at):
+                    asked = names[at] if full else short_name(names[at], buckets_of[at].astype(np.uint64), short_bits)
+                    i = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                    found = known[i] == asked  # the others' only document is their smallest, and their anchor has no other class
+                    late[at] = found & (ids[at] > least[i])
+                    send[at] = found & many[i]
+            return late, send & ~late
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = Shared(Filed(f"{home}/shared", shared_files), buckets), Known()
-        for block in blocks(batches):
+        for block in blocks(batches, most):
             held: dict[str, list] = {"keys": [np.zeros(0, KEY)], "least": [np.zeros(0, np.int64)], "bucket": [np.zeros(0, np.int64)], "names": [np.zeros(0, np.uint64)]}
             for at, keys, names, bucket, single in find(block):
                 ids = block.ids[block.row_of(at)]
-                _, many = known(block.part, names, ids)
+                _, many = known(block.part, names, bucket, ids)
                 mine = np.flatnonzero(many & ~single)
                 mine = mine[least_of(names[mine], ids[mine])[1]]
                 for c, v in (("keys", keys), ("least", ids), ("bucket", bucket), ("names", names)):
@@ -586,7 +609,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known, filed, part = Shared(Filed(f"{home}/shared", shared_files), buckets), Known(), Filed(f"{home}/runs", run_files), None
-        for block in blocks(batches):
+        for block in blocks(batches, most):
             if block.part != part:
                 x, part = filed.joined(block.part), block.part
                 order = np.argsort(x["name"], kind="stable")
@@ -598,9 +621,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                 a.append(at - high)
                 b.append(at - low + MIN)
 
-            for at, keys, names, _, _ in find(block):
+            for at, keys, names, bucket, _ in find(block):
                 row = block.row_of(at)
-                late, _ = known(part, names, block.ids[row])
+                late, _ = known(part, names, bucket, block.ids[row])
                 add(row[late], at[late], keys["lo"][late].astype(np.int64), keys["hi"][late].astype(np.int64))
                 at, row, names = at[~late], row[~late], names[~late]
                 first = np.searchsorted(name, names)
