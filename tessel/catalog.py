@@ -34,6 +34,8 @@ class Graph:
     edges: list[Edge] = field(default_factory=list)
     #: Columns of strings whose values are datetimes, by label.
     datetimes: dict[str, set[str]] = field(default_factory=dict)
+    #: By label the columns that ``make_id`` made its ids from, so that an id can be looked up by column.
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def records(self, label: str) -> DataFrame:
         if label not in self.labels:
@@ -50,6 +52,24 @@ class Graph:
             raise KeyError("no labels")
         return out
 
+    def has_id(self, label: str, ids: list[str]) -> Column:
+        """Whether a record of the label has one of the ids; by its key columns where there are some, which a scan can skip by."""
+        test, keys = F.col(ID).isin(ids), self.keys.get(label)
+        if keys is None or any(k not in self.records(label).columns for k in keys):
+            return test
+        kind, parts = self.records(label).schema[keys[0]].dataType, [i[len(label) + 1 :] for i in ids if i.startswith(f"{label}:")]
+        first = [p.split(":", 1)[0] if len(keys) > 1 else p for p in parts]
+        if isinstance(kind, T.IntegralType):
+            first = [int(p) for p in first if p.lstrip("-").isdigit()]
+        elif not isinstance(kind, T.StringType) or len(keys) > 1:
+            return test
+        return F.col(keys[0]).isin(first) & test
+
+    def label_of(self, id_: str) -> str | None:
+        """The label that an id names, where ids of it are made from columns."""
+        label = id_.split(":", 1)[0]
+        return label if label in self.keys else None
+
     def properties(self, label: str) -> list[str]:
         return [c for c in self.records(label).columns if not c.startswith("__")]
 
@@ -73,6 +93,14 @@ class Graph:
             df = src.join(dst, "__k").drop("__k")
         return df.withColumns({"type": F.lit(edge.type), "src_label": F.lit(edge.src), "dst_label": F.lit(edge.dst)})
 
+    def edge_count(self, edge: Edge) -> DataFrame:
+        """One row, n: how many relationships an edge has; equal columns are counted by value and never joined by row."""
+        if edge.df is not None:
+            return edge.df.agg(F.count(F.lit(1)).alias("n"))
+        a, b = edge.on
+        src, dst = (self.records(x).groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias(n)) for x, c, n in ((edge.src, a, "n_src"), (edge.dst, b, "n_dst")))
+        return src.join(dst, "k").agg(F.coalesce(F.sum(F.col("n_src") * F.col("n_dst")), F.lit(0)).alias("n"))
+
     def all_edges(self, types: list[str] | None = None) -> DataFrame:
         """src, dst, type and labels of all relationships, or of some types."""
         cols, out = ["src", "dst", "type", "src_label", "dst_label"], None

@@ -6,16 +6,19 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import ID
 
 
 def deduplicated(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """The last row of each key by ``order``; without it, any one of equal keys."""
+    """The last row of each key: by ``order``, or by its place in ``rows``; of equals in order, the greatest row."""
+    ties = [F.col(f"`{f.name}`").desc() for f in rows.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     if order is None:
-        return rows.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+        rows = rows.withColumn("__at", F.monotonically_increasing_id())
+    last = [F.col("__at").desc()] if order is None else [F.col(order).desc(), *ties]
+    w = Window.partitionBy(*keys).orderBy(*last)
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__at")
 
 
 def upsert(current: DataFrame, new: DataFrame, merge_by: list[str] | None = None, strategy: str = "append", order: str | None = None) -> DataFrame:

@@ -80,7 +80,9 @@ def find_properties(graph: Graph, labels: list[str] | None = None, where: dict |
 
 def relationship_counts(graph: Graph) -> DataFrame:
     """label, direction, type, other and n: each kind of relationship from both ends; within one label once, as out."""
-    n = graph.all_edges().groupBy("src_label", "type", "dst_label").agg(F.count(F.lit(1)).alias("n"))
+    none = graph.spark.createDataFrame([], "n long, src_label string, type string, dst_label string")
+    parts = [graph.edge_count(e).select("n", F.lit(e.src).alias("src_label"), F.lit(e.type).alias("type"), F.lit(e.dst).alias("dst_label")) for e in graph.edges]
+    n = reduce(DataFrame.unionByName, parts, none).groupBy("src_label", "type", "dst_label").agg(F.sum("n").alias("n")).where("n > 0")
     out = n.select(F.col("src_label").alias("label"), F.lit("out").alias("direction"), "type", F.col("dst_label").alias("other"), "n")
     back = n.where("src_label <> dst_label").select(F.col("dst_label").alias("label"), F.lit("in").alias("direction"), "type", F.col("src_label").alias("other"), "n")
     return out.unionByName(back)
@@ -94,15 +96,28 @@ def edge_properties(edges: DataFrame) -> DataFrame:
     return edges.agg(*aggs).select(F.inline(F.array(*rows))).where("n > 0")
 
 
+def label_summary(graph: Graph, label: str) -> DataFrame:
+    """One row: label, records and properties (property, type, records, isArray, min, max), from one pass over the records."""
+    df, aggs, rows = graph.records(label), [F.count(F.lit(1)).alias("records")], []
+    for p in sorted(graph.properties(label)):
+        kind, array = graph.type_of(label, p), is_array(df, p)
+        aggs.append(F.count(p).alias(f"n_{p}"))
+        low = high = F.lit(None).cast("string")
+        if kind in ("number", "datetime"):
+            ends = (F.array_min(p), F.array_max(p)) if array else (F.col(p), F.col(p))
+            aggs += [F.min(ends[0]).cast("string").alias(f"lo_{p}"), F.max(ends[1]).cast("string").alias(f"hi_{p}")]
+            low, high = F.col(f"lo_{p}"), F.col(f"hi_{p}")
+        known = low.isNotNull() & F.lit(array)
+        rows.append(F.struct(F.lit(p).alias("property"), F.lit(kind).alias("type"), F.col(f"n_{p}").alias("records"), known.alias("isArray"), low.alias("min"), high.alias("max")))
+    kept = F.filter(F.array(*rows), lambda r: r["records"] > 0) if rows else F.lit(None)
+    return df.agg(*aggs).select(F.lit(label).alias("label"), "records", kept.alias("properties"))
+
+
 def full_schema(graph: Graph, labels: list[str] | None = None) -> DataFrame:
-    """label, records, properties and relationships, most records first."""
-    wanted = labels or sorted(graph.labels)
-    props = reduce(DataFrame.unionByName, [
-        property_counts(graph, x).join(property_stats(graph, x).select("property", "isArray", "min", "max"), "property", "left").withColumn("label", F.lit(x)) for x in wanted
-    ])
-    props = props.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("property", "type", "records", F.coalesce("isArray", F.lit(False)).alias("isArray"), "min", "max"))).alias("properties"))
+    """label, records, properties and relationships, most records first; one pass a label."""
+    parts = reduce(DataFrame.unionByName, [label_summary(graph, x) for x in labels or sorted(graph.labels)])
     rels = relationship_counts(graph).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("direction", "other", "type", "n"))).alias("relationships"))
-    return label_counts(graph, wanted).join(props, "label", "left").join(rels, "label", "left").orderBy(F.desc("records"), "label")
+    return parts.join(rels, "label", "left").orderBy(F.desc("records"), "label")
 
 
 def markdown(graph: Graph, labels: list[str] | None = None, values: int = 5, width: int = 48) -> str:

@@ -85,7 +85,7 @@ class Compiler:
         tests = []
         for key, value in where.items():
             if key == "$id":
-                tests.append(criteria(Property(F.col(frame.name(alias, ID)), False, "string", False), value))
+                tests.append(self.has_id(frame, alias, labels, value))
             elif key in ("$relation", "$alias"):
                 continue
             elif key == "$cycle":
@@ -113,6 +113,14 @@ class Compiler:
             frame = Frame(frame.df.where(combine("$and", tests)), frame.aliases)
         return frame
 
+    def has_id(self, frame: Frame, alias: str, labels: list[str], value: Any) -> Column:
+        """A test of ids, by the columns that they are made from where one label is asked for by name."""
+        value = value["$eq"] if isinstance(value, dict) and set(value) == {"$eq"} else value
+        ids = [value] if isinstance(value, str) else value.get("$in") if isinstance(value, dict) and set(value) == {"$in"} else None
+        if alias == ROOT and len(labels) == 1 and ids and all(isinstance(i, str) for i in ids):
+            return self.graph.has_id(labels[0], ids)
+        return criteria(Property(F.col(frame.name(alias, ID)), False, "string", False), value)
+
     @staticmethod
     def is_related(key: str, value: Any) -> bool:
         return key == "$cycle" or (not key.startswith("$") and not is_criteria(value))
@@ -166,7 +174,7 @@ class Compiler:
             for x in labels:
                 ids = self.graph.records(x).select(F.col(ID).alias("start"))
                 starts = ids if starts is None else starts.unionByName(ids)
-            pairs = reach(self.graph, starts, hops, relation_of(relation)[0], direction).select(F.col("start").alias("__from"), F.col("node").alias("__to"))
+            pairs = reach(self.graph, starts, hops, relation_of(relation)[0], direction, set(labels), {label}).select(F.col("start").alias("__from"), F.col("node").alias("__to"))
             return Frame(frame.df.join(pairs, F.col(prefix + ID) == F.col("__to")).drop("__to"), frame.aliases), "__from", ID
         links = self.links(labels, label, relation)
         if len(links) == 1 and links[0][0].on is not None and len(labels) == 1:
@@ -197,7 +205,7 @@ class Compiler:
         ((key, value),) = block.items()
         if key == "$cycle":
             starts = frame.df.select(F.col(frame.name(alias, ID)).alias("start")).distinct()
-            keys, ours = cycles(self.graph, starts, value.get("hops"), value.get("type"), value.get("direction")).select(F.col("start").alias("__key")), ID
+            keys, ours = cycles(self.graph, starts, value.get("hops"), value.get("type"), value.get("direction"), set(labels)).select(F.col("start").alias("__key")), ID
         else:
             other, theirs, ours = self.related(labels, key, value, value.get("$alias") or f"$m{self.marks}__{key}")
             keys = other.df.select(F.col(theirs).alias("__key"))
@@ -210,7 +218,7 @@ class Compiler:
 
     # output
 
-    def expr(self, frame: Frame, e: Any, done: set[str] = frozenset()) -> Column:
+    def expr(self, frame: Frame, e: Any, rank: Column | None = None) -> Column:
         if isinstance(e, (int, float, bool)):
             return F.lit(e)
         if isinstance(e, str):
@@ -226,7 +234,7 @@ class Compiler:
         if op in MATH:
             if not isinstance(arg, list) or len(arg) != 2:
                 raise QueryError(f"{op} needs two operands")
-            a, b = (self.expr(frame, x, done) for x in arg)
+            a, b = (self.expr(frame, x) for x in arg)
             return {"$add": lambda: a + b, "$subtract": lambda: a - b, "$multiply": lambda: a * b, "$divide": lambda: F.try_divide(a.cast("double"), b.cast("double"))}[op]()
         if op == "$sum":
             return F.coalesce(F.sum(self.expr(frame, arg)), F.lit(0))
@@ -234,6 +242,8 @@ class Compiler:
             avg, digits = F.avg(self.expr(frame, arg)), e.get("$precision")
             return avg if digits is None else avg.cast("bigint") if digits == 0 else F.round(avg, digits)
         if op == "$count":
+            if arg == "*" and set(frame.aliases) == {ROOT}:  # a record is one row there
+                return F.count(F.lit(1))
             if e.get("$unique") is False:
                 return F.count(self.expr(frame, arg) if arg != "*" else F.col(ID))
             return F.count_distinct(F.col(ID) if arg == "*" else self.expr(frame, arg))
@@ -245,7 +255,7 @@ class Compiler:
             vector = F.array(*[F.lit(float(x)) for x in arg[1]])
             return (cosine if op == "$cosine" else euclidean)(self.expr(frame, arg[0]), vector)
         if op == "$collect":
-            return self.collect(frame, arg)
+            return self.collect(frame, arg, rank)
         raise QueryError(f"unknown operator {op}")
 
     def bucket(self, frame: Frame, arg: dict) -> Column:
@@ -261,7 +271,16 @@ class Compiler:
         ts = F.col(column) if kind == "datetime" else F.try_to_timestamp(F.col(column))
         return (bucket_start if arg.get("as") == "datetime" else bucket_millis)(ts, arg["unit"], arg.get("size"))
 
-    def collect(self, frame: Frame, arg: dict) -> Column:
+    def collect_rank(self, frame: Frame, arg: dict, by: list[Column]) -> Column | None:
+        """The place of an alias's record in its group's order, by which only those within the limit are gathered."""
+        if arg.get("limit") is None or "field" in arg or arg.get("from") not in frame.aliases:
+            return None
+        key, down = self.collect_order(arg)
+        order = [frame.column(f"{arg['from']}.{k}") for k in (key, ID)]
+        order = [order[1].isNull(), *[c.desc() if down else c.asc() for c in order]]
+        return (F.row_number() if arg.get("unique") is False else F.dense_rank()).over(Window.partitionBy(*by).orderBy(*order))
+
+    def collect(self, frame: Frame, arg: dict, rank: Column | None = None) -> Column:
         """Records or projections of an alias: distinct, ordered by one key, cut to places skip up to limit."""
         alias = arg.get("from")
         if alias is None:
@@ -280,7 +299,8 @@ class Compiler:
         key, down = self.collect_order(arg)
         sort = frame.column(f"{alias}.{key}")
         row = F.struct(sort.alias("__sort"), frame.column(f"{alias}.{ID}").alias("__tie"), F.struct(*fields).alias("row"))
-        rows = F.collect_list(F.when(frame.column(f"{alias}.{ID}").isNotNull(), row))
+        within = frame.column(f"{alias}.{ID}").isNotNull()
+        rows = F.collect_list(F.when(within if rank is None else within & (rank <= arg["limit"]), row))
         if arg.get("unique") is not False:
             rows = F.array_distinct(rows)
         rows = F.sort_array(rows, asc=not down)
@@ -315,7 +335,8 @@ class Compiler:
         order = self.q.orderBy
         items = {ID: order or "desc"} if not isinstance(order, dict) else order
         keys = [F.col(k).desc_nulls_first() if way == "desc" else F.col(k).asc_nulls_last() for k, way in items.items() if k in df.columns]
-        return df.orderBy(*keys, *[F.col(t) for t in tie if t not in items and t in df.columns])
+        ties = [F.col(t) for t in tie if t not in items and t in df.columns]
+        return df.orderBy(*keys, *ties) if keys else df
 
     def paged(self, df: DataFrame, tie: list[str]) -> DataFrame:
         skip, limit = self.q.page()
@@ -375,11 +396,27 @@ class Compiler:
         df = self.graph.scan(labels)
         frame = Frame(df, {ROOT: df.columns})
         if q.id is not None:
-            near = self.graph.all_edges().where((F.col("src") == q.id) | (F.col("dst") == q.id))
-            near = near.select(F.when(F.col("src") == q.id, F.col("dst")).otherwise(F.col("src")).alias("__near"))
-            frame = Frame(df.join(near, F.col(ID) == F.col("__near"), "left_semi"), frame.aliases)
+            frame = Frame(df.join(self.neighbours(q.id, labels), F.col(ID) == F.col("__near"), "left_semi"), frame.aliases)
         return self.apply(frame, ROOT, labels, q.where)
 
+    def neighbours(self, id_: str, labels: list[str]) -> DataFrame:
+        """__near: ids of records of the labels next to one record. A branch for each relationship and direction; that of
+        equal columns looks the record up and joins its value, and no other relationships are made."""
+        own, parts = self.graph.label_of(id_), []
+        for e in self.graph.edges:
+            for here, there, out in ((e.src, e.dst, True), (e.dst, e.src, False)):
+                if there not in labels or own not in (None, here):
+                    continue
+                if e.df is not None:
+                    a, b = ("src", "dst") if out else ("dst", "src")
+                    parts.append(e.df.where(F.col(a) == id_).select(F.col(b).alias("__near")))
+                else:
+                    a, b = e.on if out else e.on[::-1]
+                    one = self.graph.records(here).where(self.graph.has_id(here, [id_])).select(F.col(a).alias("__k"))
+                    other = self.graph.records(there)
+                    parts.append(other.join(one, F.col(b) == F.col("__k"), "left_semi").select(F.col(ID).alias("__near")))
+        return reduce(DataFrame.unionByName, parts) if parts else self.graph.spark.createDataFrame([], "__near string")
+
     def run(self, full_scan: bool) -> DataFrame:
         frame = self.matched()
         if missing := {a for a in self.used if a not in frame.aliases and a != "$self"}:
@@ -406,15 +443,24 @@ class Compiler:
             df = df.withColumn(f"__s_{k}", self.expr(Frame(df, frame.aliases), plain[k]))
         frame = Frame(df, frame.aliases)
         if aggregated or self.q.groupBy:
-            aggs = [self.expr(frame, plain[k]).alias(f"__s_{k}") for k in aggregated]
+            by = [F.col(ID)]
             if dims or keys:
                 implicit = [k for k in before if not isinstance(plain[k], str)] if any(k in before for k in keys) else []
                 by = [frame.column(g).alias(g.rpartition(".")[2]) for g in dims] + [F.col(f"__s_{k}") for k in dict.fromkeys([*[k for k in keys if k in before], *implicit])]
+            ranks = {}
+            for k in aggregated:
+                if "$collect" in plain[k] and (rank := self.collect_rank(frame, plain[k]["$collect"], by)) is not None:
+                    df, ranks[k] = df.withColumn(f"__r_{k}", rank), F.col(f"__r_{k}")
+            frame = Frame(df, frame.aliases)
+            aggs = [self.expr(frame, plain[k], ranks.get(k)).alias(f"__s_{k}") for k in aggregated]
+            if dims or keys:
                 df = df.groupBy(*by).agg(*(aggs or [F.lit(1).alias("__one")])) if by else df.agg(*aggs)
                 shown = [g.rpartition(".")[2] for g in dims] + [k for k in plain if f"__s_{k}" in df.columns or k in after]
             else:
-                firsts = [F.first(c).alias(c) for c in roots if c != ID] + [F.first(F.col(f"__s_{k}")).alias(f"__s_{k}") for k in [*before, *gathered]]
-                df = df.groupBy(ID).agg(*firsts, *aggs)
+                # records' own columns don't go through the aggregation but are joined to it
+                made = df.groupBy(ID).agg(*[F.first(F.col(f"__s_{k}")).alias(f"__s_{k}") for k in [*before, *gathered]], *aggs)
+                own = self.graph.scan(self.q.labels or sorted(self.graph.labels))
+                df = own.join(made.withColumnRenamed(ID, "__agg"), F.col(ID) == F.col("__agg")).drop("__agg")
                 shown = [c for c in roots if c not in self.select] + [*self.select]
         else:
             if set(frame.aliases) != {ROOT} and not before:
@@ -427,8 +473,10 @@ class Compiler:
             df = df.dropDuplicates()
         if late:
             tie = [c for c in df.columns if c not in (self.q.orderBy or {})]
-            df = self.order(df, tie) if full_scan else self.paged(df, tie)
-        return df
+            return self.order(df, tie) if full_scan else self.paged(df, tie)
+        if full_scan and not self.q.orderBy:
+            return df
+        return self.order(df, [ID])  # what came after the page may have lost its order; at most a page of records is left
 
 
 def search(graph: Graph, query: dict | SearchQuery, full_scan: bool = False, pattern: bool = False, compat: str = "roots") -> DataFrame:

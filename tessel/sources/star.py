@@ -44,6 +44,7 @@ def load(spark: SparkSession, sf_dir: str, labels: list[str] | None = None) -> G
             df = df.withColumn("o_note", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")))
             df = df.withColumn("o_day", F.date_format("o_orderdate", "yyyy-MM-dd"))
         graph.labels[label] = df.withColumn(ID, make_id(label, *key))
+        graph.keys[label] = tuple(key)
     graph.datetimes = {"ORDER": {"o_day"}}
     graph.edges = [e for e in EDGES if e.src in graph.labels and e.dst in graph.labels]
     return graph
