@@ -26,6 +26,16 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), 1 / (1 + d2))
 
 
+def canonical_text(*properties: tuple[str, Column]) -> Column:
+    """``name: value`` of the properties that are there, a line each, in order of their names: what an embedding is made of."""
+    return F.concat_ws("\n", *[F.when(c.isNotNull(), F.concat(F.lit(f"{n}: "), c.cast("string"))) for n, c in sorted(properties, key=lambda p: p[0])])
+
+
+def value_hash(text: Column) -> Column:
+    """Tells whether the text behind an embedding has changed."""
+    return F.sha2(text, 256)
+
+
 def mean_pool(vectors: Column) -> Column:
     """The element-wise mean of an array of vectors of one length; null for an empty array."""
     n = F.size(vectors)

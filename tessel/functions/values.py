@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that count as datetimes: ISO 8601 with zone or Z, or a date alone. Fixed by the format that users rely on.
-DATETIME = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{0,2}(\.\d+)?(Z|[+-]\d{2}:?\d{2}))?$"
+#: Texts that count as datetimes: ISO 8601 with a zone, with Z or without (then in the session's zone), or a date alone.
+#: Fixed by the format that users rely on.
+DATETIME = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{1,9})?([Zz]|[+-]\d{2}:?\d{2})?)?$"
 
 
 def is_datetime(text: Column) -> Column:

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet into the folder that spark.checkpoint.dir names and read again.
-
-    That cuts the lineage; a lost executor costs only its tasks. A local session without that setting gets a temporary
-    folder; a cluster must have it. What is written stays until that folder is cleared, as with checkpoints.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that spark.checkpoint.dir names; a local session without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-work-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet into a new folder and read again.
+
+    That cuts the lineage; a lost executor costs only its tasks. What is written stays until the folder of
+    spark.checkpoint.dir is cleared, as with checkpoints.
+    """
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,7 +35,7 @@ def tokens(name: str) -> list[str]:
     return [w[:-3] + "y" if w.endswith("ies") and len(w) > 3 else w[:-1] if w.endswith("s") and len(w) > 1 else w for w in map(str.lower, words) if w]
 
 
-def suggest(schema: dict[str, dict[str, str]]) -> list[Candidate]:
+def suggest(schema: dict[str, dict[str, str]], arrays: set[tuple[str, str]] = frozenset()) -> list[Candidate]:
     """Properties whose names hold another label's words and those of one of its keys; schema: label, property, type."""
     out = []
     for source, props in schema.items():
@@ -45,7 +45,7 @@ def suggest(schema: dict[str, dict[str, str]]) -> list[Candidate]:
             for target, others in schema.items():
                 for key, other_kind in others.items():
                     if target != source and other_kind == kind and set(tokens(target)) | set(tokens(key)) <= set(tokens(prop)) and prop != key:
-                        out.append(Candidate(source, prop, target, key, f"HAS_{'_'.join(tokens(target)).upper()}", 0.86))
+                        out.append(Candidate(source, prop, target, key, f"HAS_{'_'.join(tokens(target)).upper()}", 0.9 if (source, prop) in arrays else 0.86))
     return out
 
 

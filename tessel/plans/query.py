@@ -163,6 +163,8 @@ def from_legacy(aggregate: dict) -> dict:
             out[key] = {f"${fn}": ref} | ({"$precision": a["precision"]} if a.get("precision") is not None else {})
         elif fn == "collect":
             out[key] = {"$collect": {"from": alias, **{k: v for k, v in a.items() if k in ("field", "limit", "skip", "orderBy", "unique")}}}
+            if a.get("aggregate"):
+                out[key]["$collect"]["nested"] = {k: e["$collect"] for k, e in from_legacy(a["aggregate"]).items() if isinstance(e, dict) and "$collect" in e}
         elif fn == "timeBucket":
             unit = a["granularity"]
             out[key] = {"$timeBucket": {"field": ref, "unit": unit, "as": "datetime"} | ({"size": a["size"]} if a.get("size") else {})}

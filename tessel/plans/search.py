@@ -356,7 +356,10 @@ class Compiler:
         """Columns of nested records by label, each gathered from below and joined by the record's id."""
         made = {}
         for key, e in self.select.items():
-            if isinstance(e, dict) and "$collect" in e and "label" in e["$collect"]:
+            if isinstance(e, dict) and "$collect" in e and "nested" in e["$collect"]:
+                rows = self.nested(frame, [ID], e["$collect"]).withColumnsRenamed({ID: "__owner", "rows": f"__s_{key}"})
+                frame, made[key] = Frame(frame.df.join(rows, F.col(ID) == F.col("__owner"), "left").drop("__owner"), frame.aliases), f"__s_{key}"
+            elif isinstance(e, dict) and "$collect" in e and "label" in e["$collect"]:
                 if any(g.startswith("$") for g in self.q.groupBy):
                     raise QueryError("$collect by label can't be grouped by a property")
                 rows = self.gather(self.q.labels, e["$collect"]).withColumnRenamed("rows", f"__s_{key}").withColumnRenamed("owner", "__owner")
@@ -364,6 +367,28 @@ class Compiler:
                 frame, made[key] = Frame(df.withColumn(f"__s_{key}", F.coalesce(F.col(f"__s_{key}"), F.array())), frame.aliases), f"__s_{key}"
         return frame, made
 
+    def nested(self, frame: Frame, by: list[str], spec: dict) -> DataFrame:
+        """``by`` and rows: records of an alias, each with those of other aliases beside it, gathered from the innermost on."""
+        alias = spec["from"]
+        if alias not in frame.aliases:
+            raise QueryError(f"unknown alias {alias}")
+        own = frame.name(alias, ID)
+        names = [c for c in frame.aliases[alias] if not c.startswith("__") or c == ID]
+        df = frame.df.select(*by, *[F.col(frame.name(alias, c)) for c in dict.fromkeys([*names, ID])]).distinct()
+        for key, inner in (spec.get("nested") or {}).items():
+            below = self.nested(frame, [*by, own], inner).withColumnsRenamed({**{c: f"__j_{c}" for c in [*by, own]}, "rows": f"__c_{key}"})
+            df = df.join(below, [F.col(c) == F.col(f"__j_{c}") for c in [*by, own]], "left").drop(*[f"__j_{c}" for c in [*by, own]])
+        fields = [F.col(frame.name(alias, c)).alias(c) for c in names] + [F.coalesce(F.col(f"__c_{k}"), F.array()).alias(k) for k in spec.get("nested") or {}]
+        key, down = self.collect_order(spec)
+        row = F.struct(F.col(frame.name(alias, key)).alias("__sort"), F.col(own).alias("__tie"), F.struct(*fields).alias("row"))
+        rows = df.select(*by, row.alias("r"))
+        if spec.get("limit") is not None:
+            w = Window.partitionBy(*by).orderBy(*[F.col(f"r.{c}").desc() if down else F.col(f"r.{c}").asc() for c in ("__sort", "__tie")])
+            rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= spec["limit"]).drop("n")
+        rows = rows.groupBy(*by).agg(F.collect_list("r").alias("r"))
+        sort = lambda a, b: F.when(a["__tie"] == b["__tie"], 0).when((a["__sort"] > b["__sort"]) | (a["__sort"] == b["__sort"]) & (a["__tie"] > b["__tie"]), -1 if down else 1).otherwise(1 if down else -1)
+        return rows.select(*by, F.transform(self.cut(F.array_sort("r", sort), spec), lambda x: x["row"]).alias("rows"))
+
     def gather(self, owners: list[str], spec: dict) -> DataFrame:
         """owner and rows: the records of a label next to each owner, with nested ones, ordered and cut."""
         label, select = spec["label"], spec.get("select")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import ID, LABEL, Edge, Graph
+from .api import Store
 from .functions import similarity, values
+from .functions.work import new_folder
 from .operators import discover, edges, paths, records, schema, vectors
 from .plans.search import labels_histogram, search, total
 from .sources import connectors, csv_files, json_import, star
@@ -312,6 +314,18 @@ ask(
 _collect_nested = QUERIES["collect_nested"]
 QUERIES["collect_nested"] = lambda s, d: _collect_nested(s, d).select("n_name", F.col("c.name").alias("customer"), F.concat_ws(",", F.transform("c.orders", lambda x: x["key"].cast("string"))).alias("keys"))
 
+ask(
+    "legacy_collect_nested", "NATION CUSTOMER ORDER",
+    {"where": {"CUSTOMER": {"$alias": "$c", "c_acctbal": {"$gt": 9000}, "ORDER": {"$alias": "$o", "o_totalprice": {"$gt": 100000}}}},
+     "aggregate": {"customers": {"fn": "collect", "alias": "$c", "orderBy": {"c_custkey": "asc"}, "aggregate": {"orders": {"fn": "collect", "alias": "$o", "orderBy": {"o_orderkey": "desc"}, "limit": 3}}}}},
+    ["n_name", "posexplode(customers) AS (pos, c)"],
+    """SELECT n_name, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS pos, c_name AS customer, keys FROM (
+    SELECT n_name, c_custkey, c_name, string_agg(o_orderkey, ',' ORDER BY o_orderkey DESC) AS keys FROM nation JOIN customer ON c_nationkey = n_nationkey
+    JOIN (SELECT * FROM orders WHERE o_totalprice > 100000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3) ON o_custkey = c_custkey WHERE c_acctbal > 9000 GROUP BY 1, 2, 3)""",
+)
+_legacy_nested = QUERIES["legacy_collect_nested"]
+QUERIES["legacy_collect_nested"] = lambda s, d: _legacy_nested(s, d).select("n_name", "pos", F.col("c.c_name").alias("customer"), F.concat_ws(",", F.transform("c.orders", lambda x: x["o_orderkey"].cast("string"))).alias("keys"))
+
 # time buckets
 
 for _unit in ("day", "week", "month", "quarter", "year", "hour", "minute", "second"):
@@ -367,10 +381,10 @@ def edge_join_array_keys(s: SparkSession, d: str) -> DataFrame:
     return _ids(edges.create_many(g, _table(g), {"label": "PART", "key": "tags"}, {"label": "TAG", "key": "word"}, "TAGGED"))
 
 
-@register("edge_cross_join", "SELECT 'REGION:' || r_regionkey AS src, 'NATION:' || n_nationkey AS dst, 'ALL' AS type FROM region, nation WHERE r_name <> 'ASIA' AND n_nationkey < 5")
+@register("edge_cross_join", "SELECT 'REGION:' || r_regionkey AS src, 'NATION:' || n_nationkey AS dst, 'ALL' AS type FROM region, nation WHERE r_name <> 'ASIA' AND n_regionkey = 2")
 def edge_cross_join(s: SparkSession, d: str) -> DataFrame:
     g = star.load(s, d, ["REGION", "NATION"])
-    return _ids(edges.create_many(g, _table(g).where("false"), {"label": "REGION", "where": {"r_name": {"$ne": "ASIA"}}}, {"label": "NATION", "where": {"n_nationkey": {"$lt": 5}}}, "ALL", many_to_many=True))
+    return _ids(edges.create_many(g, _table(g).where("false"), {"label": "REGION", "where": {"r_name": {"$ne": "ASIA"}}}, {"label": "NATION", "where": {"n_regionkey": 2}}, "ALL", many_to_many=True))
 
 
 register("edge_join_probe", "SELECT least(count(*), 100) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey")(
@@ -465,14 +479,26 @@ register("facet_counts", "SELECT t AS value, count(DISTINCT p_partkey) AS record
 register("find_properties", "SELECT 'REGION' AS label, 'r_regionkey' AS property, 'number' AS type, count(*) AS records FROM region UNION ALL SELECT 'REGION', 'r_name', 'string', count(*) FROM region")(
     lambda s, d: schema.find_properties(star.load(s, d, ["REGION"]))
 )
-register("delete_property", "SELECT n_nationkey, n_regionkey FROM nation")(lambda s, d: star.load(s, d, ["NATION"]).records("NATION").drop("n_name", ID))
+
+
+@register("delete_property", "SELECT n_nationkey, n_regionkey FROM nation")
+def delete_property(s: SparkSession, d: str) -> DataFrame:
+    store = Store(star.load(s, d, ["NATION"]))
+    store.properties.delete("n_name")
+    return store.graph.records("NATION").drop(ID)
+
+
 register(
     "schema_relationships",
     """WITH r AS (SELECT 'CUSTOMER' AS a, 'FROM_NATION' AS t, 'NATION' AS b, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
     UNION ALL SELECT 'SUPPLIER', 'FROM_NATION', 'NATION', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey)
     SELECT a AS label, 'out' AS direction, t AS type, b AS other, n FROM r UNION ALL SELECT b, 'in', t, a, n FROM r""",
 )(lambda s, d: schema.relationship_counts(star.load(s, d, ["CUSTOMER", "SUPPLIER", "NATION"])))
-register("schema_full")(lambda s, d: schema.full_schema(star.load(s, d, ["REGION", "NATION", "CUSTOMER"])).select("label", "records", F.size("properties").alias("properties"), F.size("relationships").alias("relationships")))
+register(
+    "schema_full",
+    """SELECT 'REGION' AS label, count(*) AS records, 2 AS properties, 1 AS relationships, min(r_regionkey)::VARCHAR AS lo FROM region
+    UNION ALL SELECT 'NATION', count(*), 3, 2, min(n_nationkey)::VARCHAR FROM nation UNION ALL SELECT 'CUSTOMER', count(*), 5, 1, min(c_custkey)::VARCHAR FROM customer""",
+)(lambda s, d: schema.full_schema(star.load(s, d, ["REGION", "NATION", "CUSTOMER"])).select("label", "records", F.size("properties").alias("properties"), F.size("relationships").alias("relationships"), F.filter("properties", lambda p: p["property"].rlike("^[rnc]_(region|nation|cust)key$"))[0]["min"].alias("lo")))
 
 # records in and out
 
@@ -502,8 +528,8 @@ def infer_types(s: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", values.inferred_type(x).alias("type"))
 
 
-register("skip_empty", "SELECT doc_id, nullif(CASE WHEN n_chars % 3 = 0 THEN '' ELSE source END, '') AS source, len(list_filter(string_split(substr(text, 1, 200), ' '), lambda x: x <> '')) AS n FROM documents WHERE length(text) > 0")(
-    lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.length("text") > 0).select("doc_id", values.skip_empty(F.when(F.col("n_chars") % 3 == 0, "").otherwise(F.col("source"))).alias("source"), F.size(values.skip_empty_array(F.split(F.substring("text", 1, 200), " "))).alias("n"))
+register("skip_empty", "SELECT doc_id, nullif(CASE WHEN n_chars % 3 = 0 THEN '' ELSE source END, '') AS source, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS n FROM documents WHERE length(text) > 0")(
+    lambda s, d: s.read.parquet(f"{d}/documents.parquet").where(F.length("text") > 0).select("doc_id", values.skip_empty(F.when(F.col("n_chars") % 3 == 0, "").otherwise(F.col("source"))).alias("source"), F.size(values.skip_empty_array(F.split("text", " "))).alias("n"))
 )
 register("split_values", "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name, 'e'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part")(
     lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.concat_ws("|", values.split_values(F.col("p_name"), "e")).alias("parts"))
@@ -567,12 +593,37 @@ register("export_csv", "SELECT 'NATION:' || n_nationkey AS __id, 'NATION' AS __l
 )
 
 
-@register("import_csv", "SELECT event_id, event_type, value FROM events")
+@register("import_csv", "SELECT event_id, event_type, value, strftime(ts, '%Y-%m-%d') AS day, 'datetime' AS type FROM events")
 def import_csv(s: SparkSession, d: str) -> DataFrame:
-    e = s.read.parquet(f"{d}/events.parquet")
-    text = e.select(F.col("event_id").cast("string").alias(" event id"), F.col("event_type").alias("event_type"), F.col("value").cast("string").alias("value"))
-    named = text.toDF(*csv_files.header_names(text.columns))
-    return csv_files.infer(named).select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value")
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias(" event id"), "event_type", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    path, store = new_folder(s, "csv"), Store(Graph(s))
+    e.write.option("header", True).csv(path)
+    store.records.import_csv("EVENT", path)
+    return store.graph.records("EVENT").select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value", "day", F.lit(store.graph.type_of("EVENT", "day")).alias("type"))
+
+
+@register("import_jsonl", "SELECT c_mktsegment AS segment, c_custkey AS key, c_name AS name, CAST(NULL AS VARCHAR) AS tier FROM customer WHERE c_acctbal <= 0 UNION ALL SELECT c_mktsegment, c_custkey, c_name, 'gold' FROM customer WHERE c_acctbal > 0")
+def import_jsonl(s: SparkSession, d: str) -> DataFrame:
+    """Customers nested in an account each, imported twice: the second time merges those of a positive balance by key."""
+    c = star.load(s, d, ["CUSTOMER"]).records("CUSTOMER")
+    store = Store(Graph(s))
+    for rows, tier in ((c, None), (c.where("c_acctbal > 0"), "gold")):
+        path = new_folder(s, "jsonl")
+        inner = F.struct(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit(tier).cast("string").alias("tier"))
+        rows.select(F.to_json(F.struct(F.col("c_mktsegment").alias("segment"), F.concat(F.lit("a"), "c_custkey").alias("account"), F.array(inner).alias("HOLDER"))).alias("value")).write.text(path)
+        store.records.import_json("ACCOUNT", path, merge_by=["key"] if tier else None)
+    g = store.graph
+    (edge,) = [e for e in g.edges if e.dst == "HOLDER"]
+    holders = g.records("HOLDER").select(F.col(ID).alias("dst"), "key", "name", "tier")
+    return edge.df.join(g.records("ACCOUNT").withColumnRenamed(ID, "src"), "src").join(holders, "dst").select("segment", F.col("key").cast("long").alias("key"), "name", "tier").distinct()
+
+
+@register("restore_backup", "SELECT 'NATION:' || n_nationkey AS src, n_name, 'REGION:' || n_regionkey AS dst FROM nation")
+def restore_backup(s: SparkSession, d: str) -> DataFrame:
+    g, path = star.load(s, d, ["NATION", "REGION"]), new_folder(s, "graph") + ".backup"
+    json_import.write_backup(g.scan(), g.all_edges(), path)
+    recs, rels = json_import.restore_backup(s, path)
+    return rels.join(recs.where("__label = 'NATION'").select(F.col(ID).alias("src"), "n_name"), "src").select("src", "n_name", "dst")
 
 
 @register("connector_transform", "SELECT event_id AS \"eventId\", event_type AS \"eventType\", CAST(json_extract(props, '$.k') AS BIGINT) AS \"detailK\", event_id || ':' || user_id AS __key FROM events")
@@ -583,7 +634,7 @@ def connector_transform(s: SparkSession, d: str) -> DataFrame:
 
 @register("raw_sql", "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 100 GROUP BY 1")
 def raw_sql(s: SparkSession, d: str) -> DataFrame:
-    return s.sql("SELECT c_mktsegment, count(*) AS n FROM {c} WHERE c_acctbal > :least GROUP BY 1", args={"least": 100}, c=star.load(s, d, ["CUSTOMER"]).records("CUSTOMER"))
+    return Store(star.load(s, d, ["CUSTOMER"])).query.raw("SELECT c_mktsegment, count(*) AS n FROM CUSTOMER WHERE c_acctbal > :least GROUP BY 1", least=100)
 
 
 # vectors
@@ -621,28 +672,29 @@ def vec_upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 register("vec_stats", 'SELECT count(*) AS "totalRecords", count(*) AS "indexedRecords" FROM embeddings')(lambda s, d: vectors.index_stats(*_vectors(s, d)))
-register("mean_pool", "SELECT label, round(avg(embedding[1]), 6) AS first, round(avg(embedding[64]), 6) AS last FROM embeddings GROUP BY label")(
-    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(*[F.avg(F.col("embedding")[k].cast("double")).alias(f"v{k}") for k in range(64)]).select("label", F.round(F.array(*[f"v{k}" for k in range(64)])[0], 6).alias("first"), F.round("v63", 6).alias("last"))
+register("mean_pool", "SELECT vec_id, round((embedding[1] + embedding[17] + embedding[33] + embedding[49])::DOUBLE / 4, 5) AS first, round((embedding[16] + embedding[32] + embedding[48] + embedding[64])::DOUBLE / 4, 5) AS last FROM embeddings")(
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", similarity.mean_pool(F.array(*[F.slice("embedding", k, 16) for k in (1, 17, 33, 49)])).alias("p")).select("vec_id", F.round(F.col("p")[0], 5).alias("first"), F.round(F.col("p")[15], 5).alias("last"))
 )
 
 
-@register("memory_upsert", "SELECT event_type, user_id, count(*) OVER (PARTITION BY event_type, user_id) * 0 + 1 AS n FROM (SELECT DISTINCT event_type, user_id FROM events)")
+@register("memory_upsert", "SELECT event_type, user_id, count(*) AS seen, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")
 def memory_upsert(s: SparkSession, d: str) -> DataFrame:
-    e = s.read.parquet(f"{d}/events.parquet").select("event_type", "user_id")
+    """Events persisted by the hash of what they are, the newest value kept."""
+    e = s.read.parquet(f"{d}/events.parquet").select("event_type", "user_id", "event_id", "value")
     e = e.withColumn("eventId", values.event_id(("event_type", F.col("event_type")), ("user_id", F.col("user_id")))).withColumn(ID, F.col("eventId"))
-    first = records.deduplicated(e, ["eventId"])
-    merged = records.upsert(first, e, ["eventId"])
-    return merged.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    stored = records.deduplicated(e.where("event_type <> 'click'"), ["eventId"], "event_id")
+    merged = records.upsert(stored, e, ["eventId"], order="event_id")
+    seen = e.groupBy("eventId").agg(F.count(F.lit(1)).alias("seen"))
+    return merged.join(seen, "eventId").select("event_type", "user_id", "seen", "value")
 
 
 @register("memory_recall", f"""WITH e AS (SELECT vec_id::VARCHAR AS id, 'topic ' || label AS text, label, embedding FROM embeddings),
-    v AS (SELECT id, text, (1 + list_cosine_similarity(embedding::DOUBLE[], {_Q})) / 2 AS score FROM e WHERE label <> 3),
-    r AS (SELECT id, text, 0.55 + 0.25 * (CASE WHEN label = 7 THEN 2 ELSE 1 END) AS score FROM e WHERE id::INT % 50 = 0)
+    v AS (SELECT id, text, (1 + list_cosine_similarity(embedding::DOUBLE[], {_Q})) / 2 AS score FROM e WHERE label NOT IN (3, 9)),
+    r AS (SELECT id, text, 0.55 + 0.25 * (CASE WHEN label = 7 THEN 2 ELSE 1 END) AS score FROM e)
     SELECT id, round(max(score), 6) AS score FROM (SELECT id, score FROM v UNION ALL SELECT id, least(1.0, score) FROM r) GROUP BY id ORDER BY max(score) DESC, id LIMIT 8""")
 def memory_recall(s: SparkSession, d: str) -> DataFrame:
-    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("topic "), "label").alias("text"), F.col("label").cast("string").alias("session"), "embedding", F.lit(True).alias("active"))
-    recent = e.where(F.col("id").cast("int") % 50 == 0).select("id", "text")
-    out = vectors.recall(e, e.where("false"), e.select(F.col("id").alias("record_id"), F.col("embedding").alias("vector")), recent, QUERY, ["topic", "7"], {}, exclude_session="3")
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("topic "), "label").alias("text"), "label", F.col("label").cast("string").alias("session"), "embedding", (F.col("label") != 9).alias("active"))
+    out = vectors.recall(e.where("label <= 5"), e.where("label > 5"), e.select(F.col("id").alias("record_id"), F.col("embedding").alias("vector")), e.select("id", "text"), QUERY, ["topic", "7"], {}, exclude_session="3")
     return out.select("id", F.round("score", 6).alias("score"))
 
 

@@ -27,20 +27,25 @@ def header_names(names: list[str | None]) -> list[str]:
 
 def infer(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Text columns become numbers or booleans where all of their values are; one pass tells which."""
+    return infer_all(df, columns)[0]
+
+
+def infer_all(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, set[str]]:
+    """As ``infer``, with the columns whose values are all datetimes; these stay texts."""
     columns = columns or [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not columns:
-        return df
+        return df, set()
     kinds = df.agg(*[F.collect_set(inferred_type(F.col(f"`{c}`"))).alias(c) for c in columns]).first()
     for c in columns:
         if kinds[c] == ["number"]:
             df = df.withColumn(c, to_number(F.col(f"`{c}`")))
         elif kinds[c] == ["boolean"]:
             df = df.withColumn(c, to_boolean(F.col(f"`{c}`")))
-    return df
+    return df, {c for c in columns if kinds[c] == ["datetime"]}
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", quote: str = '"', escape: str = '"', suggest_types: bool = True, multi_line: bool = True) -> DataFrame:
-    """A CSV file; rows without any value are left out."""
+def read_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", quote: str = '"', escape: str = '"', suggest_types: bool = True, multi_line: bool = False) -> DataFrame:
+    """A CSV file; rows without any value are left out. Values with line breaks need ``multi_line``, which reads a file in one task."""
     raw = spark.read.options(header=header, sep=delimiter, quote=quote, escape=escape, multiLine=multi_line, inferSchema=False).csv(path)
     df = raw.toDF(*header_names(raw.columns if header else [None] * len(raw.columns)))
     df = df.dropna("all")
@@ -55,5 +60,10 @@ def export_frame(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.to_json(c) if c in lists else F.col(c).cast("string"), F.lit("")).alias(c) for c in shown])
 
 
+def client_csv(df: DataFrame) -> DataFrame:
+    """A result as users see it: without system columns, each value as text."""
+    return export_frame(df.select(*[c for c in df.columns if not c.startswith("__")]))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     export_frame(df).write.option("header", True).option("escape", '"').csv(path)

@@ -21,15 +21,15 @@ def table(spark, label, rows, ddl):
 
 
 @pytest.fixture(scope="module")
-def blog(spark):
+def rail(spark):
     g = Graph(spark)
-    g.labels["AUTHOR"] = table(spark, "AUTHOR", [("Alice", 10), ("Bob", 3)], "name string, seniority int")
-    g.labels["POST"] = table(spark, "POST", [("Graph Databases", "published", 1200), ("Draft Post", "draft", 0), ("Machine Learning", "published", 500)], "title string, status string, views int")
-    g.labels["TAG"] = table(spark, "TAG", [("graphs",), ("databases",), ("ml",)], "name string")
-    link = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    g.labels["LINE"] = table(spark, "LINE", [("Coast", 1901), ("Valley", 1954), ("Ring", 1978)], "name string, opened int")
+    g.labels["STOP"] = table(spark, "STOP", [("Harbour", "open", 6), ("Mill", "open", 2), ("Summit", "closed", 1), ("Market", "open", 4)], "name string, status string, platforms int")
+    g.labels["SERVICE"] = table(spark, "SERVICE", [("lift",), ("kiosk",), ("lockers",)], "name string")
+    link = lambda a, b, rows: spark.createDataFrame([(f"{a}:{x}", f"{b}:{y}") for x, y in rows], "src string, dst string")
     g.edges = [
-        Edge("DEFAULT", "AUTHOR", "POST", df=link([("AUTHOR:Alice", "POST:Graph Databases"), ("AUTHOR:Alice", "POST:Draft Post"), ("AUTHOR:Bob", "POST:Machine Learning")])),
-        Edge("DEFAULT", "POST", "TAG", df=link([("POST:Graph Databases", "TAG:graphs"), ("POST:Graph Databases", "TAG:databases"), ("POST:Machine Learning", "TAG:ml")])),
+        Edge("DEFAULT", "LINE", "STOP", df=link("LINE", "STOP", [("Coast", "Harbour"), ("Coast", "Mill"), ("Valley", "Mill"), ("Valley", "Summit"), ("Ring", "Market"), ("Ring", "Harbour")])),
+        Edge("DEFAULT", "STOP", "SERVICE", df=link("STOP", "SERVICE", [("Harbour", "lift"), ("Harbour", "lockers"), ("Mill", "kiosk"), ("Market", "lift")])),
     ]
     return g
 
@@ -38,45 +38,79 @@ def names(df, column="name"):
     return sorted(r[column] for r in df.collect())
 
 
-def test_nested_filters(blog):
-    ask = lambda where, label="AUTHOR", column="name": names(search(blog, {"labels": [label], "where": where}), column)
-    assert ask({"POST": {"title": "Graph Databases"}}) == ["Alice"]
-    assert ask({"POST": {"status": "published", "views": {"$gte": 1000}}}) == ["Alice"]
-    assert ask({"TAG": {"name": {"$in": ["graphs", "ml"]}}}, "POST", "title") == ["Graph Databases", "Machine Learning"]
-    assert ask({"POST": {"TAG": {"name": "ml"}}}) == ["Bob"]
-    assert ask({"POST": {"$relation": {"direction": "in"}}}) == []
-    assert ask({"POST": {"$relation": {"type": "DEFAULT", "direction": "out"}, "$id": "POST:Draft Post"}}) == ["Alice"]
-    assert ask({"$not": {"POST": {"status": "draft"}}}) == ["Bob"]
-    assert ask({"POST": {"$not": {"TAG": {}}}}) == ["Alice"]
-    assert ask({"$or": [{"seniority": {"$lt": 5}}, {"POST": {"views": {"$gt": 1000}}}]}) == ["Alice", "Bob"]
-    assert ask({"$xor": [{"seniority": {"$gt": 5}}, {"POST": {"views": {"$gt": 1000}}}]}) == []
-    assert ask({"TAG": {"$relation": {"hops": 2}, "name": "ml"}}) == ["Bob"]
-    assert total(blog, {"labels": ["AUTHOR"], "where": {"POST": {}}}).first().total == 2
-
-
-def test_select_and_errors(blog):
-    q = {"labels": ["AUTHOR"], "where": {"POST": {"$alias": "$p", "TAG": {"$alias": "$t"}}}, "select": {"tags": {"$count": "$t"}, "views": {"$sum": "$p.views"}}}
-    got = {r.name: (r.tags, r.views) for r in search(blog, q).collect()}
-    assert got == {"Alice": (2, 2400), "Bob": (1, 500)}  # a post counts once for each of its tags
+def test_nested_filters(rail):
+    ask = lambda where, label="LINE": names(search(rail, {"labels": [label], "where": where}))
+    assert ask({"STOP": {"name": "Mill"}}) == ["Coast", "Valley"]
+    assert ask({"STOP": {"status": "open", "platforms": {"$gte": 4}}}) == ["Coast", "Ring"]
+    assert ask({"SERVICE": {"name": {"$in": ["kiosk", "lockers"]}}}, "STOP") == ["Harbour", "Mill"]
+    assert ask({"STOP": {"SERVICE": {"name": "kiosk"}}}) == ["Coast", "Valley"]
+    assert ask({"STOP": {"$relation": {"direction": "in"}}}) == []
+    assert ask({"STOP": {"$relation": {"type": "DEFAULT", "direction": "out"}, "$id": "STOP:Summit"}}) == ["Valley"]
+    assert ask({"$not": {"STOP": {"status": "closed"}}}) == ["Coast", "Ring"]
+    assert ask({"STOP": {"$not": {"SERVICE": {}}}}) == ["Valley"]
+    assert ask({"$or": [{"opened": {"$lt": 1950}}, {"STOP": {"platforms": {"$gt": 4}}}]}) == ["Coast", "Ring"]
+    assert ask({"$xor": [{"opened": {"$gt": 1950}}, {"STOP": {"platforms": {"$gt": 4}}}]}) == ["Coast", "Valley"]
+    assert ask({"SERVICE": {"$relation": {"hops": 2}, "name": "lift"}}) == ["Coast", "Ring"]
+    assert total(rail, {"labels": ["LINE"], "where": {"STOP": {}}}).first().total == 3
+    near = search(rail, {"labels": ["STOP"], "id": "LINE:Ring"})
+    assert names(near) == ["Harbour", "Market"] and names(search(rail, {"labels": ["LINE", "SERVICE"], "id": "STOP:Harbour"})) == ["Coast", "Ring", "lift", "lockers"]
+
+
+def test_select_and_errors(rail):
+    q = {"labels": ["LINE"], "where": {"STOP": {"$alias": "$p", "SERVICE": {"$alias": "$t"}}}, "select": {"services": {"$count": "$t"}, "platforms": {"$sum": "$p.platforms"}}}
+    got = {r.name: (r.services, r.platforms) for r in search(rail, q).collect()}
+    assert got == {"Coast": (3, 14), "Valley": (1, 2), "Ring": (2, 16)}  # a stop counts once for each of its services
     for wrong in ({"select": {"x": "$q.a"}}, {"select": {"x": {"$median": 1}}}, {"groupBy": ["nope"]}, {"where": {"name": {"$in": []}}}, {"where": {"name": {"$in": [1, "a"]}}}, {"where": {"name": {"$gt": "not a date"}}}, {"where": {"$cycle": {}}}):
         with pytest.raises(QueryError):
-            search(blog, {"labels": ["AUTHOR"], **wrong})
+            search(rail, {"labels": ["LINE"], **wrong})
+
+
+def test_order_of_results(spark):
+    n = 400
+    g = Graph(spark, {"P": table(spark, "P", [(i, (i * 7) % n) for i in range(n)], "k int, v int"), "C": table(spark, "C", [(i, i % n) for i in range(3 * n)], "c int, p int")})
+    g.edges = [Edge("HAS", "P", "C", ("k", "p"))]
+    plain = {"labels": ["P"], "orderBy": {"v": "asc"}}
+    joined = {**plain, "where": {"C": {"$alias": "$c"}}}
+    for q, how in ((plain, {}), (plain, {"full_scan": True}), (joined, {}), ({**joined, "select": {"one": "$c.c"}}, {}), ({**joined, "select": {"n": {"$count": "$c"}}}, {}), ({**joined, "select": {"n": {"$count": "$c"}}}, {"full_scan": True}), (joined, {"full_scan": True}), (joined, {"compat": "rows"})):
+        got = [r.v for r in search(g, q, **how).collect()]
+        assert got == sorted(got) and len(got) >= (n if how.get("full_scan") else 34)
+        assert how.get("full_scan") or how.get("compat") or sorted(set(got)) == list(range(100))
+    down = [r.v for r in search(g, {**joined, "orderBy": {"v": "desc"}, "skip": 10, "limit": 20}).collect()]
+    assert down == list(range(n - 11, n - 31, -1))
+    top = search(g, {"labels": ["P"], "where": {"k": {"$lt": 3}, "C": {"$alias": "$c"}}, "select": {"x": {"$collect": {"from": "$c", "select": {"c": "$self.c"}, "orderBy": {"c": "desc"}, "limit": 2}}}})
+    assert {r.k: [x.c for x in r.x] for r in top.collect()} == {k: [k + 2 * n, k + n] for k in range(3)}
+
+
+def test_ids_are_looked_up_by_key_columns(spark):
+    from tessel.sources import star
+
+    g = star.load(spark, "/root/testdata/sf0.001", ["CUSTOMER", "NATION", "ORDER"])
+    df = search(g, {"labels": ["CUSTOMER"], "where": {"$id": "CUSTOMER:7"}})
+    plan = df._jdf.queryExecution().toString()
+    assert [r.c_custkey for r in df.collect()] == [7] and "c_custkey" in plan[plan.index("PushedFilters") :][:200]
+    assert search(g, {"labels": ["CUSTOMER"], "where": {"$id": {"$in": ["CUSTOMER:7", "CUSTOMER:007", "ORDER:8", "CUSTOMER:x"]}}}).count() == 1
+    assert Store(g).records.find_by_id("NATION:3").first().n_nationkey == 3
 
 
 def test_chain_ring_and_islands(spark):
-    g = Graph(spark, {"E": table(spark, "E", [(f"E{i}", f"E{i + 1}") for i in range(1, 5)], "name string, boss string"), "A": table(spark, "A", [("A", "B"), ("B", "C"), ("C", "A"), ("X", "Y"), ("Y", "Z"), ("Z", None)], "name string, to string")})
-    g.edges = [Edge("REPORTS_TO", "E", "E", ("boss", "name")), Edge("SENT", "A", "A", ("to", "name"))]
+    g = Graph(spark, {"PIPE": table(spark, "PIPE", [(f"p{i}", f"p{i + 10}") for i in range(10, 60, 10)], "name string, next string"), "HUB": table(spark, "HUB", [("n", "e"), ("e", "s"), ("s", "w"), ("w", "n"), ("t", "n"), ("u", None)], "name string, to string")})
+    g.edges = [Edge("FEEDS", "PIPE", "PIPE", ("next", "name")), Edge("SENDS", "HUB", "HUB", ("to", "name"))]
+
     def up(hops):
-        return names(search(g, {"labels": ["E"], "where": {"E": {"$relation": {"type": "REPORTS_TO", "direction": "out", "hops": hops}, "name": "E4"}}}))
-    assert up({"max": 3}) == ["E1", "E2", "E3"] and up({"max": 2}) == ["E2", "E3"] and up(3) == ["E1"] and up({"min": 2, "max": 3}) == ["E1", "E2"]
-    cycle = {"$cycle": {"type": "SENT", "direction": "out", "hops": {"min": 2, "max": 6}}}
-    assert names(search(g, {"labels": ["A"], "where": cycle})) == ["A", "B", "C"]
-    assert names(search(g, {"labels": ["A"], "where": {"$not": cycle}})) == ["X", "Y", "Z"]
-    assert names(search(g, {"labels": ["A"], "where": {"$or": [cycle, {"name": "Z"}]}})) == ["A", "B", "C", "Z"]
-    both = {"$cycle": {"hops": {"max": 6}}}
-    assert names(search(g, {"labels": ["A"], "where": both})) == ["A", "B", "C"]
-    reach = paths.reach(g, g.records("A").where("name = 'A'").select(F.col("__id").alias("start")), {"max": 3}, "SENT", "out")
-    assert {(r.node, r.hops) for r in reach.collect()} == {("A:B", 1), ("A:C", 2), ("A:A", 3)}
+        return names(search(g, {"labels": ["PIPE"], "where": {"PIPE": {"$relation": {"type": "FEEDS", "direction": "out", "hops": hops}, "name": "p50"}}}))
+
+    assert up({"max": 4}) == ["p10", "p20", "p30", "p40"] and up({"max": 2}) == ["p30", "p40"] and up(3) == ["p20"] and up({"min": 2, "max": 4}) == ["p10", "p20", "p30"]
+    cycle = {"$cycle": {"type": "SENDS", "direction": "out", "hops": {"min": 2, "max": 6}}}
+    ask = lambda where: names(search(g, {"labels": ["HUB"], "where": where}))
+    assert ask(cycle) == ["e", "n", "s", "w"] and ask({"$not": cycle}) == ["t", "u"] and ask({"$or": [cycle, {"name": "u"}]}) == ["e", "n", "s", "u", "w"]
+    assert ask({"$cycle": {"type": "SENDS", "direction": "out", "hops": {"max": 3}}}) == []
+    assert ask({"$cycle": {"hops": {"max": 6}}}) == ["e", "n", "s", "w"] and ask({"$cycle": {"hops": {"min": 3, "max": 3}}}) == []
+    start = g.records("HUB").where("name = 'n'").select(F.col("__id").alias("start"))
+    assert {(r.node, r.hops) for r in paths.reach(g, start, {"max": 3}, "SENDS", "out").collect()} == {("HUB:e", 1), ("HUB:s", 2), ("HUB:w", 3)}
+    assert {(r.node, r.hops) for r in paths.reach(g, start, {"max": 2}, "SENDS").collect()} == {("HUB:e", 1), ("HUB:w", 1), ("HUB:t", 1), ("HUB:s", 2)}
+    # two parallel relationships are two: there and back is a closed path
+    g.edges.append(Edge("WIRE", "HUB", "HUB", df=spark.createDataFrame([("HUB:t", "HUB:u")] * 2, "src string, dst string")))
+    assert ask({"$cycle": {"type": "WIRE", "hops": {"max": 2}}}) == ["t", "u"]
 
 
 def test_dates(spark):
@@ -117,18 +151,20 @@ def test_key_joins(spark):
     assert E.pairs(typed, a, {"label": "N", "key": "key"}).count() == 0
 
 
-def test_schema_of_books(spark):
-    rows = [("Dune", "Herbert", 412, dt.datetime(1965, 8, 1), True, ["classic", "sci-fi"], [4.2, 4.8]), ("Hyperion", "Simmons", 482, dt.datetime(1989, 5, 26), True, ["sci-fi", "space-opera"], [4.3]),
-            ("Emma", "Austen", 204, dt.datetime(1996, 1, 15), False, ["classic"], [3.9]), ("Void", "Herbert", 300, None, None, None, None)]
-    g = Graph(spark, {"BOOK": table(spark, "BOOK", rows, "title string, author string, pages int, published timestamp, inPrint boolean, tags array<string>, ratings array<double>")})
-    counts = {r.property: (r.type, r.records) for r in schema.property_counts(g, "BOOK").collect()}
-    assert counts["pages"] == ("number", 4) and counts["tags"] == ("string", 3) and counts["published"] == ("datetime", 3) and counts["inPrint"] == ("boolean", 3)
-    stats = {r.property: (r.isArray, r.min, r.max) for r in schema.property_stats(g, "BOOK").collect()}
-    assert stats["pages"] == (False, "204", "482") and stats["ratings"] == (True, "3.9", "4.8") and stats["published"][1].startswith("1965-08-01")
-    assert [r.value for r in schema.property_values(g, "tags", limit=2).collect()] == ["classic", "sci-fi"]
-    assert {(r.value, r.records) for r in schema.facets(g, "tags").collect()} == {("classic", 2), ("sci-fi", 2), ("space-opera", 1)}
-    assert names(search(g, {"labels": ["BOOK"], "where": {"tags": "classic", "ratings": {"$gt": 4}}}), "title") == ["Dune"]
-    assert "| pages | number | 204..482 |" in schema.markdown(g)
+def test_schema_of_boats(spark):
+    rows = [("Petrel", "Rhos", 9, dt.datetime(1971, 3, 4), True, ["sloop", "oak"], [5.5, 6.25]), ("Gannet", "Voe", 14, dt.datetime(1988, 11, 30), True, ["oak", "ketch"], [7.0]),
+            ("Tern", "Rhos", 6, dt.datetime(2003, 6, 1), False, ["sloop"], [4.75]), ("Auk", "Voe", 11, None, None, None, None)]
+    g = Graph(spark, {"BOAT": table(spark, "BOAT", rows, "name string, yard string, length int, launched timestamp, afloat boolean, marks array<string>, speeds array<double>")})
+    counts = {r.property: (r.type, r.records) for r in schema.property_counts(g, "BOAT").collect()}
+    assert counts["length"] == ("number", 4) and counts["marks"] == ("string", 3) and counts["launched"] == ("datetime", 3) and counts["afloat"] == ("boolean", 3)
+    stats = {r.property: (r.isArray, r.min, r.max) for r in schema.property_stats(g, "BOAT").collect()}
+    assert stats["length"] == (False, "6", "14") and stats["speeds"] == (True, "4.75", "7.0") and stats["launched"][1].startswith("1971-03-04")
+    (whole,) = schema.full_schema(g).collect()
+    assert whole.records == 4 and {p.property: (p.type, p.records, p.isArray, p.min, p.max) for p in whole.properties} == {k: (*v, *stats.get(k, (False, None, None))) for k, v in counts.items()}
+    assert [r.value for r in schema.property_values(g, "marks", limit=2).collect()] == ["ketch", "oak"]
+    assert {(r.value, r.records) for r in schema.facets(g, "marks").collect()} == {("sloop", 2), ("oak", 2), ("ketch", 1)}
+    assert names(search(g, {"labels": ["BOAT"], "where": {"marks": "sloop", "speeds": {"$gt": 6}}})) == ["Petrel"]
+    assert "| length | number | 6..14 |" in schema.markdown(g)
     now = [0.0]
     cache = schema.SchemaCache(lambda: now[0])
     seen = []
@@ -198,24 +234,102 @@ def test_vectors(spark):
     assert vectors.index_stats(g, index).first()[:] == (3, 3)
 
 
-def test_store(blog):
-    s = Store(Graph(blog.spark, dict(blog.labels), list(blog.edges)))
+def copy_of(g):
+    return Store(Graph(g.spark, dict(g.labels), list(g.edges)))
+
+
+def test_store(rail):
+    s = copy_of(rail)
     s.begin()
-    s.records.create("AUTHOR", {"name": "Cy", "seniority": 7, "__id": "AUTHOR:Cy"})
-    s.records.update("AUTHOR", ["AUTHOR:Cy"], {"seniority": 8})
-    assert names(s.records.find({"labels": ["AUTHOR"], "where": {"seniority": 8}})[0]) == ["Cy"]
-    s.relationships.create_many({"label": "AUTHOR", "where": {"name": "Cy"}}, {"label": "TAG", "where": {"name": "ml"}}, "LIKES", many_to_many=True)
-    assert s.relationships.find(where={"type": "LIKES"}).count() == 1
-    s.records.delete({"labels": ["AUTHOR"], "where": {"name": "Alice"}})
-    assert s.relationships.find(where={"type": "DEFAULT"}).count() == 4
+    s.records.create("LINE", {"name": "Moor", "opened": 2001, "__id": "LINE:Moor"})
+    s.records.update("LINE", ["LINE:Moor"], {"opened": 2002})
+    assert names(s.records.find({"labels": ["LINE"], "where": {"opened": 2002}})[0]) == ["Moor"]
+    s.relationships.create_many({"label": "LINE", "where": {"name": "Moor"}}, {"label": "SERVICE", "where": {"name": "kiosk"}}, "SELLS", many_to_many=True)
+    assert s.relationships.find(where={"type": "SELLS"}).count() == 1
+    s.records.delete({"labels": ["LINE"], "where": {"name": "Coast"}})
+    assert s.relationships.find(where={"type": "DEFAULT"}).count() == 8
     s.rollback()
-    assert s.records.find_by_id("AUTHOR:Alice").count() == 1 and s.relationships.find().count() == 6
+    assert s.records.find_by_id("LINE:Coast").count() == 1 and s.relationships.find().count() == 10
+    with pytest.raises(QueryError):
+        s.records.find_uniq({"labels": ["LINE"]})
+    assert s.records.next_page({"labels": ["LINE"], "limit": 10}) == {"labels": ["LINE"], "limit": 10, "skip": 10}
+    assert s.query.raw("SELECT count(*) AS n FROM edges").first().n == 10
+    assert "Scan" in s.query.explain({"labels": ["LINE"]}) and s.query.validate({"labels": ["NOPE"]}) == ["unknown label NOPE"]
+    assert {r.label for r in s.ai.get_schema().collect()} == {"LINE", "STOP", "SERVICE"}
+    assert s.ai.cached_schema() is s.ai.cached_schema() and s.ai.cached_schema(force=True) == s.ai.cached_schema()
+    assert s.properties.find_by_id("name", "string").first().records == 10
+
+
+def test_attach_detach_and_cascade(rail):
+    s = copy_of(rail)
+    s.records.attach("LINE:Valley", ["STOP:Market", "STOP:Mill", "SERVICE:lift"], "VISITS")
+    assert {(r.dst, r.type) for r in s.graph.all_edges(["VISITS"]).collect()} == {("STOP:Market", "VISITS"), ("STOP:Mill", "VISITS"), ("SERVICE:lift", "VISITS")}
+    page, n = s.relationships.find_from("STOP:Mill")
+    assert [(r.type, r.targetId, r.direction) for r in page.collect()] == [("DEFAULT", "LINE:Coast", "in"), ("DEFAULT", "LINE:Valley", "in"), ("DEFAULT", "SERVICE:kiosk", "out"), ("VISITS", "LINE:Valley", "in")] and n.first().total == 4
+    s.records.detach("LINE:Valley", ["STOP:Market"], ["VISITS"])
+    s.records.detach("LINE:Valley", ["STOP:Mill"])
+    assert s.relationships.find_from("LINE:Valley")[1].first().total == 2
+    s.records.delete_by_id(["LINE:Ring"], cascade=True)
+    assert names(search(s.graph, {"labels": ["STOP"]})) == ["Mill", "Summit"] and names(search(s.graph, {"labels": ["SERVICE"]})) == ["kiosk"]
+    assert s.graph.all_edges().count() == 3
+
+
+def test_upsert_of_new_labels_and_equal_keys(spark):
+    s = Store(Graph(spark))
+    s.records.upsert("TOOL", spark.createDataFrame([("saw", 1), ("saw", 3), ("awl", 2)], "name string, n int"), ["name"])
+    assert {(r.name, r.n) for r in s.graph.records("TOOL").collect()} == {("saw", 3), ("awl", 2)}  # the last one wins
+    s.records.upsert("TOOL", spark.createDataFrame([("saw", 9)], "name string, n int"), ["name"])
+    assert {(r.name, r.n) for r in s.graph.records("TOOL").collect()} == {("saw", 9), ("awl", 2)} and s.graph.records("TOOL").where("__id is null").count() == 0
+
+
+def test_inline_vectors(spark):
+    s = Store(Graph(spark))
+    s.records.create_many("NOTE", [{"title": "x"}])
+    index = s.ai.create_index("NOTE", "title", 2)
+    ids = s.records.create_many("NOTE", [{"title": "a"}, {"title": "b, c"}], vectors=[[{"propertyName": "title", "vector": [1, 0]}], [{"propertyName": "title", "vector": [0, 1]}]])
+    assert [r.title for r in s.ai.search("NOTE", "title", [0, 1]).collect()] == ["b, c", "a"] and s.ai.index_stats(index).first()[:] == (3, 2) and len(ids) == 2
+    with pytest.raises(QueryError):
+        s.records.create_many("NOTE", [{"title": "d"}], vectors=[[{"propertyName": "title", "vector": [1, 0, 0]}]])
+    s.ai.create_index("NOTE", "title", 2, "euclidean")
     with pytest.raises(QueryError):
-        s.records.find_uniq({"labels": ["AUTHOR"]})
-    assert s.records.next_page({"labels": ["AUTHOR"], "limit": 10}) == {"labels": ["AUTHOR"], "limit": 10, "skip": 10}
-    assert s.query.raw("SELECT count(*) AS n FROM edges").first().n == 6
-    assert "Scan" in s.query.explain({"labels": ["AUTHOR"]}) and s.query.validate({"labels": ["NOPE"]}) == ["unknown label NOPE"]
-    assert {r.label for r in s.ai.get_schema().collect()} == {"AUTHOR", "POST", "TAG"}
+        s.ai.search("NOTE", "title", [0, 1])
+    s.records.create_many("NOTE2", [{"tags": "a; b;"}], separator=";")
+    assert s.graph.records("NOTE2").first().tags == ["a", "b"]
+
+
+def test_patterns(spark):
+    g = Graph(spark, {"Driver": table(spark, "Driver", [("vk",), ("lm",)], "code string"), "Race": table(spark, "Race", [("Rye", "vk"), ("Ely", "lm"), ("Wye", "zz")], "place string, winnerDriverCode string")})
+    s = Store(g)
+    (key,) = s.patterns.analyze()
+    assert s.patterns.list("suggested").keys() == {key} and s.patterns.list("active") == {}
+    s.patterns.approve(key)
+    assert s.graph.all_edges(["HAS_DRIVER"]).count() == 2
+    s.records.create("Driver", {"__id": "Driver:zz", "code": "zz"})  # patterns in force follow each write
+    assert s.graph.all_edges(["HAS_DRIVER"]).count() == 3 and s.patterns.analyze()[key][1] == "active"
+    s.patterns.delete(key, delete_existing=True)
+    assert s.graph.edges == [] and s.patterns.list() == {}
+
+
+def test_imports(spark, tmp_path):
+    s = Store(Graph(spark))
+    (tmp_path / "a.json").write_text("\ufeff" + json.dumps([{"name": "Acme", "since": "2020-01-02T03:04:05", "size": "12", "TEAM": [{"name": "Ops", "on": "true"}]}], indent=1), encoding="utf-8")
+    s.records.import_json("FIRM", str(tmp_path / "a.json"))
+    firm = s.graph.records("FIRM").first()
+    assert firm.size == 12.0 and s.graph.type_of("FIRM", "since") == "datetime" and s.graph.records("TEAM").first().on is True
+    assert names(search(s.graph, {"labels": ["FIRM"], "where": {"since": {"$gte": "2020-01-02T00:00:00", "$lt": {"$year": 2021}}}})) == ["Acme"]
+    (tmp_path / "b.jsonl").write_text('{"name": "Acme", "city": "Ayr", "TEAM": [{"name": "Ops", "head": "Jo"}, {"name": "Lab"}]}\n{"name": "Brim", "TEAM": []}\n')
+    s.records.import_json("FIRM", str(tmp_path / "b.jsonl"), merge_by=["name"])
+    assert {(r.name, r.city, r.size) for r in s.graph.records("FIRM").collect()} == {("Acme", "Ayr", 12.0), ("Brim", None, None)}
+    assert {(r.name, r.on, r.head) for r in s.graph.records("TEAM").collect()} == {("Ops", True, "Jo"), ("Lab", None, None)}
+    assert names(search(s.graph, {"labels": ["TEAM"], "where": {"FIRM": {"name": "Acme"}}})) == ["Lab", "Ops"] and s.graph.all_edges().count() == 2
+    (tmp_path / "c.jsonl").write_text('{"a": 1}\n{"a": 2}\nnot json\n')
+    with pytest.raises(QueryError, match="not json"):
+        json_import.read_json_text(spark, str(tmp_path / "c.jsonl"))
+    (tmp_path / "d.csv").write_text("name,when\nx,2024-02-03\ny,2024-03-04T05:06:07Z\n")
+    s.records.import_csv("DAY", str(tmp_path / "d.csv"))
+    assert s.graph.type_of("DAY", "when") == "datetime" and names(search(s.graph, {"labels": ["DAY"], "where": {"when": {"$gt": "2024-03-01"}}})) == ["y"]
+    s.records.export_csv({"labels": ["DAY"]}, str(tmp_path / "out"))
+    assert csv_files.client_csv(csv_files.read_csv(spark, str(tmp_path / "out"))).columns == ["name", "when"]
 
 
 def test_streams(spark, tmp_path):
