@@ -43,6 +43,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns in one, ``row``: whatever their names, they can't clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``row`` again, some of them with new values."""
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text: other columns, whatever their names, can't clash with what an operator adds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

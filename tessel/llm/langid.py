@@ -4,15 +4,15 @@ A text's words (runs of letters, lower-cased) give subwords: the word in angle b
 each hashed to one of ``BUCKETS`` embeddings. The mean over all subwords of the whole text goes through a linear
 softmax. Embeddings and softmax are trained together by stochastic gradient descent in numpy on a bounded sample:
 about ``PER_LANG`` labelled documents a language, chosen by a hash of doc_id; a fifth of them fit a temperature
-and the score below which a prediction is rejected, so that no more than ``REJECT`` of right predictions go.
+and the score, one half at most, below which a prediction is rejected, so that no more than ``REJECT`` of right ones go.
 Only text and lang of the sample are learned from; a prediction sees the text alone.
 
 After training, a bucket's embedding times the softmax weights is one row of logits, so predicting sums rows; each
 task keeps the sums of tokens it has seen, up to ``CACHE`` tokens.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without any labelled
-row all texts are; a null doc_id is never held out and never learned from; repeated rows get equal results; an
-empty table gives no rows.
+row all texts are; a null doc_id is never held out and never learned from; repeated rows get equal results; other
+columns keep their values whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, packed, unpacked
 
 BITS, DIM, GRAMS, MIX = 14, 16, (2, 3, 4), np.uint64(0x9E3779B97F4A7C15)
 BUCKETS = 2**BITS
@@ -127,6 +127,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray, bool]]) -> Model | None:
     temperature = float(min(temps, key=lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(z)), want], 1e-12)).mean()))
     p = softmax(z / temperature)
     right = p.max(1)[p.argmax(1) == want]
+    # some hundred scores hardly tell so low a quantile: beyond an even chance it would reject more right ones than REJECT
     least = float(min(0.5, np.quantile(right, REJECT))) if len(right) else 0.0
     return Model(langs, table.astype(np.float32), b, temperature, least)
 
@@ -212,8 +213,8 @@ def train(docs: DataFrame, may_learn: Column, per_lang: int = PER_LANG) -> Model
     return fit([(r.lang, np.frombuffer(r.b, np.int32), np.frombuffer(r.s, np.float32), r.held) for r in got])
 
 
-def predict(df: DataFrame, text: str, model: Model | None, prefix: str = "") -> DataFrame:
-    """Adds lang_pred, score and rejected, each after ``prefix``."""
+def predict(df: DataFrame, text: str, model: Model | None) -> DataFrame:
+    """Adds lang_pred, score and rejected."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by BUCKETS times the number of languages
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -224,9 +225,8 @@ def predict(df: DataFrame, text: str, model: Model | None, prefix: str = "") ->
             out = predictor(raws) if predictor else [("und", 0.0, True)] * len(raws)
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
 
-    c = "__lang"
-    got = df.withColumn(c, each(F.col(text).cast("binary")))
-    return got.withColumns({prefix + n: F.col(f"{c}.{n}") for n in ("lang_pred", "score", "rejected")}).drop(c)
+    columns = df.columns
+    return df.withColumn("said", each(F.col(text).cast("binary"))).select(*columns, "said.*")
 
 
 def held_out() -> Column:
@@ -243,7 +243,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The documents, all columns, whose language the model does not reject."""
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), ~held_out())
-    return predict(docs, "text", model, "__p_").where(~F.col("__p_rejected")).select(docs.columns)
+    got = predict(packed(docs), "row.text", model)
+    return unpacked(got.where(~F.col("rejected")), docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Line deduplication by levelled sorted runs of line hashes, in DataFrame operations only.
 
-``LineRuns`` keeps what is known of all line keys in runs, Parquet tables sorted by a 128-bit hash. A batch's keys
-merge-join the runs: keys that no run has are the batch's own (the anti-join), and it becomes their owner; for keys
-already known it only adds to their counts. The batch is then a run of level 0. When ``fanout`` runs of one level have
-gathered, they merge into one run of the next level, so a key is rewritten once a level.
+``LineRuns`` keeps what is known of all line keys in runs, tables bucketed and sorted by a 128-bit hash. A batch's keys,
+written in equal buckets, merge-anti-join the runs without another shuffle: keys that no run has are the batch's own, and
+it becomes their owner; of keys already known it only keeps the counts. The batch is then a run of level 0. When
+``fanout`` runs of one level have gathered, they merge into one run of the next level, so a key is rewritten once a level.
 
 ``drop_repeated_lines`` feeds batches of documents by falling doc_id, so that the owner of a key is the largest
 doc_id that holds it, and then drops a frequent key's lines in all documents but that one. Only hashes, ids and line
@@ -12,15 +12,19 @@ which Spark broadcasts below its size limit and splits where a key is hot.
 
 Defined results: a null or empty text is one empty line; a text that lost all its lines becomes empty, and null texts
 stay null where nothing was dropped; each row counts as a document, so a repeated row is one more document, and rows
-with the owner's doc_id all keep their lines; a null doc_id counts as the lowest; an empty table gives no rows.
+with the owner's doc_id all keep their lines; a null doc_id counts as the lowest; other columns keep their values whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS, ascii_lower, documents, materialize, row_key, work_dir
+from ._common import WS, ascii_lower, documents, materialize, packed, row_key, unpacked, work_dir
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
 LOWEST = -(2**63)
@@ -40,51 +44,60 @@ def _hash(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """Runs by level; each row has h1, h2, owner (null where an older run has the key) and n_docs."""
+    """Runs by level. Each is two tables bucketed and sorted by hash: the keys that no older run has, with their owner, and
+    the number of documents with each key of its batches. Tables of equal buckets join without a shuffle."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.levels = spark, fanout, {}
+        self.buckets, self.tables = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+
+    def _runs(self) -> list[tuple[DataFrame, DataFrame]]:
+        return [run for level in self.levels.values() for run in level]
 
-    def all(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels.values() for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
+    def owners(self) -> DataFrame | None:
+        """h1, h2 and owner of all keys, each key once."""
+        runs = [r[0] for r in self._runs()]
+        return reduce(DataFrame.unionByName, runs) if runs else None
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        path = work_dir(self.spark, f"run-{level}")
-        df.repartition("h1").sortWithinPartitions("h1", "h2").write.parquet(path)
-        self.levels.setdefault(level, []).append(self.spark.read.schema(df.schema).parquet(path))
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        path, table = work_dir(self.spark, name), f"line_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
 
     def novel(self, keys: DataFrame) -> DataFrame:
-        """The keys (h1, h2, ...) that no run has."""
-        known = self.all()
-        return keys if known is None else keys.join(known.where("owner IS NOT NULL"), ["h1", "h2"], "left_anti")
+        """The keys (h1, h2, ...) that no run has: an anti-join with each run in turn."""
+        for owners, _ in self._runs():
+            keys = keys.join(owners.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return keys
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch's keys: h1, h2, owner and n_docs, each key once."""
-        known = self.all()
-        if known is not None:
-            seen = known.where("owner IS NOT NULL").select("h1", "h2", F.lit(True).alias("seen"))
-            keys = keys.join(seen, ["h1", "h2"], "left").select("h1", "h2", F.when(F.col("seen").isNull(), F.col("owner")).alias("owner"), "n_docs")
-        self._write(keys, 0)
+        batch = self._write(keys, "batch")
+        new = self._write(self.novel(batch).select("h1", "h2", "owner"), "run")
+        self.levels.setdefault(0, []).append((new, batch.select("h1", "h2", "n_docs")))
         level = 0
         while len(self.levels.get(level, [])) >= self.fanout:
             runs = self.levels.pop(level)
-            merged = runs[0]
-            for run in runs[1:]:
-                merged = merged.unionByName(run)
-            self._write(self.folded(merged), level + 1)
+            owners, counts = (reduce(DataFrame.unionByName, [r[k] for r in runs]) for k in range(2))
+            merged = self._write(owners.repartition(self.buckets, "h1", "h2"), "run"), self._write(self.folded(counts), "counts")
+            self.levels.setdefault(level + 1, []).append(merged)
             level += 1
 
     @staticmethod
-    def folded(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.max("owner").alias("owner"), F.sum("n_docs").alias("n_docs"))
+    def folded(counts: DataFrame) -> DataFrame:
+        return counts.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+
+    def totals(self, min_docs: int = 1) -> DataFrame:
+        """Keys of at least so many documents over all batches: h1, h2, owner and n_docs."""
+        counts = self.folded(reduce(DataFrame.unionByName, [r[1] for r in self._runs()])).where(F.col("n_docs") >= min_docs)
+        return self.owners().join(counts, ["h1", "h2"])
 
-    def totals(self) -> DataFrame | None:
-        """Each key once: h1, h2, owner and n_docs over all batches."""
-        known = self.all()
-        return None if known is None else self.folded(known)
+    def drop(self) -> None:
+        """Forgets the tables; their files stay in the folder of spark.checkpoint.dir."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = []
 
 
 def batch_keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -95,9 +108,11 @@ def batch_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def with_kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """The rows with __n_lines, __n_dropped and __kept (the other lines joined again)."""
+    """row (all columns of a document), n_lines, n_dropped and kept (the other lines joined again)."""
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("id"), "text")
+    full = packed(docs)
+    doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text")
+    ids = full.select(F.coalesce(doc_id, F.lit(LOWEST)).alias("id"), text.alias("text"))
     cuts = ids.agg(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     cuts = sorted({int(c) for c in cuts}, reverse=True)
     runs = LineRuns(spark)
@@ -108,36 +123,34 @@ def with_kept(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_D
         if low is not None:
             part = part.where(F.col("id") > low)
         runs.add(batch_keys(part, min_chars))
-    frequent = materialize(runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner"), "frequent")
-
-    key, c = row_key(F.col("doc_id").cast("long"), F.col("text")), "__row_key"
-    lines = docs.select(key.alias(c), F.posexplode(split_lines(F.col("text"))).alias("at", "line")).select(c, "at", line_key(F.col("line")).alias("key"))
-    lines = lines.where(F.length("key") >= min_chars).select(c, "at", *_hash(F.col("key")))
-    lost = lines.join(frequent, ["h1", "h2"]).where(F.col(f"{c}.id") != F.col("owner")).groupBy(c).agg(F.collect_set("at").alias("__lost"))
-    full = docs.withColumn(c, key).join(lost, c, "left").drop(c).withColumn("__lines", split_lines(F.col("text")))
-    n = F.size("__lines")
-    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__lost"))
-    kept = F.array_join(F.transform(left, lambda i: F.col("__lines")[i]), "\n")
-    full = full.withColumns({
-        "__n_lines": n.cast("long"),
-        "__n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
-        "__kept": F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept),
-    })
-    return full.drop("__lines", "__lost")
+    frequent = materialize(runs.totals(min_docs).select("h1", "h2", "owner"), "frequent")
+    runs.drop()
+
+    full = full.withColumn("key", row_key(doc_id, text))
+    lines = full.select(F.col("key").alias("of"), F.posexplode(split_lines(text)).alias("at", "line")).select("of", "at", line_key(F.col("line")).alias("line"))
+    lines = lines.where(F.length("line") >= min_chars).select("of", "at", *_hash(F.col("line")))
+    lost = lines.join(frequent, ["h1", "h2"]).where(F.col("of.id") != F.col("owner")).groupBy("of").agg(F.collect_set("at").alias("lost"))
+    full = full.join(lost, F.col("key") == F.col("of"), "left").withColumn("lines", split_lines(text))
+    n = F.size("lines")
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("lost"))
+    kept = F.array_join(F.transform(left, lambda i: F.col("lines")[i]), "\n")
+    return full.select(
+        "row", n.cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("lost").isNull(), text).otherwise(kept).alias("kept"),
+    )
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """The documents, all columns, with the text that is left; n_chars follows it where there is such a column."""
-    out = with_kept(docs, min_chars, min_docs, batches)
-    new = {"text": F.col("__kept")}
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__n_dropped") > 0, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(docs.columns)
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unpacked(with_kept(docs, min_chars, min_docs, batches), docs.columns, **new)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = with_kept(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""

@@ -6,8 +6,10 @@ sample tables (``stsd stts stsc stsz/stz2 stco/co64 stss``) and fragments (``moo
 codec, time scale, duration and the byte ranges of keyframes. It never decodes a sample.
 
 Defined results: a null or empty text is a payload of 192 spaces; equal texts give equal bytes; a file that
-ends early, or whose boxes do not fit into each other, raises ``MediaError`` in ``read_media`` and gets a
-null codec in ``media_columns``; ids, repeated rows and empty tables need nothing special.
+ends early, whose boxes do not fit into each other or nest deeper than ``DEPTH``, or whose counts are greater than the
+bytes there can hold, raises ``MediaError`` in ``read_media`` and gets a null codec in ``media_columns``; no count is
+believed before it is held against the size of its box or of the file. ids, repeated rows and empty tables need nothing
+special; what ``media_columns`` adds has the first free name of media_info, media_info_2 and so on.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from ._common import documents, id_and_text, utf8
 
 FRAME, WIDTH, HEIGHT = 192, 16, 12
+#: Boxes in boxes at most: moov, trak, mdia, minf, stbl and what they hold are six deep.
+DEPTH = 16
 #: Frames to a chunk, frames from one keyframe to the next, and frames a second of what is written.
 CHUNK_FRAMES, KEY_EVERY, FPS = 32, 12, 25
 #: Boxes that hold boxes.
@@ -107,11 +111,13 @@ def walk(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, i
         at += size
 
 
-def tree(data: memoryview, start: int, end: int) -> dict[bytes, list]:
+def tree(data: memoryview, start: int, end: int, depth: int = 1) -> dict[bytes, list]:
     """Boxes by kind: (start, end, children), children only where boxes nest."""
+    if depth > DEPTH:
+        raise MediaError(f"boxes more than {DEPTH} deep")
     out: dict[bytes, list] = {}
     for kind, a, b in walk(data, start, end):
-        out.setdefault(kind, []).append((a, b, tree(data, a, b) if kind in CONTAINERS else {}))
+        out.setdefault(kind, []).append((a, b, tree(data, a, b, depth + 1) if kind in CONTAINERS else {}))
     return out
 
 
@@ -136,9 +142,13 @@ def _sizes(data: memoryview, stbl: dict) -> np.ndarray:
     if b"stsz" in stbl:
         a = stbl[b"stsz"][0][0]
         one, n = struct.unpack_from(">II", data, a + 4)
+        if one and one * n > len(data):
+            raise MediaError("stsz counts more bytes than there are")
         return np.full(n, one, np.int64) if one else _table(data, stbl[b"stsz"][0], ">u4", 8).astype(np.int64)
     a, b, _ = stbl[b"stz2"][0]
     bits, n = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    if bits not in (4, 8, 16) or (n * bits + 7) // 8 > b - a - 12:
+        raise MediaError("stz2 is longer than its box")
     if bits == 4:
         raw = np.frombuffer(data, np.uint8, (n + 1) // 2, a + 12)
         return np.stack([raw >> 4, raw & 15], 1).ravel()[:n].astype(np.int64)
@@ -150,6 +160,8 @@ def _offsets(data: memoryview, stbl: dict, sizes: np.ndarray) -> np.ndarray:
     chunks = _table(data, stbl[b"co64"][0], ">u8") if b"co64" in stbl else _table(data, stbl[b"stco"][0], ">u4")
     chunks, runs = chunks.astype(np.int64), _table(data, stbl[b"stsc"][0], ">u4,>u4,>u4")
     first = np.append(runs["f0"].astype(np.int64) - 1, len(chunks))
+    if len(runs) and (first[0] != 0 or (np.diff(first) < 0).any()):
+        raise MediaError("stsc does not count up through the chunks")
     per = np.repeat(runs["f1"].astype(np.int64), np.maximum(np.diff(first), 0))
     if len(per) != len(chunks) or int(per.sum()) != len(sizes):
         raise MediaError("stsc, stco and stsz disagree")
@@ -173,9 +185,12 @@ def _fragments(data: memoryview, top: list, track: int) -> tuple[list[int], list
                     known[name] = struct.unpack_from(kind, data, at)[0]
                     at += struct.calcsize(kind)
             place = known.get("base", base)
-            for a, _, _ in traf.get(b"trun", []):
+            for a, b, _ in traf.get(b"trun", []):
                 flags, n = struct.unpack_from(">II", data, a)
                 at = a + 8
+                each = 4 * sum(bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800))
+                if n * each > b - at or not each and n * known.get("size", 0) > len(data) or not each and not known.get("size") and n > len(data):
+                    raise MediaError("trun counts more samples than there can be")
                 if flags & 1:
                     place, at = known.get("base", base) + struct.unpack_from(">i", data, at)[0], at + 4
                 first = None
@@ -205,11 +220,14 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 def read_media(raw: bytes) -> list[dict]:
     """Per track: codec, width, height, timescale, duration, n_samples, samples (starts and ends), keyframes (ranges)."""
     data = memoryview(raw)
-    top = list(walk(data, 0, len(data)))
-    moov = next((tree(data, a, b) for kind, a, b in top if kind == b"moov"), None)
+    try:
+        top = list(walk(data, 0, len(data)))
+        moov = next((tree(data, a, b) for kind, a, b in top if kind == b"moov"), None)
+        moofs = [(a - 8, tree(data, a, b)) for kind, a, b in top if kind == b"moof"]
+    except struct.error as e:
+        raise MediaError(str(e)) from e
     if moov is None:
         raise MediaError("no moov box")
-    moofs = [(a - 8, tree(data, a, b)) for kind, a, b in top if kind == b"moof"]
     out = []
     try:
         for _, _, trak in moov.get(b"trak", []):
@@ -239,7 +257,7 @@ def read_media(raw: bytes) -> list[dict]:
                 "codec": kind.decode("latin-1"), "width": width, "height": height, "timescale": scale, "duration": duration + more[3],
                 "n_samples": len(sizes), "starts": starts, "ends": ends, "keyframes": ranges(starts[key], ends[key]), "n_keyframes": int(key.sum()),
             })
-    except (KeyError, IndexError, struct.error, StopIteration, ValueError) as e:
+    except (KeyError, IndexError, struct.error, StopIteration, ValueError, OverflowError) as e:
         raise MediaError(str(e)) from e
     return out
 
@@ -253,7 +271,7 @@ MEDIA = "codec string, width int, height int, timescale long, duration long, n_s
 
 
 def media_columns(df: DataFrame, media: str) -> DataFrame:
-    """Adds struct ``media_info`` of the first track of each file in binary column ``media``; null where it can't be read."""
+    """Adds a struct, ``media_info``, of the first track of each file in binary column ``media``; nulls where it can't be read."""
 
     @F.pandas_udf(MEDIA)
     def info(files: pd.Series) -> pd.DataFrame:
@@ -268,7 +286,10 @@ def media_columns(df: DataFrame, media: str) -> DataFrame:
             rows.append([[{"start": a, "end": b} for a, b in t["keyframes"]] if n == "keyframes" and t else t.get(n) for n in names])
         return pd.DataFrame(rows, columns=names)
 
-    return df.withColumn("media_info", info(F.col(media)))
+    taken, name, k = {c.lower() for c in df.columns}, "media_info", 2
+    while name in taken:
+        name, k = f"media_info_{k}", k + 1
+    return df.withColumn(name, info(F.col(media)))
 
 
 def store_texts(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ by range give the one range in which the prefix ends, and only its documents are
 
 Defined results: null lang, source or domain are values of their own (the empty text); unknown names weigh 1; a
 document counts max(1, words) tokens; null texts count one token; rows of equal doc_id in a leaf go in or stay out
-together where they are equal; an empty table gives no rows.
+together where they are equal; other columns keep their values whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WS, WS_CLASS, documents, materialize
+from ._common import WS, WS_CLASS, documents, materialize, unpacked
 
 #: Domains by the source's number, as this corpus has no such column, and weights by level and name.
 DOMAINS = ("web", "books", "news", "reference")
@@ -84,17 +84,20 @@ def leaf_budgets(leaves: DataFrame, weights: dict, share_percent: int, epochs: i
 
 
 def mix(docs: DataFrame, domain: Column | None = None, weights: dict | None = None, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, with __copies, how often each is taken; only rows taken at least once.
+    """row (all columns of a document), copies (how often it is taken), domain and n_tokens; only rows taken at least once.
 
     ``domain`` is an expression over the columns of ``docs``; lang and source are columns.
     """
     weights = WEIGHTS if weights is None else weights
-    d = docs.withColumns({
-        "__domain": F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit("")),
-        "__lang": F.coalesce(F.col("lang"), F.lit("")),
-        "__source": F.coalesce(F.col("source"), F.lit("")),
-        "__tokens": tokens_of(F.col("text")),
-    })
+    row = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    d = docs.select(
+        row.alias("row"),
+        F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit("")).alias("__domain"),
+        F.coalesce(F.col("lang"), F.lit("")).alias("__lang"),
+        F.coalesce(F.col("source"), F.lit("")).alias("__source"),
+        tokens_of(F.col("text")).alias("__tokens"),
+        F.col("doc_id").alias("doc_id"),
+    )
     leaf = [F.col(f"__{x}").alias(x) for x in LEVELS]
     sizes = materialize(d.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), *leaf, F.col("__tokens").alias("tokens")), "sizes")
     leaves = sizes.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -125,18 +128,18 @@ def mix(docs: DataFrame, domain: Column | None = None, weights: dict | None = No
     spot = F.floor(F.conv(F.substring("__order", 1, HEX), 16, 10).cast("long") * F.col("__ranges") / F.lit(16**HEX))
     in_prefix = F.coalesce(spot <= F.col("__last"), F.lit(False)) | F.coalesce(F.col("__order") < F.col("__end"), F.lit(False))
     out = out.withColumn("__copies", F.col("__whole") + in_prefix.cast("long")).where("__copies > 0")
-    return out.select(*docs.columns, "__copies", "__domain", "__tokens")
+    return out.select("row", F.col("__copies").alias("copies"), F.col("__domain").alias("domain"), F.col("__tokens").alias("n_tokens"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents taken, all columns, each as often as it is taken."""
-    out = mix(docs, **how)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
+    out = mix(docs, **how).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return unpacked(out, docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return out.select("row.doc_id", "domain", "row.lang", "row.source", "n_tokens", "copies")
 
 
 def _case(level: str, column: str) -> str:

@@ -16,7 +16,8 @@ between two components is lost by it.
 
 Defined results: fewer words than a shingle make one shingle of all; texts without words (null, empty, white
 space) have fingerprint zero and link like any other; a null doc_id never is a component's name unless all of its
-ids are null; repeated rows are copies; an empty table gives no rows.
+ids are null; repeated rows are copies; other columns keep their values whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, id_and_text, materialize, row_key, utf8
+from ._common import documents, id_and_text, materialize, packed, row_key, unpacked, utf8
 from .components import components
 
 BITS, SEED, SHINGLE, MAX_BITS, PARTS = 64, 42, 3, 3, 2
@@ -204,9 +205,8 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int
     d = id_and_text(docs).select("doc_id", "text")
     found = _components(fingerprints(d.withColumn("k", key), "text", shingle).select("doc_id", "k", "fp"), max_bits)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k").distinct()
-    c = "__row_key"
-    keyed = docs.withColumn(c, key)
-    return keyed.join(keep.withColumnRenamed("k", c), c, "left_semi").dropDuplicates([c]).drop(c).select(docs.columns)
+    keyed = packed(docs).withColumn("k", row_key(F.col("row.doc_id").cast("long"), F.col("row.text")))
+    return unpacked(keyed.join(keep, "k", "left_semi").dropDuplicates(["k"]), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def brute(rows, least=40, docs=5):
 
 
 def got(df):
-    return sorted(((r.doc_id, r["__n_lines"], r["__n_dropped"], hashlib.sha256((r["__kept"] or "").encode()).hexdigest()) for r in df.collect()), key=str)
+    return sorted(((r.row.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.kept or "").encode()).hexdigest()) for r in df.collect()), key=str)
 
 
 def test_against_brute_force(spark):
@@ -50,8 +50,12 @@ def test_runs_keep_levels_and_owners(spark):
         runs.add(df)
     assert {lev: len(r) for lev, r in runs.levels.items() if r} == {0: 1, 1: 2}
     assert {(r.h1, r.owner, r.n_docs) for r in runs.totals().collect()} == {(k, 100 - max(0, k - 2), min(k + 1, 3, 9 - k)) for k in range(9)}
-    known = runs.all().where("owner is not null")
+    known = runs.owners()
     assert known.count() == known.select("h1").distinct().count() == 9
+    batch = runs._write(spark.createDataFrame([(3, 3, 9, 1), (90, 90, 9, 1)], "h1 long, h2 long, owner long, n_docs long"), "batch")
+    plan = runs.novel(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs and batch lie in equal buckets
+    runs.drop()
 
 
 def test_empty_table(spark):

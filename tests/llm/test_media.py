@@ -56,3 +56,21 @@ def test_media_columns_take_broken_files(spark):
     df = spark.createDataFrame([(1, bytearray(M.write_media(M.pad(b"x")))), (2, bytearray(b"junk")), (3, None)], "id int, f binary")
     got = {r.id: r.media_info for r in M.media_columns(df, "f").collect()}
     assert got[1].codec == "raw " and got[1].n_samples == 1 and got[2].codec is None and got[3].codec is None
+
+
+def test_counts_and_depths_of_broken_files(spark):
+    import struct
+    import zlib
+
+    nested = b""
+    for _ in range(3000):
+        nested = M.box(b"moov", nested)
+    good = M.write_media(M.pad(b"some text"))
+    huge = good.replace(struct.pack(">II", M.FRAME, 1) + struct.pack(">I", 36)[:0], struct.pack(">II", M.FRAME, 0xF0000000), 1)
+    moof = M.box(b"moof", M.box(b"traf", M.full(b"tfhd", struct.pack(">I", 1)), M.full(b"trun", struct.pack(">I", 0xF0000000))))
+    for raw in (nested, huge, good + moof, good[:100], b"", b"x" * 50):
+        assert zlib.crc32(raw) >= 0
+        with __import__("pytest").raises(M.MediaError):
+            M.read_media(raw)
+    rows = M.media_columns(spark.createDataFrame([(1, bytearray(nested), "q"), (2, bytearray(good), "q")], "id long, f binary, media_info string"), "f").collect()
+    assert {r.id: (r.media_info, r.media_info_2.codec) for r in rows} == {1: ("q", None), 2: ("q", "raw ")}

@@ -51,7 +51,7 @@ def test_against_plain_rounds(spark, monkeypatch):
     rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["en", "en", "de", None]), rng.choice(["src0"] * 12 + ["src1", "src2", "src5", "other", None])) for i in range(600)]
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, lang string, source string, tokens string")
     for share, epochs in ((80, 2), (30, 1), (100, 1), (190, 2), (250, 2)):
-        got = {r.doc_id: r["__copies"] for r in M.mix(docs, share_percent=share, epochs=epochs).collect()}
+        got = {r.row.doc_id: r.copies for r in M.mix(docs, share_percent=share, epochs=epochs).collect()}
         assert got == brute(rows, M.WEIGHTS, share, epochs, M.SEED), (share, epochs)
     out = M.mixed(docs, share_percent=150, epochs=2)
     assert out.columns == docs.columns
@@ -61,5 +61,5 @@ def test_against_plain_rounds(spark, monkeypatch):
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "src1"), (1, "a b", "en", "src1"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
     assert M.mix(docs, share_percent=200).count() == 3
-    assert [r.doc_id for r in M.mix(docs, share_percent=100).collect()] == [None]  # equal rows pass the budget together
+    assert [r.row.doc_id for r in M.mix(docs, share_percent=100).collect()] == [None]  # equal rows pass the budget together
     assert M.mix(docs.limit(0)).count() == 0

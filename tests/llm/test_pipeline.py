@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tessel.llm import langid, mixing, pieces, simhash
@@ -51,3 +52,18 @@ def test_stages_against_plain_code(spark):
 def test_run_gives_the_last_stage(spark):
     out = C.run(spark, SF)
     assert out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+def test_columns_of_any_name(spark):
+    """Each stage but the last keeps all columns, also those named like what operators use within."""
+    extra = ["row", "key", "__lines", "__row_key", "__kept", "k", "__lang", "__p_score", "said", "rejected", "score", "__tokens", "__order", "__copies", "__copy", "copies", "of", "at", "fp", "domain", "a.b", "lost", "h1"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(f"value of {c}"))
+    docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"value of {c}" for r in rows for c in extra)
+    assert stage and C.STAGES[-1][1](spark, docs, SF).count() == 60
