@@ -36,7 +36,7 @@ def test_stages_against_plain_code(spark):
 
     fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in outs[1]}
     ids, arr = list(fps), np.array(list(fps.values()), np.int64)
-    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= 3)
+    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= simhash.FILTER_BITS)
     roots = union_find(ids, [(ids[a], ids[b]) for a, b in close if a != b])
     assert sorted(r.doc_id for r in outs[2]) == sorted(set(roots.values()))
 

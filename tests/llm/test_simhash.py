@@ -40,22 +40,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("near", [False, True])
-def test_links_against_all_pairs(spark, near):
+@pytest.mark.parametrize(("near", "most", "parts"), [(False, 3, 2), (True, 3, 2), (False, 4, 2), (True, 4, 2), (False, 5, 3)])
+def test_links_against_all_pairs(spark, near, most, parts):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(60)]
     fps = set(base) | {0, 2**64 - 1}
     for _ in range(700):
         x = rng.choice(base[:3] if near else base)
-        for b in rng.sample(range(64), rng.randrange(1, 6)):
+        for b in rng.sample(range(64), rng.randrange(1, most + 3)):
             x ^= 1 << b
         fps.add(x)
     fps = sorted(S.signed(x) for x in fps)
     arr = np.array(fps, np.int64)
-    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= 3)
+    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= most)
     want = union_find(fps, [(fps[a], fps[b]) for a, b in close if a < b])
-    found = S.links(spark.createDataFrame([(f, 1 + f % 3) for f in fps], "fp long, n long")).collect()
-    assert all(bin((r.a ^ r.b) % 2**64).count("1") <= 3 for r in found)
+    found = S.links(spark.createDataFrame([(f, 1 + f % 3) for f in fps], "fp long, n long"), most, parts).collect()
+    assert all(bin((r.a ^ r.b) % 2**64).count("1") <= most for r in found)
     assert union_find(fps, [(r.a, r.b) for r in found]) == want
     if near:
         assert len(found) < (len(close) - len(fps)) / 2  # a star, not all pairs
