@@ -15,6 +15,9 @@ First, each key's most common fingerprint becomes its hub, and fingerprints in r
 leaves out pairs that share a hub, so a large group of near copies gives a star and not all its pairs; no link
 between two components is lost by it.
 
+As a filter, links also need five-word shingles that are alike by 0.8 or more: hubs are checked first, and only those
+that pass let their pairs go; then the pairs are checked, by the shingles of both texts.
+
 Defined results: fewer words than a shingle make one shingle of all; texts without words (null, empty, white
 space) have fingerprint zero and link like any other; a null doc_id never is a component's name unless all of its
 ids are null; repeated rows are copies; other columns keep their values whatever their names; an empty table gives no
@@ -23,6 +26,7 @@ rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, combinations
 from math import comb
 
@@ -36,10 +40,8 @@ from ._common import documents, id_and_text, materialize, packed, row_key, unpac
 from .components import components
 
 BITS, SEED, SHINGLE, MAX_BITS, PARTS = 64, 42, 3, 3, 2
-#: Bits for filtering, the distance at which most links join texts whose five-word shingles are 0.8 similar or more.
-#: At sf0.1, of 293 such pairs of different texts 42 lie within 3 bits, 114 within 4 and 137 within 5; of the linked
-#: pairs that are less similar there are 26, 39 and 200.
-FILTER_BITS = 4
+#: For filtering: the distance at which pairs are looked up, its partitions, and what the found pairs are checked by.
+FILTER_BITS, FILTER_PARTS, FILTER_SHINGLE, SIMILAR = 6, 3, 5, (8, 10)
 #: Shingles whose bits are counted at once.
 BLOCK = 65536
 
@@ -157,8 +159,40 @@ def flipped(fps: DataFrame, group: list[int], most: int) -> DataFrame:
     return fps.withColumn("flip", F.explode(F.array([F.lit(x) for x in flips]))).withColumn("key", key.bitwiseXOR(F.col("flip")))
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataFrame:
-    """Links a, b that connect exactly what all pairs of fingerprints within ``max_bits`` connect.
+def shingle_set(raw: bytes, shingle: int = FILTER_SHINGLE) -> np.ndarray:
+    """The different shingles of words of a text, A-Z lower-cased, each as 32 bits of its XXH64; of few words, all as one."""
+    words = raw.lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    at = [0, *accumulate(len(w) + 1 for w in words)]
+    parts = [joined[a : b - 1] for a, b in zip(at, at[shingle:], strict=False)] or [joined]
+    return np.unique(np.fromiter((digest(x, SEED) & 0xFFFFFFFF for x in parts), np.uint32, len(parts)).view(np.int32))
+
+
+def similar(pairs: DataFrame, least: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b of fingerprints whose texts' five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    ``least`` has a row key k for each fp, ``texts`` k and text. Only texts of a pair are split into shingles.
+    """
+
+    @F.pandas_udf("array<int>")
+    def shingle_sets(some: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(bytes(x)) for x in some], dtype="object")
+
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = materialize(least.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), "wanted")
+    sets = texts.join(wanted, "k").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = materialize(sets.select("fp", shingle_sets(utf8(F.col("text"))).alias("s")), "sets")
+    x, y = sets.select(F.col("fp").alias("a"), F.col("s").alias("x")), sets.select(F.col("fp").alias("b"), F.col("s").alias("y"))
+    part, whole = SIMILAR
+    sizes = whole * F.least(F.size("x"), F.size("y")) >= part * F.greatest(F.size("x"), F.size("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(x, "a").join(y, "b").where(sizes).withColumn("common", common)
+    return materialize(found.where(whole * F.col("common") >= part * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b"), "similar")
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Links a, b that connect exactly what all pairs of fingerprints within ``max_bits`` connect, or those of these
+    pairs that ``check`` keeps.
 
     ``fps`` has each fp once, with n, how many documents have it.
     """
@@ -175,8 +209,14 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataF
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col(f"hub{k}"))) <= max_bits
         hubs = hubs.withColumn(f"hub{k}", F.when(near, F.col(f"hub{k}")))
     names = [f"hub{k}" for k in range(parts)]
-    hubs = materialize(hubs.withColumn("hub", F.coalesce(*names, "fp")), "hubs")
+    hubs = materialize(hubs, "hubs")
     stars = hubs.select(F.col("fp").alias("a"), F.explode(F.array(*names)).alias("b")).where("b IS NOT NULL AND a <> b")
+    if check is None:
+        hubs = hubs.withColumn("hub", F.coalesce(*names, "fp"))
+    else:  # the hub is one that passed, else the fingerprint itself
+        stars = check(stars)
+        hubs = hubs.join(stars.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("hub")), "fp", "left")
+        hubs = materialize(hubs.select("fp", F.coalesce("hub", "fp").alias("hub")), "hubs")
 
     index = probes = None
     for k, (group, limit) in enumerate(zip(groups, limits, strict=True)):
@@ -190,32 +230,36 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, parts: int = PARTS) -> DataF
     # no partition has more held keys than probes
     i = index.alias("i")
     pairs = probes.alias("p").join(i, (F.col("p.part") == F.col("i.part")) & (F.col("p.key") == F.col("i.key")) & verified)
-    return stars.unionByName(pairs.select("a", "b")).distinct()
+    pairs = pairs.select("a", "b")
+    return stars.unionByName(pairs if check is None else check(pairs)).distinct()
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links reach."""
-    return _components(fingerprints(id_and_text(docs), "text", shingle).select("doc_id", "fp"), max_bits)
+    rows = materialize(fingerprints(id_and_text(docs), "text", shingle).select("doc_id", "fp"), "fingerprints")
+    return _components(rows, max_bits)
 
 
-def _components(with_fp: DataFrame, max_bits: int) -> DataFrame:
-    """Adds component_id to rows with doc_id and fp."""
-    rows = materialize(with_fp, "fingerprints")
+def _components(rows: DataFrame, max_bits: int, parts: int = PARTS, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds component_id to written rows with doc_id and fp."""
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = components(links(fps, max_bits))
+    roots = components(links(fps, max_bits, parts, check))
     rooted = materialize(fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, max_bits: int = FILTER_BITS, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, max_bits: int = FILTER_BITS, parts: int = FILTER_PARTS, shingle: int = SHINGLE) -> DataFrame:
     """The documents, all columns, that name their component: one of each group stays, that with the smallest doc_id.
 
-    Of rows that repeat a doc_id with another text in one group, all stay; exact repeats of a row become one.
+    Groups are connected by pairs within ``max_bits`` whose five-word shingles have a Jaccard similarity of 0.8 or more.
+    Texts of one fingerprint count as copies; the least row key among them stands for all. Of rows that repeat a doc_id
+    with another text in one group, all stay; exact repeats of a row become one.
     """
-    key = row_key(F.col("doc_id").cast("long"), F.col("text"))
-    d = id_and_text(docs).select("doc_id", "text")
-    found = _components(fingerprints(d.withColumn("k", key), "text", shingle).select("doc_id", "k", "fp"), max_bits)
+    d = id_and_text(docs).withColumn("k", row_key(F.col("doc_id"), F.col("text")))
+    rows = materialize(fingerprints(d, "text", shingle).select("doc_id", "k", "fp"), "fingerprints")
+    least = rows.groupBy("fp").agg(F.min("k").alias("k"))
+    found = _components(rows, max_bits, parts, lambda pairs: similar(pairs, least, d.select("k", "text")))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k").distinct()
     keyed = packed(docs).withColumn("k", row_key(F.col("row.doc_id").cast("long"), F.col("row.text")))
     return unpacked(keyed.join(keep, "k", "left_semi").dropDuplicates(["k"]), docs.columns)

@@ -3,16 +3,15 @@
 import hashlib
 from collections import Counter
 
-import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from tessel.llm import langid, mixing, pieces, simhash
+from tessel.llm import langid, mixing, pieces
 
 from .test_lines import brute as brute_lines
 from .test_mixing import brute as brute_mix
-from .test_simhash import union_find
+from .test_simhash import brute_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,10 +33,7 @@ def test_stages_against_plain_code(spark):
     got = sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in outs[1]), key=str)
     assert got == sorted(((i, h) for i, _, _, h in want), key=str)
 
-    fps = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in outs[1]}
-    ids, arr = list(fps), np.array(list(fps.values()), np.int64)
-    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= simhash.FILTER_BITS)
-    roots = union_find(ids, [(ids[a], ids[b]) for a, b in close if a != b])
+    roots = brute_groups({r.doc_id: r.text or "" for r in outs[1]})
     assert sorted(r.doc_id for r in outs[2]) == sorted(set(roots.values()))
 
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in outs[2]]

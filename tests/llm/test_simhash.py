@@ -20,6 +20,33 @@ def union_find(nodes, pairs):
     return {n: root(n) for n in nodes}
 
 
+def brute_groups(texts):
+    """The root of each id, from all pairs within the filter's bits whose sets of five-word shingles are 0.8 alike."""
+    ids, words = list(texts), {i: t.lower().split() for i, t in texts.items()}
+    arr = np.array([S.fingerprint(texts[i].encode()) for i in ids], np.int64)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in words.items()}
+    close = np.argwhere(np.bitwise_count((arr[:, None] ^ arr[None, :]).view(np.uint64)) <= S.FILTER_BITS)
+    pairs = [(ids[a], ids[b]) for a, b in close if a < b]
+    return union_find(ids, [(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+
+
+def test_filter_checks_pairs_by_five_words(spark):
+    rng, texts = random.Random(5), {}
+    for base in range(4):
+        words = [f"b{base}w{rng.randrange(90)}" for _ in range(200)]
+        for _ in range(45):
+            copy = list(words)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(200)] = f"e{rng.randrange(1000)}"
+            texts[len(texts)] = " ".join(copy)
+    roots = brute_groups(texts)
+    near = np.array([S.fingerprint(t.encode()) for t in texts.values()], np.int64)
+    within = np.argwhere(np.bitwise_count((near[:, None] ^ near[None, :]).view(np.uint64)) <= S.FILTER_BITS)
+    assert len(set(union_find(texts, within).values())) < len(set(roots.values())) < len(texts)
+    kept = S.drop_near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(roots.values()))
+
+
 def test_fingerprint_against_plain_counting(spark):
     for text in ["", " \n", "One", "one TWO", "a b c", "Ä ö a b  c\x0bd e f", "x y z " * 50]:
         words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
