@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..catalog import ID, Graph, is_array, logical_type
 from ..plans.predicates import Property, combine, criteria
@@ -25,24 +26,44 @@ def _side(graph: Graph, side: dict, keyed: bool) -> DataFrame:
     return df.select(ID, value.alias("__key")).where(F.col("__key").isNotNull())
 
 
-def pairs(graph: Graph, source: dict, target: dict, many_to_many: bool = False) -> DataFrame:
-    """src and dst, each pair once: records with an equal key, or all pairs of two filtered sides.
+def _keyed(graph: Graph, source: dict, target: dict) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides of a key join with keys of one type, or None if theirs never match."""
+    a, b = _side(graph, source, True), _side(graph, target, True)
+    kinds = [df.schema["__key"].dataType for df in (a, b)]
+    if logical_type(kinds[0]) != logical_type(kinds[1]):
+        return None
+    kind = kinds[0] if kinds[0] == kinds[1] else a.select("__key").union(b.select("__key")).schema["__key"].dataType
+    key = F.col("__key").cast(kind)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        key = key + F.lit(0.0).cast(kind)  # a negative zero equals zero in sets too
+    return a.withColumn("__key", key), b.withColumn("__key", key)
 
-    Keys of different types never match. All pairs need ``many_to_many`` and a where on both sides.
-    """
+
+def _check(source: dict, target: dict, many_to_many: bool) -> bool:
+    """Whether the sides are joined by keys."""
     keyed = bool(source.get("key") or target.get("key"))
     if keyed and not (source.get("key") and target.get("key")):
         raise QueryError("both sides need a key")
     if not keyed and not (many_to_many and source.get("where") and target.get("where")):
         raise QueryError("pairs without keys need manyToMany and a where on both sides")
-    a = _side(graph, source, keyed).withColumnRenamed(ID, "src")
-    b = _side(graph, target, keyed).withColumnRenamed(ID, "dst")
-    if keyed:
-        if logical_type(a.schema["__key"].dataType) != logical_type(b.schema["__key"].dataType):
-            return a.select("src").crossJoin(b.select("dst")).where(F.lit(False))
-        out = a.join(b, "__key").select("src", "dst")
-    else:
+    return keyed
+
+
+def pairs(graph: Graph, source: dict, target: dict, many_to_many: bool = False) -> DataFrame:
+    """src and dst, each pair once: records with an equal key, or all pairs of two filtered sides.
+
+    Keys of different types never match. All pairs need ``many_to_many`` and a where on both sides.
+    """
+    keyed = _check(source, target, many_to_many)
+    sides = _keyed(graph, source, target) if keyed else None
+    if not keyed or sides is None:
+        a = _side(graph, source, False).withColumnRenamed(ID, "src")
+        b = _side(graph, target, False).withColumnRenamed(ID, "dst")
         out = a.crossJoin(b)  # asked for by name, over filtered sides
+        if keyed:
+            return out.where(F.lit(False))
+    else:
+        out = sides[0].withColumnRenamed(ID, "src").join(sides[1].withColumnRenamed(ID, "dst"), "__key").select("src", "dst")
     if source["label"] == target["label"]:
         out = out.where("src <> dst")
     return out.distinct()
@@ -65,8 +86,26 @@ def create_many(graph: Graph, edges: DataFrame, source: dict, target: dict, type
 
 
 def probe(graph: Graph, source: dict, target: dict, limit: int) -> DataFrame:
-    """One row, n: the number of pairs, counted up to ``limit``."""
-    return pairs(graph, source, target).limit(limit).agg(F.count(F.lit(1)).alias("n"))
+    """One row, n: the number of pairs, counted up to ``limit``.
+
+    Records are counted by key first. A key whose pairs reach the limit settles it, and only pairs of other keys, each
+    with fewer than the limit, are made.
+    """
+    _check(source, target, False)
+    sides = _keyed(graph, source, target)
+    if sides is None:
+        return graph.spark.range(1).select(F.lit(0).cast("long").alias("n"))
+    a, b = (df.distinct() for df in sides)
+    counts = a.groupBy("__key").agg(F.count(F.lit(1)).alias("a")).join(b.groupBy("__key").agg(F.count(F.lit(1)).alias("b")), "__key")
+    same = source["label"] == target["label"]
+    at_least = F.col("a").cast("double") * F.col("b") - (F.least("a", "b") if same else F.lit(0))  # a record is no pair with itself
+    enough = counts.where(at_least >= limit).limit(1).select(F.lit(limit).cast("long").alias("n"))
+    rest = counts.where(at_least < limit).select("__key")
+    found = a.withColumnRenamed(ID, "src").join(rest, "__key", "left_semi").join(b.withColumnRenamed(ID, "dst"), "__key").select("src", "dst")
+    if same:
+        found = found.where("src <> dst")
+    found = found.distinct().limit(limit).agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(enough).agg(F.least(F.sum("n"), F.lit(limit).cast("long")).alias("n"))
 
 
 def delete_many(graph: Graph, edges: DataFrame, source: dict, target: dict, type_: str, direction: str = "out", many_to_many: bool = False) -> DataFrame:

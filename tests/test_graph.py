@@ -151,6 +151,55 @@ def test_key_joins(spark):
     assert E.pairs(typed, a, {"label": "N", "key": "key"}).count() == 0
 
 
+def plan_rows(df):
+    """Collects a frame; returns what its plan's nodes are called with the rows that each gave, subplans included."""
+    df.collect()
+    out, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif node.getClass().getSimpleName().endswith("QueryStageExec"):
+            left.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        if metric.isDefined():
+            out.append((node.nodeName(), metric.get().value()))
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def brute_pairs(source, target, same):
+    """Pairs of (id, keys) rows with a common key, each once."""
+    return {(a, b) for a, x in source for b, y in target if set(x) & set(y) and not (same and a == b)}
+
+
+def keyed_graph(spark):
+    """Labels with equal, several, repeated and missing keys, and an id that has two rows."""
+    ones = [(f"A:{i}", [0, 1, 1, 2, None, i + 10][i % 6]) for i in range(40)] + [("A:1", 2), ("A:1", 1)]
+    many = [(f"M:{i}", [[0, 1], [1, 2, 2], [], [i + 10], None, [0, 1, 2]][i % 6]) for i in range(30)]
+    reals = [(f"D:{i}", [0.0, -0.0, 1.0, float("nan"), i + 10.0][i % 5]) for i in range(25)]
+    g = Graph(spark, {"A": spark.createDataFrame(ones, "__id string, key int"), "M": spark.createDataFrame(many, "__id string, key array<int>"), "D": spark.createDataFrame(reals, "__id string, key double")})
+    keys = {label: [(r[0], r[1] if isinstance(r[1], list) else [r[1]] if r[1] is not None else []) for r in rows] for label, rows in (("A", ones), ("M", many), ("D", reals))}
+    return g, {k: [(i, [x for x in v if x is not None]) for i, v in (rows or [])] for k, rows in keys.items()}
+
+
+@pytest.mark.parametrize(("source", "target"), [("A", "M"), ("M", "A"), ("A", "A"), ("M", "M"), ("A", "D"), ("D", "M")])
+def test_probe_counts_pairs_once(spark, source, target):
+    g, keys = keyed_graph(spark)
+    want = len(brute_pairs(keys[source], keys[target], source == target))
+    for limit in (1, 7, want - 1, want, want + 1, 10_000):
+        assert E.probe(g, {"label": source, "key": "key"}, {"label": target, "key": "key"}, limit).first().n == min(want, limit)
+
+
+def test_probe_makes_no_pairs_of_a_key_that_reaches_the_limit(spark):
+    rows = lambda x: spark.range(300).select(F.concat(F.lit(f"{x}:"), "id").alias("__id"), F.lit("k").alias("key"))
+    g = Graph(spark, {"A": rows("A"), "B": rows("B"), "N": spark.createDataFrame([("N:1", 1)], "__id string, key int")})
+    for target in ("A", "B"):
+        probe = E.probe(g, {"label": "A", "key": "key"}, {"label": target, "key": "key"}, 100)
+        assert max(n for _, n in plan_rows(probe)) <= 300 and probe.first().n == 100
+    assert E.probe(g, {"label": "A", "key": "key"}, {"label": "N", "key": "key"}, 100).first().n == 0
+
+
 def test_schema_of_boats(spark):
     rows = [("Petrel", "Rhos", 9, dt.datetime(1971, 3, 4), True, ["sloop", "oak"], [5.5, 6.25]), ("Gannet", "Voe", 14, dt.datetime(1988, 11, 30), True, ["oak", "ketch"], [7.0]),
             ("Tern", "Rhos", 6, dt.datetime(2003, 6, 1), False, ["sloop"], [4.75]), ("Auk", "Voe", 11, None, None, None, None)]
