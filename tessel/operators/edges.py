@@ -13,6 +13,9 @@ from ..plans.predicates import Property, combine, criteria
 from ..plans.query import LOGIC, QueryError
 from ..plans.search import search
 
+#: Rows of a key on either side beyond which they are split, so that a cell has about the square of this in pairs.
+CELL = 2048
+
 
 def _side(graph: Graph, side: dict, keyed: bool) -> DataFrame:
     """Ids of one side with its key; list keys give a row for each element."""
@@ -49,24 +52,47 @@ def _check(source: dict, target: dict, many_to_many: bool) -> bool:
     return keyed
 
 
+def _rows(side: DataFrame, name: str) -> DataFrame:
+    """A row for each record and different key of it, with ``__all``: its keys where it has several, else null."""
+    by_id = side.groupBy(F.col(ID).alias(name)).agg(F.collect_set("__key").alias("__k"))
+    return by_id.select(name, F.explode("__k").alias("__key"), F.when(F.size("__k") > 1, F.col("__k")).alias("__all"))
+
+
+def _cells(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``__i`` and ``__j``: the pairs of a key with many rows are dealt over a grid of cells, so that no
+    task makes all of them. A row of one side goes into one row of its key's grid, one of the other into one column."""
+    cuts = [df.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).select("__key", F.ceil(F.col("n") / CELL).cast("int").alias(n)) for df, n in ((a, "__p"), (b, "__q"))]
+    cut = cuts[0].join(cuts[1], "__key", "full")
+    out = []
+    for df, id_, own, other, at, along in ((a, "src", "__p", "__q", "__i", "__j"), (b, "dst", "__q", "__p", "__j", "__i")):
+        df = df.join(cut, "__key", "left")
+        df = df.withColumn(at, F.pmod(F.xxhash64(id_), F.coalesce(own, F.lit(1))).cast("int"))
+        out.append(df.withColumn(along, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("__p", "__q"))
+    return out[0], out[1]
+
+
 def pairs(graph: Graph, source: dict, target: dict, many_to_many: bool = False) -> DataFrame:
     """src and dst, each pair once: records with an equal key, or all pairs of two filtered sides.
 
-    Keys of different types never match. All pairs need ``many_to_many`` and a where on both sides.
+    Keys of different types never match. All pairs need ``many_to_many`` and a where on both sides. Pairs are never
+    gathered to be made distinct: each side's rows are, and two records with several keys meet at the least common one.
     """
     keyed = _check(source, target, many_to_many)
     sides = _keyed(graph, source, target) if keyed else None
-    if not keyed or sides is None:
-        a = _side(graph, source, False).withColumnRenamed(ID, "src")
-        b = _side(graph, target, False).withColumnRenamed(ID, "dst")
+    if sides is None:
+        a, b = (_side(graph, s, False).select(F.col(ID).alias(n)).distinct() for s, n in ((source, "src"), (target, "dst")))
         out = a.crossJoin(b)  # asked for by name, over filtered sides
         if keyed:
             return out.where(F.lit(False))
     else:
-        out = sides[0].withColumnRenamed(ID, "src").join(sides[1].withColumnRenamed(ID, "dst"), "__key").select("src", "dst")
+        a, b = _cells(_rows(sides[0], "src"), _rows(sides[1], "dst"))
+        at = ["__key", "__i", "__j"]
+        tasks = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))  # by number: sizes of sides say little about pairs
+        out = a.withColumnRenamed("__all", "__a").repartition(tasks, *at).join(b.withColumnRenamed("__all", "__b"), at)
+        out = out.where(F.expr("__a IS NULL OR __b IS NULL OR array_min(array_intersect(__a, __b)) = __key")).select("src", "dst")
     if source["label"] == target["label"]:
         out = out.where("src <> dst")
-    return out.distinct()
+    return out
 
 
 def create_many(graph: Graph, edges: DataFrame, source: dict, target: dict, type_: str, direction: str = "out", properties: dict[str, Any] | None = None, many_to_many: bool = False) -> DataFrame:

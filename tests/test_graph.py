@@ -200,6 +200,25 @@ def test_probe_makes_no_pairs_of_a_key_that_reaches_the_limit(spark):
     assert E.probe(g, {"label": "A", "key": "key"}, {"label": "N", "key": "key"}, 100).first().n == 0
 
 
+@pytest.mark.parametrize("cell", [2, E.CELL])
+@pytest.mark.parametrize(("source", "target"), [("A", "M"), ("A", "A"), ("M", "M"), ("A", "D")])
+def test_pairs_of_keys_come_once(spark, monkeypatch, source, target, cell):
+    monkeypatch.setattr(E, "CELL", cell)
+    g, keys = keyed_graph(spark)
+    got = [tuple(r) for r in E.pairs(g, {"label": source, "key": "key"}, {"label": target, "key": "key"}).collect()]
+    assert sorted(got) == sorted(brute_pairs(keys[source], keys[target], source == target))
+
+
+def test_pairs_are_neither_gathered_nor_made_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(E, "CELL", 50)
+    rows = lambda x: spark.range(300).select(F.concat(F.lit(f"{x}:"), "id").alias("__id"), F.lit("k").alias("key"))
+    out = E.pairs(Graph(spark, {"A": rows("A"), "B": rows("B")}), {"label": "A", "key": "key"}, {"label": "B", "key": "key"})
+    kept = [n for name, n in plan_rows(out) if "Aggregate" in name or "Sort" == name]
+    assert kept and max(kept) <= 300  # before, all 90,000 pairs went through an aggregation
+    by_task = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(by_task) == 90_000 and len(by_task) > 1 and max(by_task) < 60_000
+
+
 def test_schema_of_boats(spark):
     rows = [("Petrel", "Rhos", 9, dt.datetime(1971, 3, 4), True, ["sloop", "oak"], [5.5, 6.25]), ("Gannet", "Voe", 14, dt.datetime(1988, 11, 30), True, ["oak", "ketch"], [7.0]),
             ("Tern", "Rhos", 6, dt.datetime(2003, 6, 1), False, ["sloop"], [4.75]), ("Auk", "Voe", 11, None, None, None, None)]
