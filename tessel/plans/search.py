@@ -352,20 +352,25 @@ class Compiler:
         page = self.paged(roots, [ID]).select(ID)
         return Frame(frame.df.join(page, ID, "left_semi"), frame.aliases)
 
-    def label_collects(self, frame: Frame) -> tuple[Frame, dict[str, str]]:
-        """Columns of nested records by label, each gathered from below and joined by the record's id."""
+    def label_collects(self, frame: Frame) -> dict[str, DataFrame]:
+        """Columns of nested records by select key, each gathered from below: __owner, the record's id, and __s_key."""
         made = {}
         for key, e in self.select.items():
             if isinstance(e, dict) and "$collect" in e and "nested" in e["$collect"]:
-                rows = self.nested(frame, [ID], e["$collect"]).withColumnsRenamed({ID: "__owner", "rows": f"__s_{key}"})
-                frame, made[key] = Frame(frame.df.join(rows, F.col(ID) == F.col("__owner"), "left").drop("__owner"), frame.aliases), f"__s_{key}"
+                made[key] = self.nested(frame, [ID], e["$collect"]).withColumnsRenamed({ID: "__owner", "rows": f"__s_{key}"})
             elif isinstance(e, dict) and "$collect" in e and "label" in e["$collect"]:
                 if any(g.startswith("$") for g in self.q.groupBy):
                     raise QueryError("$collect by label can't be grouped by a property")
-                rows = self.gather(self.q.labels, e["$collect"]).withColumnRenamed("rows", f"__s_{key}").withColumnRenamed("owner", "__owner")
-                df = frame.df.join(rows, F.col(ID) == F.col("__owner"), "left").drop("__owner")
-                frame, made[key] = Frame(df.withColumn(f"__s_{key}", F.coalesce(F.col(f"__s_{key}"), F.array())), frame.aliases), f"__s_{key}"
-        return frame, made
+                made[key] = self.gather(self.q.labels, e["$collect"]).withColumnsRenamed({"owner": "__owner", "rows": f"__s_{key}"})
+        return made
+
+    def with_collects(self, df: DataFrame, gathered: dict[str, DataFrame]) -> DataFrame:
+        """The rows with gathered columns, by the record's id."""
+        for key, rows in gathered.items():
+            df = df.join(rows, F.col(ID) == F.col("__owner"), "left").drop("__owner")
+            if "label" in self.select[key]["$collect"]:
+                df = df.withColumn(f"__s_{key}", F.coalesce(F.col(f"__s_{key}"), F.array()))
+        return df
 
     def nested(self, frame: Frame, by: list[str], spec: dict) -> DataFrame:
         """``by`` and rows: records of an alias, each with those of other aliases beside it, gathered from the innermost on."""
@@ -450,8 +455,12 @@ class Compiler:
         roots = [c for c in frame.aliases[ROOT] if c != LABEL] + [LABEL]
         if not late and not full_scan:
             frame = self.early_page(frame)
-        frame, gathered = self.label_collects(frame)
+        gathered = self.label_collects(frame)
         plain = {k: e for k, e in self.select.items() if k not in gathered}
+        # what is gathered joins a record once, after its rows with other aliases are one, unless an expression reads it
+        early = [k for k in gathered if any(k in refs_of(e) for e in plain.values())]
+        later = {k: rows for k, rows in gathered.items() if k not in early}
+        frame = Frame(self.with_collects(frame.df, {k: gathered[k] for k in early}), frame.aliases)
         steps = layers(plain)
         dims = [g for g in self.q.groupBy if g.startswith("$")]
         keys = [g for g in self.q.groupBy if not g.startswith("$")]
@@ -483,13 +492,17 @@ class Compiler:
                 shown = [g.rpartition(".")[2] for g in dims] + [k for k in plain if f"__s_{k}" in df.columns or k in after]
             else:
                 # records' own columns don't go through the aggregation but are joined to it
-                made = df.groupBy(ID).agg(*[F.first(F.col(f"__s_{k}")).alias(f"__s_{k}") for k in [*before, *gathered]], *aggs)
+                made = df.groupBy(ID).agg(*[F.first(F.col(f"__s_{k}")).alias(f"__s_{k}") for k in [*before, *early]], *aggs)
                 own = self.graph.scan(self.q.labels or sorted(self.graph.labels))
                 df = own.join(made.withColumnRenamed(ID, "__agg"), F.col(ID) == F.col("__agg")).drop("__agg")
+                df = self.with_collects(df, later)
                 shown = [c for c in roots if c not in self.select] + [*self.select]
         else:
             if set(frame.aliases) != {ROOT} and not before:
                 df = df.dropDuplicates([ID])
+            elif set(frame.aliases) != {ROOT} and later:
+                df = df.select(*dict.fromkeys([*frame.aliases[ROOT], *[f"__s_{k}" for k in [*before, *early]]])).dropDuplicates()
+            df = self.with_collects(df, later)
             shown = [c for c in roots if c not in self.select] + [*self.select]
         for k in after:
             df = df.withColumn(f"__s_{k}", self.expr(Frame(df, frame.aliases), plain[k]))

@@ -152,7 +152,7 @@ def test_key_joins(spark):
 
 
 def plan_rows(df):
-    """Collects a frame; returns what its plan's nodes are called with the rows that each gave, subplans included."""
+    """Collects a frame; returns what its plan's nodes are called with the rows that each gave and their columns."""
     df.collect()
     out, left = [], [df._jdf.queryExecution().executedPlan()]
     while left:
@@ -163,7 +163,7 @@ def plan_rows(df):
             left.append(node.plan())
         metric = node.metrics().get("numOutputRows")
         if metric.isDefined():
-            out.append((node.nodeName(), metric.get().value()))
+            out.append((node.nodeName(), metric.get().value(), [node.output().apply(i).name() for i in range(node.output().size())]))
         left += [node.children().apply(i) for i in range(node.children().size())]
     return out
 
@@ -196,7 +196,7 @@ def test_probe_makes_no_pairs_of_a_key_that_reaches_the_limit(spark):
     g = Graph(spark, {"A": rows("A"), "B": rows("B"), "N": spark.createDataFrame([("N:1", 1)], "__id string, key int")})
     for target in ("A", "B"):
         probe = E.probe(g, {"label": "A", "key": "key"}, {"label": target, "key": "key"}, 100)
-        assert max(n for _, n in plan_rows(probe)) <= 300 and probe.first().n == 100
+        assert max(n for _, n, _ in plan_rows(probe)) <= 300 and probe.first().n == 100
     assert E.probe(g, {"label": "A", "key": "key"}, {"label": "N", "key": "key"}, 100).first().n == 0
 
 
@@ -213,12 +213,25 @@ def test_pairs_are_neither_gathered_nor_made_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(E, "CELL", 50)
     rows = lambda x: spark.range(300).select(F.concat(F.lit(f"{x}:"), "id").alias("__id"), F.lit("k").alias("key"))
     out = E.pairs(Graph(spark, {"A": rows("A"), "B": rows("B")}), {"label": "A", "key": "key"}, {"label": "B", "key": "key"})
-    kept = [n for name, n in plan_rows(out) if "Aggregate" in name or "Sort" == name]
+    kept = [n for name, n, _ in plan_rows(out) if "Aggregate" in name or "Sort" == name]
     assert kept and max(kept) <= 300  # before, all 90,000 pairs went through an aggregation
     by_task = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(by_task) == 90_000 and len(by_task) > 1 and max(by_task) < 60_000
 
 
+@pytest.mark.parametrize("more", [{}, {"n": {"fn": "count", "alias": "$y"}}, {"tag": "$record.tag"}, {"n": {"fn": "count", "alias": "$y"}, "tag": "$record.tag"}])
+def test_collected_records_join_each_root_once(spark, more):
+    make = lambda label, n, up: spark.range(n).select(F.concat(F.lit(f"{label}:"), "id").alias("__id"), F.col("id").alias("k"), (F.col("id") % up).alias("up"), F.lit(label).alias("tag"))
+    g = Graph(spark, {"X": make("X", 4, 1), "Y": make("Y", 20, 3), "Z": make("Z", 200, 20)}, [Edge("R", "Y", "X", ("up", "k")), Edge("R", "Z", "Y", ("up", "k"))])
+    nested = {"ys": {"fn": "collect", "alias": "$y", "orderBy": {"k": "asc"}, "aggregate": {"zs": {"fn": "collect", "alias": "$z", "orderBy": {"k": "desc"}, "limit": 2}}}}
+    df = search(g, {"labels": ["X"], "where": {"Y": {"$alias": "$y", "Z": {"$alias": "$z"}}}, "aggregate": {**nested, **more}}, full_scan=True)
+    joined = [n for _, n, columns in plan_rows(df) if "__s_ys" in columns]
+    assert joined and max(joined) == 3  # before, each of the 200 rows of X, Y and Z had the records of X beside it
+    rows = df.collect()
+    assert {r.k: [(y.k, [z.k for z in y.zs]) for y in r.ys] for r in rows} == {x: [(y, [180 + y, 160 + y]) for y in range(x, 20, 3)] for x in range(3)}
+    assert len(rows) == 3 and all(r.tag == "X" for r in rows) and ("n" not in more or {r.k: r.n for r in rows} == {0: 7, 1: 7, 2: 6})
+
+
 def test_schema_of_boats(spark):
     rows = [("Petrel", "Rhos", 9, dt.datetime(1971, 3, 4), True, ["sloop", "oak"], [5.5, 6.25]), ("Gannet", "Voe", 14, dt.datetime(1988, 11, 30), True, ["oak", "ketch"], [7.0]),
             ("Tern", "Rhos", 6, dt.datetime(2003, 6, 1), False, ["sloop"], [4.75]), ("Auk", "Voe", 11, None, None, None, None)]
