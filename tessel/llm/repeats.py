@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, id_and_text, utf8, work_dir
-from .suffixes import suffix_array
+from .suffixes import sorted_suffixes
 
 MIN, GRAM = 50, 16
 GRAMS = MIN - GRAM + 1
@@ -50,9 +51,9 @@ WIDTH = LEFT + RIGHT
 #: Bytes of documents in a block, and of all documents to a bucket.
 BLOCK, BUCKET_BYTES = 32_000_000, 16_000_000
 #: Places hashed together, anchors looked at together, and classes settled together.
-CHUNK, ANCHORS, SLICE = 1 << 18, 100_000, 50_000
+CHUNK, ANCHORS, SLICE = 1 << 16, 100_000, 50_000
 #: How hard packed numbers are compressed; bits of an anchor's hash in its bucket, and of the hash of its surroundings.
-LEVEL, TAG_BITS, NAME_BITS = 9, 28, 48
+LEVEL, TAG_BITS, NAME_BITS = 5, 28, 48
 #: Bits of a class's name by which a part looks it up in a bucket, if they tell all the part's classes there apart.
 SHORT_BITS = 40
 #: Documents with an anchor from which on its strings are dealt out singly.
@@ -106,6 +107,11 @@ class Block:
             hashes.append(full[at])
         return np.concatenate(places), np.concatenate(hashes)
 
+    @cached_property
+    def padded(self) -> np.ndarray:
+        """The bytes, with room for the surroundings of the first and last anchors."""
+        return np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(RIGHT, np.uint8)])
+
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
@@ -232,15 +238,14 @@ def surroundings(block: Block, at: np.ndarray, h: np.ndarray, single: np.ndarray
     start, end = block.starts[row], block.starts[row + 1]
     out = np.zeros(len(at), KEY)
     out["h"], out["hi"], out["lo"] = h, np.minimum(at - start, LEFT), np.maximum(MIN - (end - at), 0)
-    full = np.concatenate([np.zeros(LEFT, np.uint8), block.data, np.zeros(RIGHT, np.uint8)])
-    around = sliding_window_view(full, WIDTH)[at]
+    around = np.ndarray((len(block.data) + 1,), f"V{WIDTH}", block.padded.data, strides=(1,))[at].view(np.uint8).reshape(-1, WIDTH)
     first, last = start - at + LEFT, end - at + LEFT
     if single is not None:
         one = single >= 0
         out["hi"][one] = out["lo"][one] = single[one]
         first, last = np.where(one, LEFT - single, first), np.where(one, LEFT - single + MIN, last)
-    place = np.arange(WIDTH)
-    around[(place < first[:, None]) | (place >= last[:, None])] = 0
+    place, cut = np.arange(WIDTH), np.flatnonzero((first > 0) | (last < WIDTH))
+    around[cut] *= (place >= first[cut, None]) & (place < last[cut, None])
     out["around"] = around.view(f"V{WIDTH}").ravel()
     return out
 
@@ -274,16 +279,18 @@ class Shared:
         i = np.minimum(np.searchsorted(self.known, full), len(self.known) - 1)
         hit = self.known[i] == full
         at, h, hot = at[hit], h[hit], self.hot[i[hit]]
-        step = max(1, ANCHORS // GRAMS) if hot.any() else ANCHORS
-        for a in range(0, len(at), step):
-            p, x, many = at[a : a + step], h[a : a + step], hot[a : a + step]
+        row = block.row_of(at)
+        lo = np.maximum(MIN - (block.starts[row + 1] - at), 0)
+        n = np.where(hot, np.minimum(at - block.starts[row], LEFT) - lo + 1, 1)
+        ends, z = np.cumsum(n), 0
+        while z < len(at):
+            a, z = z, max(z + 1, int(np.searchsorted(ends, ends[z] - n[z] + ANCHORS, "right")))
+            p, x, many = at[a:z], h[a:z], hot[a:z]
             single = np.full(len(p), -1)
             if many.any():
-                row = block.row_of(p)
-                hi, lo = np.minimum(p - block.starts[row], LEFT), np.maximum(MIN - (block.starts[row + 1] - p), 0)
-                n = np.where(many, hi - lo + 1, 1)
-                back = np.repeat(np.arange(len(p)), n)
-                single = np.where(many[back], lo[back] + np.arange(len(back)) - np.repeat(np.cumsum(n) - n, n), -1)
+                each = n[a:z]
+                back = np.repeat(np.arange(len(p)), each)
+                single = np.where(many[back], lo[a:z][back] + np.arange(len(back)) - np.repeat(np.cumsum(each) - each, each), -1)
                 p, x = p[back], x[back]
             keys = surroundings(block, p, x, single)
             names = names_of(keys)
@@ -322,14 +329,20 @@ def _settle(keys: np.ndarray, least: np.ndarray, many: np.ndarray) -> tuple[np.n
     k = keys[many]
     around = np.frombuffer(k["around"].tobytes(), np.uint8).reshape(-1, WIDTH)
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(WIDTH, BASE, np.uint64)]))
-    sums = np.zeros((len(many), WIDTH + 1), np.uint64)
-    np.cumsum((around.astype(np.uint64) + np.uint64(1)) * powers[:-1], axis=1, out=sums[:, 1:])
+    hashes = np.empty((LEFT + 1, len(many)), np.uint64)
+    for a in range(0, len(many), CHUNK):
+        some = around[a : a + CHUNK]
+        sums = np.zeros((len(some), WIDTH + 1), np.uint64)
+        np.cumsum((some + np.uint64(1)) * powers[:-1], axis=1, out=sums[:, 1:])
+        hashes[:, a : a + CHUNK] = (sums[:, MIN : MIN + LEFT + 1] - sums[:, : LEFT + 1]).T[::-1]
     could = np.zeros((len(many), LEFT + 1), bool)
     for s in range(LEFT + 1):
         ok = np.flatnonzero((k["lo"] <= s) & (s <= k["hi"]))
-        w = (sums[ok, LEFT - s + MIN] - sums[ok, LEFT - s]) * M1 ^ k["h"][ok] * M2
-        _, back, n = np.unique(w, return_inverse=True, return_counts=True)
-        could[ok, s] = n[back] > 1
+        w = hashes[s, ok] * M1 ^ k["h"][ok] * M2
+        in_order = np.sort(w)
+        twice = np.unique(in_order[1:][in_order[1:] == in_order[:-1]])
+        if len(twice):
+            could[ok, s] = twice[np.minimum(np.searchsorted(twice, w), len(twice) - 1)] == w
     # the text of each run of such strings, each different text once
     padded = np.pad(could, ((0, 0), (1, 1)))
     c, lo = np.nonzero(padded[:, 1:-1] & ~padded[:, :-2])
@@ -359,32 +372,25 @@ def _settle(keys: np.ndarray, least: np.ndarray, many: np.ndarray) -> tuple[np.n
 def equal_strings(texts: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's strings start in the answer, and per string the least ``low`` of texts that hold it.
 
-    The texts are concatenated with a sign between them that none has, and their suffixes sorted by grouping.
+    The texts' suffixes that start with a string are sorted by grouping.
     """
     sizes = np.array([len(t) for t in texts])
     counts = sizes - MIN + 1
-    joined = np.full(int(sizes.sum()) + len(texts), 0, np.int64)
-    heads = np.cumsum(sizes + 1) - sizes - 1
-    of = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    joined[heads[of] + place] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    order = np.array(suffix_array(joined.tolist()), np.int64)
-    number = np.full(len(joined), -1)
-    run = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
-    number[heads[run] + at] = np.arange(len(run))
-    order = order[number[order] >= 0]
-    names = number[order]
-    windows = sliding_window_view(joined, MIN)
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), ANCHORS):
-        same[a : a + ANCHORS] = (windows[order[a : a + ANCHORS]] == windows[order[a - 1 : a - 1 + len(same[a : a + ANCHORS])]]).all(1)
+    heads = np.cumsum(counts) - counts
+    symbols = np.zeros((len(texts), max(MIN, int(sizes.max(initial=0)))), np.uint8)
+    symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    text, place = sorted_suffixes(symbols, sizes, MIN)
+    windows = sliding_window_view(symbols, MIN, axis=1)
+    same = np.zeros(len(text), bool)
+    for a in range(1, len(text), ANCHORS):
+        z = min(a + ANCHORS, len(text))
+        same[a:z] = (windows[text[a:z], place[a:z]] == windows[text[a - 1 : z - 1], place[a - 1 : z - 1]]).all(1)
     group = np.cumsum(~same) - 1
     best = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, low[run[names]])
-    out = np.empty(len(run), np.int64)
-    out[names] = best[group]
-    return np.cumsum(counts) - counts, out
+    np.minimum.at(best, group, low[text])
+    out = np.empty(len(text), np.int64)
+    out[heads[text] + place] = best[group]
+    return heads, out
 
 
 def joined(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,11 +406,9 @@ def joined(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 def cut_out(block: Block, row: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Result rows of a block without the stretches a..b of its documents."""
     row, a, b = joined(row, a, b)
-    step = np.zeros(len(block.data) + 1, np.int8)
-    step[a] += 1
-    np.subtract.at(step, b, 1)  # a stretch may end where that of the next document starts
-    keep = np.cumsum(step[:-1], dtype=np.int8) == 0
-    left = np.concatenate([[0], np.cumsum(keep)])[block.starts]
+    edges = np.concatenate([[0], np.stack([a, b], 1).ravel(), [len(block.data)]])
+    keep = np.repeat(np.arange(len(edges) - 1) % 2 == 0, np.diff(edges))
+    left = block.starts - np.concatenate([[0], np.cumsum(b - a)])[np.searchsorted(row, np.arange(len(block.ids) + 1))]
     kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(block.ids), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(block.data[keep])])
     spans = pa.StructArray.from_arrays([pa.array(a - block.starts[row]), pa.array(b - block.starts[row])], names=["start", "end"])
     each = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(block.ids) + 1)).astype(np.int32)), spans)

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessel.llm import repeats as R
+from tessel.llm import suffixes as S
 from tessel.llm.suffixes import suffix_array
 
 
@@ -15,6 +16,37 @@ def test_suffix_array_against_sorting(s):
     assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+texts_of_few_bytes = st.lists(st.one_of(st.binary(max_size=40), st.text("ab\0", max_size=6).map(lambda t: t.encode() * 9)), min_size=1, max_size=12)
+
+
+def matrix(texts):
+    out = np.zeros((len(texts), max(map(len, texts))), np.uint8)
+    for row, t in zip(out, texts, strict=True):
+        row[: len(t)] = list(t)
+    return out, np.array([len(t) for t in texts])
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts_of_few_bytes, st.integers(1, 9))
+def test_suffixes_of_many_texts_against_sorting(texts, least):
+    text, place = S.sorted_suffixes(*matrix(texts), least)
+    assert [texts[t][p:] for t, p in zip(text, place, strict=True)] == sorted(t[p:] for t in texts for p in range(len(t) - least + 1))
+    assert len(set(zip(text.tolist(), place.tolist(), strict=True))) == len(text)
+
+
+def test_rounds_go_with_the_length_of_texts(monkeypatch):
+    # classes of equal anchors are sorted together: Python steps must not grow with their number
+    rounds, was = [], S.less
+    monkeypatch.setattr(S, "less", lambda *a: rounds.append(1) or was(*a))
+    rng, out = random.Random(5), []
+    for n in (30, 3000):
+        texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randrange(R.MIN, R.WIDTH + 1))) for _ in range(n)]
+        rounds.clear()
+        S.sorted_suffixes(*matrix(texts), R.MIN)
+        out.append(len(rounds))
+    assert 0 < out[1] <= R.WIDTH * (R.WIDTH + 1) / 2 and out[1] < 5 * out[0]
+
+
 def brute(rows):
     """Removed bytes of each row: covered by a 50-byte string that also starts in a row with a smaller id."""
     least = {}
@@ -141,6 +173,25 @@ def test_slices_of_anchors(monkeypatch):
     assert strings() == whole and len(whole) > 200
 
 
+def test_hot_anchors_leave_slices_whole():
+    # an anchor that counts as hot becomes a row for each of its strings, and makes slices of the others no smaller
+    rng = random.Random(9)
+    raws = [bytes(rng.choice(b"abcdefgh") for _ in range(900)) for _ in range(400)]
+    block = one_block(range(len(raws)), raws)
+    _, h = block.anchors()
+    known = np.unique(h)
+
+    class Few(R.Filed):
+        def rows(self, part):
+            tag, first = np.unique(R.tag_of(known), return_index=True)
+            return [{"bucket": 0, "tag": tag, "hot": np.isin(known[first], h[100:103])}]
+
+    slices = [(len(keys), int(single.sum())) for _, keys, _, _, single in R.Shared(Few("", {}), 1)(block)]
+    rows = sum(n for n, _ in slices)
+    assert sum(hot for _, hot in slices) >= 3 and rows >= len(h)
+    assert max(n for n, _ in slices) <= R.ANCHORS and len(slices) == -(-rows // R.ANCHORS)
+
+
 def test_packed_numbers():
     for kind in ("<u4", "<u8", "<i8", "u1"):
         for x in (np.zeros(0, kind), np.array([5], kind), np.sort(np.random.default_rng(1).integers(0, 120, 1000).astype(kind))):
