@@ -250,6 +250,30 @@ def surroundings(block: Block, at: np.ndarray, h: np.ndarray, single: np.ndarray
     return out
 
 
+class Finder:
+    """Looks up numbers among different sorted ones. Those are hashes, so that high bits lead near to each."""
+
+    def __init__(self, known: np.ndarray):
+        n, bits = len(known), int(known[-1]).bit_length() if len(known) else 0
+        self.size, self.known = n, np.append(known, np.uint64(2**64 - 1))
+        self.shift = np.uint64(max(0, bits - n.bit_length()))
+        self.first = np.searchsorted(known, np.arange(int(known[-1] >> self.shift) + 2 if n else 1, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.even = n == 0 or int(np.diff(self.first).max()) <= 32
+
+    def __call__(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each number is, and whether it is there."""
+        if self.even:
+            at = self.first[np.minimum(asked >> self.shift, np.uint64(len(self.first) - 1))].astype(np.int64)
+            live = np.flatnonzero(self.known[at] < asked)
+            while len(live):
+                at[live] += 1
+                live = live[self.known[at[live]] < asked[live]]
+        else:
+            at = np.searchsorted(self.known[: self.size], asked)
+        found = (at < self.size) & (self.known[at] == asked)
+        return np.where(found, at, 0), found
+
+
 class Shared:
     """A block's shared anchors, some at a time: place, key, name and bucket of each, and whether it is a string of a hot one."""
 
@@ -261,23 +285,20 @@ class Shared:
 
     def place_of(self, h: np.ndarray) -> np.ndarray:
         """Bucket and tag as one number."""
-        return (self.bucket_of(h).astype(np.uint64) << np.uint64(32)) | tag_of(h).astype(np.uint64)
+        return (self.bucket_of(h).astype(np.uint64) << np.uint64(TAG_BITS)) | tag_of(h).astype(np.uint64)
 
     def _look(self, part: int) -> None:
         rows = self.filed.rows(part)
-        known = np.concatenate([(np.uint64(r["bucket"]) << np.uint64(32)) | r["tag"].astype(np.uint64) for r in rows])
-        self.known, first = np.unique(known, return_index=True)
+        known = np.concatenate([(np.uint64(r["bucket"]) << np.uint64(TAG_BITS)) | r["tag"].astype(np.uint64) for r in rows])
+        known, first = np.unique(known, return_index=True)
+        self.known = Finder(known)
         self.hot, self.part = np.concatenate([r["hot"] for r in rows]).astype(bool)[first], part
 
     def __call__(self, block: Block) -> Iterator[tuple[np.ndarray, ...]]:
         if block.part != self.part:
             self._look(block.part)
         at, h = block.anchors()
-        if not len(self.known) or not len(at):
-            return
-        full = self.place_of(h)
-        i = np.minimum(np.searchsorted(self.known, full), len(self.known) - 1)
-        hit = self.known[i] == full
+        i, hit = self.known(self.place_of(h))
         at, h, hot = at[hit], h[hit], self.hot[i[hit]]
         row = block.row_of(at)
         lo = np.maximum(MIN - (block.starts[row + 1] - at), 0)
@@ -297,11 +318,17 @@ class Shared:
             yield p, keys, names, self.bucket_of(np.where(single < 0, x, names)), single >= 0
 
 
-def least_of(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each different name, a place that has it, and the smallest id with it."""
+def ends_of(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the smallest and of the greatest id with each different name, in the order of names."""
     order = np.lexsort((ids, names))
     sorted_names = names[order]
-    first = order[np.concatenate([[True], sorted_names[1:] != sorted_names[:-1]])] if len(names) else order
+    new = np.concatenate([[True], sorted_names[1:] != sorted_names[:-1], [True]]) if len(names) else np.zeros(1, bool)
+    return order[new[:-1]], order[new[1:]]
+
+
+def least_of(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different name, a place that has it, and the smallest id with it."""
+    first, _ = ends_of(names, ids)
     return names[first], first, ids[first]
 
 
@@ -470,7 +497,7 @@ def repeats(docs: DataFrame) -> DataFrame:
             new = np.flatnonzero(other)
             docs_with = (other | np.concatenate([[True], row[1:] != row[:-1]])).astype(np.int64) if len(full) else new
             n = np.minimum(np.add.reduceat(docs_with, new) if len(full) else new, 65535).astype("<u2")
-            bucket, tag = (full[new] >> np.uint64(32)).astype(np.int64), tag_of(full[new])
+            bucket, tag = (full[new] >> np.uint64(TAG_BITS)).astype(np.int64), tag_of(full[new])
             rows = [(block.part, k, pack(tag[i], True), pack(n[i])) for k, i in groups(bucket)]
             rows.append((block.part, block.part % buckets, pack(tag[:0], True), pack(n[:0])))
             yield table(rows, ["part", "bucket", "tag", "n"])
@@ -496,12 +523,12 @@ def repeats(docs: DataFrame) -> DataFrame:
         for block in blocks(batches, most):
             got = [(keys["h"], names, block.ids[block.row_of(at)], bucket) for at, keys, names, bucket, _ in find(block)]
             h, every, ids, bucket = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(4))
-            names, first, least = least_of(every.astype("<u8"), ids)
-            other = np.zeros(len(names), bool)
-            other[np.searchsorted(names, every[ids > least[np.searchsorted(names, every)]])] = True
+            every = every.astype("<u8")
+            first, last = ends_of(every, ids)
+            names, least, sole = every[first], ids[first], ids[first] == ids[last]
             tag = tag_of(h[first].astype(np.uint64))
             order = np.lexsort((names, tag))
-            names, tag, least, sole, bucket = names[order], tag[order], least[order], (~other[order]).astype("u1"), bucket[first][order]
+            names, tag, least, sole, bucket = names[order], tag[order], least[order], sole[order].astype("u1"), bucket[first][order]
             low = names & np.uint64(2**NAME_BITS - 1)
             rows = [(block.part, k, pack(tag[i], True), pack(low[i]), pack(least[i]), pack(sole[i])) for k, i in [*groups(bucket), (block.part % buckets, order[:0])]]
             yield table(rows, ["part", "bucket", "tag", "low", "least", "sole"])
@@ -552,7 +579,7 @@ def repeats(docs: DataFrame) -> DataFrame:
                 names = [r["name"] if full else short_name(r["name"], np.uint64(r["bucket"]), short_bits) for r in mine] or [np.zeros(0, np.uint64)]
                 names, (least, many) = np.concatenate(names), (np.concatenate([r[c] for r in mine] or [np.zeros(0, np.int64)]) for c in ("least", "many"))
                 order = np.argsort(names, kind="stable")
-                self.by.append((names[order], least[order], many[order].astype(bool), np.unique([r["bucket"] for r in mine])))
+                self.by.append((Finder(names[order]), least[order], many[order].astype(bool), np.unique([r["bucket"] for r in mine])))
             self.part = part
 
         def __call__(self, part: int, names: np.ndarray, buckets_of: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -561,10 +588,9 @@ def repeats(docs: DataFrame) -> DataFrame:
             late, send = np.zeros(len(names), bool), np.zeros(len(names), bool)
             for full, (known, least, many, here) in enumerate(self.by):
                 at = np.flatnonzero(np.isin(buckets_of, here))
-                if len(known) and len(at):
+                if known.size and len(at):
                     asked = names[at] if full else short_name(names[at], buckets_of[at].astype(np.uint64), short_bits)
-                    i = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                    found = known[i] == asked  # the others' only document is their smallest, and their anchor has no other class
+                    i, found = known(asked)  # the others' only document is their smallest, and their anchor has no other class
                     late[at] = found & (ids[at] > least[i])
                     send[at] = found & many[i]
             return late, send & ~late
@@ -599,11 +625,12 @@ def repeats(docs: DataFrame) -> DataFrame:
             found, lo, hi = settle(every[first], least)
             order = np.argsort(found, kind="stable")
             found, lo, hi = found[order], lo[order], hi[order]
+            place_of = Finder(names)
             runs, ends = np.searchsorted(found, np.arange(len(names) + 1)), np.cumsum([len(t) for t in x["least"]])
             places = [np.arange(e - len(t), e) for e, t in zip(ends, x["least"], strict=True)]
             out = []
             for part, i in answers(parts, places):
-                c = np.unique(np.searchsorted(names, name[i]))
+                c = np.unique(place_of(name[i])[0])
                 n = runs[c + 1] - runs[c]
                 r = np.repeat(runs[c], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 out.append((part, pack(np.repeat(names[c], n), True), pack(lo[r].astype("u1")), pack(hi[r].astype("u1"))))
@@ -618,6 +645,8 @@ def repeats(docs: DataFrame) -> DataFrame:
                 x, part = filed.joined(block.part), block.part
                 order = np.argsort(x["name"], kind="stable")
                 name, lo, hi = (x[c][order] for c in ("name", "lo", "hi"))
+                name, begin, times = np.unique(name, return_index=True, return_counts=True)
+                name = Finder(name)
             rows, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
             def add(row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -629,9 +658,9 @@ def repeats(docs: DataFrame) -> DataFrame:
                 row = block.row_of(at)
                 late, _ = known(part, names, bucket, block.ids[row])
                 add(row[late], at[late], keys["lo"][late].astype(np.int64), keys["hi"][late].astype(np.int64))
-                at, row, names = at[~late], row[~late], names[~late]
-                first = np.searchsorted(name, names)
-                n = np.searchsorted(name, names, "right") - first
+                i, found = name(names[~late])
+                i, at, row = i[found], at[~late][found], row[~late][found]
+                first, n = begin[i], times[i]
                 r = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 add(np.repeat(row, n), np.repeat(at, n), lo[r].astype(np.int64), hi[r].astype(np.int64))
             yield cut_out(block, *(np.concatenate(v) for v in (rows, a, b)))

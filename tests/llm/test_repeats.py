@@ -192,6 +192,16 @@ def test_hot_anchors_leave_slices_whole():
     assert max(n for n, _ in slices) <= R.ANCHORS and len(slices) == -(-rows // R.ANCHORS)
 
 
+def test_finder_against_a_set():
+    rng = np.random.default_rng(2)
+    for known in ([], [0], [2**64 - 1], [0, 2**64 - 1], rng.integers(0, 2**36, 900), rng.integers(2**62, 2**64 - 1, 900, dtype=np.uint64), [*range(500), 2**62]):
+        known = np.unique(np.array(known, np.uint64))
+        asked = np.concatenate([known, known - np.uint64(1), known + np.uint64(1), rng.integers(0, 2**36, 50).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, found = R.Finder(known)(asked)
+        assert found.tolist() == [x in set(known.tolist()) for x in asked.tolist()]
+        assert (known[at[found]] == asked[found]).all()
+
+
 def test_packed_numbers():
     for kind in ("<u4", "<u8", "<i8", "u1"):
         for x in (np.zeros(0, kind), np.array([5], kind), np.sort(np.random.default_rng(1).integers(0, 120, 1000).astype(kind))):
