@@ -11,8 +11,8 @@ wrote it), which all later passes read; how Spark splits the files for a pass do
    answer is the smallest of all blocks, and whether the anchor has other classes. All strings of a class start in its
    smallest document, so the others lose them.
 3. Where classes of an anchor differ, each class is sent as text by the parts of its smallest document alone. Hashes of
-   strings tell which could be equal; the text around those, each different piece once, is concatenated and
-   suffix-sorted by grouping. Neighbours in that order with equal first ``MIN`` bytes are equal strings, and their
+   strings tell which could be equal; the suffixes of the text around those, each different piece once, are sorted
+   together by grouping. Neighbours in that order with equal first ``MIN`` bytes are equal strings, and their
    smallest document decides.
 4. Removed stretches of each document are joined and cut out.
 
